@@ -102,23 +102,21 @@ def plan_missing_indicator(facts: DataFrame, target: str) -> DataFrame:
     return _numbered([_missing(facts, target)], _ORDER)
 
 
-def plan_features(facts: DataFrame, target: str, supplied: DataFrame | None = None) -> DataFrame:
-    """Log proposals, pair proposals, missing indicators, then supplied specs.
+def plan_features(facts: DataFrame, target: str) -> DataFrame:
+    """Log proposals, then pair proposals, then missing indicators.
 
-    ``facts`` is ``profile.column_facts``; ``supplied`` holds spec rows with an
-    ordinal, such as ``suggest.parse_specs`` returns.
+    ``facts`` is ``profile.column_facts``.
     """
-    planned = _numbered(
+    return _numbered(
         [_log1p(facts, target), _pairs(facts, target), _missing(facts, target)], _ORDER
     )
-    if supplied is None:
-        return planned
-    names = ["feature_name", "transformation_type", "columns", "parameters"]
-    both = planned.select(F.lit(0).alias("source"), "ordinal", *names).unionByName(
-        supplied.select(F.lit(1).alias("source"), "ordinal", *names)
-    )
-    place = F.row_number().over(Window.orderBy("source", "ordinal"))
-    return both.select(place.alias("ordinal"), *names)
+
+
+def append_specs(planned: DataFrame, supplied: DataFrame) -> DataFrame:
+    """Planned specs, then supplied ones such as ``suggest.parse_specs`` returns."""
+    last = planned.agg(F.coalesce(F.max("ordinal"), F.lit(0))).scalar()
+    moved = supplied.withColumn("ordinal", F.col("ordinal") + last)
+    return planned.unionByName(moved.select(*planned.columns))
 
 
 def plan_simple(facts: DataFrame, target: str) -> DataFrame:

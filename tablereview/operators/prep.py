@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,10 +83,9 @@ class Prep:
         numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
         texts = [self._filled_key(df, t).alias(f"t{i}") for i, t in enumerate(self.texts)]
         flat = nan_as_null(df).select(*keep, *numbers, *texts)
-        kept = [c for c in flat.columns[: len(keep)]]
+        kept = flat.columns[: len(keep)]
         blocks = [f"n{i}" for i in range(len(numbers))]
-        for stage in self._encoders():
-            flat = stage.transform(flat) if isinstance(stage, Transformer) else stage.fit(flat).transform(flat)
+        flat = self._one_hot(flat)
         blocks += [f"h{i}" for i in range(len(texts))]
         assembled = VectorAssembler(inputCols=blocks, outputCol="features").transform(flat)
         return assembled.select(*kept, "features")
@@ -95,27 +93,25 @@ class Prep:
     def encode(self, df: DataFrame, keep: list[Column]) -> DataFrame:
         """``keep`` columns plus one one-hot vector ``h0, h1, ...`` per text column."""
         texts = [self._filled_key(df, t).alias(f"t{i}") for i, t in enumerate(self.texts)]
-        flat = df.select(*keep, *texts)
-        for stage in self._encoders():
-            flat = stage.transform(flat) if isinstance(stage, Transformer) else stage.fit(flat).transform(flat)
+        flat = self._one_hot(df.select(*keep, *texts))
         return flat.select(*flat.columns[: len(keep)], *[f"h{i}" for i in range(len(texts))])
 
-    def _encoders(self) -> list:
+    def _one_hot(self, flat: DataFrame) -> DataFrame:
+        """Vectors h0, h1, ... from the filled keys t0, t1, ..."""
         if not self.texts:
-            return []
+            return flat
         ids = range(len(self.texts))
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [list(t.levels) for t in self.texts],
-            inputCols=[f"t{i}" for i in ids],
-            outputCols=[f"i{i}" for i in ids],
-            handleInvalid="keep",
-        )
+        for i, text in enumerate(self.texts):
+            indexer = StringIndexerModel.from_labels(
+                list(text.levels), inputCol=f"t{i}", outputCol=f"i{i}", handleInvalid="keep"
+            )
+            flat = indexer.transform(flat)
         # the slot dropped last is the one for unseen levels, so they are all zero;
         # sizes come from the column metadata, fitting reads no rows
         hot = OneHotEncoder(
             inputCols=[f"i{i}" for i in ids], outputCols=[f"h{i}" for i in ids], dropLast=True
         )
-        return [indexer, hot]
+        return hot.fit(flat).transform(flat)
 
 
 def fit_prep(train: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> Prep:

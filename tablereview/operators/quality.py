@@ -48,8 +48,9 @@ def _graded(share: Column, low: float, medium: float) -> Column:
     return F.when(share <= low, "low").when(share <= medium, "medium").otherwise("high")
 
 
-def _finding(table: DataFrame, kind: str, severity: Column, column: Column, evidence: Column, percent: Column, position: Column) -> DataFrame:
+def _finding(table, kind, severity, column, evidence, percent, position, keep=()) -> DataFrame:
     return table.select(
+        *keep,
         F.lit(kind).alias("issue_type"),
         severity.alias("severity"),
         column.cast("string").alias("column"),
@@ -60,8 +61,12 @@ def _finding(table: DataFrame, kind: str, severity: Column, column: Column, evid
     )
 
 
-def missing_values(columns: DataFrame) -> DataFrame:
-    """``columns`` holds column_name, position, row_count, missing_count."""
+def missing_values(columns: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``columns`` holds column_name, position, row_count, missing_count.
+
+    ``keep`` names further columns to carry along, such as the key of a review
+    when profiles of many tables are judged at once.
+    """
     share = _percent(F.col("missing_count"), F.col("row_count"))
     rows = F.when(F.col("row_count") == 0, 1).otherwise(F.col("row_count"))
     evidence = F.concat(
@@ -73,7 +78,7 @@ def missing_values(columns: DataFrame) -> DataFrame:
     return _finding(
         columns.where(F.col("missing_count") > 0), "missing_values",
         _graded(share, MISSING_LOW, MISSING_MEDIUM), F.col("column_name"), evidence, share,
-        F.col("position"),
+        F.col("position"), keep,
     )
 
 

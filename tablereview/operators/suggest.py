@@ -26,13 +26,17 @@ LANGUAGES = ("json", "javascript", "js")
 
 
 def is_json(text: Column) -> Column:
-    """Exactly one JSON value. The parser stops after the first value, so the
-    text is tried inside an array: anything that follows then shows."""
-    return F.coalesce(
-        (F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1)
-        & F.get_json_object(F.concat(F.lit('{"v":['), text, F.lit("]}")), "$.v").isNotNull(),
-        F.lit(False),
+    """Exactly one JSON value and nothing else.
+
+    The parser stops after the first value. Whatever closes the array early does
+    not fit into the object, and the other way round, so both must hold.
+    """
+    strict = {"allowSingleQuotes": "false"}
+    inside = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
+    field = F.from_json(
+        F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, _corrupt_record string", strict
     )
+    return F.coalesce((F.size(inside) == 1) & field["_corrupt_record"].isNull(), F.lit(False))
 
 
 def json_text(text: Column) -> Column:
