@@ -31,3 +31,30 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute once into the shared folder and cut the lineage there."""
     scratch_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write a table into the shared folder and read it back: later passes are
+    column-pruned scans that no lost executor can undo."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+SMALLEST = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small table that lies in few pieces one piece per core.
+
+    For operators that pass over a table many times: one big row group keeps
+    all but one core idle in each pass. Only tables below one input split per
+    core are copied; larger ones already have enough pieces and stay as they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not SMALLEST <= size <= cores * split or len(df.inputFiles()) >= cores:
+        return df
+    return store(df.repartition(cores), "spread")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import fixed_text, rows_as_table
+from tablereview.functions.scratch import spread, store
 from tablereview.operators.model import evaluate, feature_columns, fit_predict
 from tablereview.operators.prep import MAX_LEVELS, fit_prep
-from tablereview.operators.split import MARK, Split, stratified_split
+from tablereview.operators.split import Split, stratified_split
 from tablereview.operators.transforms import FeaturePlan, feature_log, plan_transforms
 
 METRICS = ("accuracy", "f1_score", "roc_auc")
@@ -43,27 +44,27 @@ def compare_models(
     Preparation is fitted once for all columns, and the baseline uses its own
     columns of it - unless a feature replaced one of them.
     """
-    used = df.drop(*exclude) if exclude else df
+    used = spread(df.drop(*exclude) if exclude else df)
     split = stratified_split(used, target, test_size, seed, key)
     plan = plan_transforms(used, specs, transforms, target)
-    engineered = Split(
-        plan.apply(split.rows), split.classes, split.train_rows, split.test_rows
-    )
     old = feature_columns(used.columns, target)
     new = feature_columns(plan.result_columns, target)
+    engineered = split.stored(plan.apply(split.rows))
     after = fit_prep(engineered.train, new, max_levels)
     if set(plan.created) & set(old):
-        before = fit_prep(split.train, old, max_levels)
+        plain = split.stored(split.rows)
+        before = fit_prep(plain.train, old, max_levels)
     else:
-        before = after.only(old)
-    runs = {"baseline": fit_predict(split, target, before, max_iter)}
+        plain, before = engineered, after.only(old)
+    runs = {"baseline": fit_predict(plain, target, before, max_iter)}
     if plan.created:
         runs["engineered"] = fit_predict(engineered, target, after, max_iter)
     predictions = None
     for name, run in runs.items():
         part = run.predictions.withColumn("variant", F.lit(name))
         predictions = part if predictions is None else predictions.unionByName(part)
-    metrics = evaluate(predictions, len(split.classes), ("variant",))
+    # three narrow columns, read twice: by class and by score
+    metrics = evaluate(store(predictions, "predictions"), len(split.classes), ("variant",))
     if not plan.created:  # the same columns give the same model
         both = F.explode(F.array(F.lit("baseline"), F.lit("engineered")))
         metrics = metrics.drop("variant").select(both.alias("variant"), "*")
@@ -203,6 +204,3 @@ def decide(comparisons: DataFrame) -> DataFrame:
         F.array_join(F.slice("reasons", 1, 3), "; "),
     )
     return decided.withColumn("decision_summary", summary)
-
-
-__all__ = ["MARK", "Comparison", "compare_models", "decide", "deltas", "pair_variants"]

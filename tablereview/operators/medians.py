@@ -14,11 +14,14 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablereview.functions.expressions import col
 
+FIRST_ACCURACY = 2_000
 ACCURACY = 10_000
-MAX_VALUES = 1_000_000
+MAX_VALUES = 4_000_000
+BATCH = 64  # columns per pass; the sketches of a pass are merged column by column
 
 
 @dataclass(frozen=True)
@@ -29,62 +32,93 @@ class Bracket:
     inside: float  # upper bound of the distinct values strictly inside
 
 
-def bracket_columns(name: str, alias: str, accuracy: int = ACCURACY) -> list[Column]:
-    """Aggregates that start a bracket; see ``start_bracket``."""
-    value = col(name).cast("double")
+@dataclass(frozen=True)
+class Summary:
+    """Moments and extremes of a column with at least one value."""
+
+    rows: int
+    mean: float
+    deviation: float | None  # sample standard deviation
+    variance: float  # population variance
+    low: float
+    high: float
+    bracket: Bracket | None
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, T.BooleanType):
+        return col(name).cast("int").cast("double")
+    return col(name).cast("double")
+
+
+def summaries(
+    df: DataFrame, columns: list[str], medians: bool = True, accuracy: int = FIRST_ACCURACY
+) -> dict[str, Summary | None]:
+    """Summary of each number column; None without a value.
+
+    Columns are turned into (column, value) rows, so that there is one small
+    aggregate whatever the number of columns, and partial results of different
+    columns are merged by different tasks.
+    """
+    out: dict[str, Summary | None] = dict.fromkeys(columns)
     margin = 2.0 / accuracy
-    return [
-        F.count(value).alias(f"{alias}_n"),
-        F.percentile_approx(
-            value, [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy
-        ).alias(f"{alias}_q"),
-    ]
+    ends = [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)]
+    for start in range(0, len(columns), BATCH):
+        batch = columns[start : start + BATCH]
+        long = _long(df, {str(i): as_number(df, c) for i, c in enumerate(batch)})
+        aggregates = [
+            F.count("v").alias("n"),
+            F.avg("v").alias("mean"),
+            F.stddev_samp("v").alias("sd"),
+            F.var_pop("v").alias("var"),
+            F.min("v").alias("lo"),
+            F.max("v").alias("hi"),
+        ]
+        if medians:
+            aggregates.append(F.percentile_approx("v", ends, accuracy).alias("q"))
+        for r in long.groupBy("c").agg(*aggregates).collect():
+            bracket = Bracket(r.n, *r.q, 6.0 * r.n / accuracy) if medians else None
+            out[batch[int(r.c)]] = Summary(r.n, r["mean"], r.sd, r.var, r.lo, r.hi, bracket)
+    return out
 
 
-def start_bracket(row, alias: str, accuracy: int = ACCURACY) -> Bracket | None:
-    """Bracket out of an aggregate row; None when the column has no value."""
-    rows, ends = row[f"{alias}_n"], row[f"{alias}_q"]
-    if not rows:
-        return None
-    return Bracket(rows, ends[0], ends[1], 6.0 * rows / accuracy)
+def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(c, v) rows of the non-null values."""
+    wide = df.select(*[v.alias(i) for i, v in values.items()])
+    return wide.unpivot([], list(values), "c", "v").where(F.col("v").isNotNull())
 
 
 def exact_medians(
     df: DataFrame,
     columns: list[str],
-    accuracy: int = ACCURACY,
+    accuracy: int = FIRST_ACCURACY,
     max_values: int = MAX_VALUES,
 ) -> dict[str, float | None]:
-    if not columns:
-        return {}
-    aggregates = chain.from_iterable(
-        bracket_columns(c, f"c{i}", accuracy) for i, c in enumerate(columns)
-    )
-    row = df.agg(*aggregates).first()
-    brackets = {c: start_bracket(row, f"c{i}", accuracy) for i, c in enumerate(columns)}
-    return medians_in(df, brackets, accuracy, max_values)
+    return medians_of(df, summaries(df, columns, accuracy=accuracy), accuracy, max_values)
 
 
-def medians_in(
+def medians_of(
     df: DataFrame,
-    brackets: dict[str, Bracket | None],
+    found: dict[str, Summary | None],
     accuracy: int = ACCURACY,
     max_values: int = MAX_VALUES,
 ) -> dict[str, float | None]:
-    """Exact medians from the brackets of the same rows."""
-    known = {c: b for c, b in brackets.items() if b is not None}
+    """Exact medians, given the summaries of the same rows."""
+    known = {c: s.bracket for c, s in found.items() if s is not None}
     while True:
         wide = {c: b for c, b in known.items() if b.inside > max_values and b.low < b.high}
         if not wide:
             break
         known.update(_narrow(df, wide, accuracy))
-    out: dict[str, float | None] = dict.fromkeys(brackets)
-    out.update(_read_off(df, known))
+    out: dict[str, float | None] = dict.fromkeys(found)
+    names = list(known)
+    for start in range(0, len(names), BATCH):
+        out.update(_read_off(df, {c: known[c] for c in names[start : start + BATCH]}))
     return out
 
 
-def _inside(name: str, b: Bracket) -> Column:
-    value = col(name).cast("double")
+def _inside(df: DataFrame, name: str, b: Bracket) -> Column:
+    value = as_number(df, name)
     return F.when((value >= b.low) & (value <= b.high), value)
 
 
@@ -93,8 +127,8 @@ def _narrow(df: DataFrame, wide: dict[str, Bracket], accuracy: int) -> dict[str,
     counted = df.agg(
         *chain.from_iterable(
             (
-                F.count_if(col(c).cast("double") < wide[c].low).alias(f"b{i}"),
-                F.count(_inside(c, wide[c])).alias(f"m{i}"),
+                F.count_if(as_number(df, c) < wide[c].low).alias(f"b{i}"),
+                F.count(_inside(df, c, wide[c])).alias(f"m{i}"),
             )
             for i, c in enumerate(names)
         )
@@ -107,7 +141,7 @@ def _narrow(df: DataFrame, wide: dict[str, Bracket], accuracy: int) -> dict[str,
         last = (rows // 2 + 1 - below) / within + margin
         ends = [min(1.0, max(0.0, first)), max(0.0, min(1.0, last))]
         aggregates.append(
-            F.percentile_approx(_inside(c, wide[c]), ends, accuracy).alias(f"q{i}")
+            F.percentile_approx(_inside(df, c, wide[c]), ends, accuracy).alias(f"q{i}")
         )
     row = df.agg(*aggregates).first()
     out = {}
@@ -124,21 +158,11 @@ def _read_off(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, float]:
         return {}
     names = list(brackets)
     # NaN marks "below the bracket": sources hold no NaN (it is NULL by then)
-    clipped = df.select(
-        *[
-            F.when(col(c).cast("double") < brackets[c].low, F.lit(float("nan")))
-            .otherwise(_inside(c, brackets[c]))
-            .alias(str(i))
-            for i, c in enumerate(names)
-        ]
-    )
-    ids = [str(i) for i in range(len(names))]
-    counts = (
-        clipped.unpivot([], ids, "c", "v")
-        .where(F.col("v").isNotNull())
-        .groupBy("c", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    clipped = {
+        str(i): F.when(as_number(df, c) < b.low, F.lit(float("nan"))).otherwise(_inside(df, c, b))
+        for i, (c, b) in enumerate(brackets.items())
+    }
+    counts = _long(df, clipped).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
     ranks = F.create_map(
         *chain.from_iterable(
             (

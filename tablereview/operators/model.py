@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tablereview.functions import types as ty
 from tablereview.functions.expressions import col, rows_as_table
+from tablereview.functions.scratch import spread, store
 from tablereview.operators.metrics import class_metrics, roc_auc
 from tablereview.operators.prep import MAX_LEVELS, Prep, fit_prep
 from tablereview.operators.split import MARK, Split, stratified_split
@@ -91,12 +92,13 @@ def model_report(
     max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """One row: model, task, target, metrics, sizes and notes."""
-    used = df.drop(*exclude) if exclude else df
-    split = stratified_split(used, target, test_size, seed, key)
+    used = spread(df.drop(*exclude) if exclude else df)
+    split = stratified_split(used, target, test_size, seed, key).stored()
     columns = feature_columns(used.columns, target)
     prep = fit_prep(split.train, columns, max_levels)
     fitted = fit_predict(split, target, prep, max_iter)
-    return report_row(evaluate(fitted.predictions, len(split.classes)), split, target, used, columns)
+    predictions = store(fitted.predictions, "predictions")
+    return report_row(evaluate(predictions, len(split.classes)), split, target, used, columns)
 
 
 def report_row(

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tablereview.functions import types as ty
 from tablereview.functions.expressions import col, group_key, nan_as_null
-from tablereview.operators.medians import bracket_columns, medians_in, start_bracket
-from tablereview.operators.profile import BATCH, value_counts
+from tablereview.operators.medians import medians_of, summaries
+from tablereview.operators.profile import value_counts
 
 MAX_LEVELS = 1_000_000
 
@@ -125,32 +125,19 @@ def fit_prep(train: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS)
 
 
 def _fit_numbers(train: DataFrame, columns: list[str]) -> list[Scaled]:
+    if not columns:
+        return []
+    rows = train.count()
+    found = {c: s for c, s in summaries(train, columns).items() if s is not None}
+    medians = medians_of(train, found)
     out = []
-    for start in range(0, len(columns), BATCH):
-        batch = columns[start : start + BATCH]
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        for i, c in enumerate(batch):
-            v = col(c).cast("double")
-            aggregates += [
-                F.avg(v).alias(f"a{i}"),
-                F.var_pop(v).alias(f"v{i}"),
-                F.min(v).alias(f"lo{i}"),
-                F.max(v).alias(f"hi{i}"),
-                *bracket_columns(c, f"q{i}"),
-            ]
-        row = train.agg(*aggregates).first()
-        medians = medians_in(train, {c: start_bracket(row, f"q{i}") for i, c in enumerate(batch)})
-        for i, c in enumerate(batch):
-            n, median = row[f"q{i}_n"], medians[c]
-            if not n:
-                continue
-            # moments after filling: the gaps add (rows - n) times the median
-            gaps, rows, known = row["rows"] - n, row["rows"], row[f"a{i}"]
-            mean = known + gaps * (median - known) / rows
-            spread = row[f"v{i}"] * n + n * (known - mean) ** 2 + gaps * (median - mean) ** 2
-            constant = row[f"lo{i}"] == row[f"hi{i}"]
-            deviation = math.sqrt(spread / rows)
-            out.append(Scaled(c, median, mean, 1.0 if constant or not deviation else deviation))
+    for c, s in found.items():
+        # moments after filling: the gaps add (rows - s.rows) times the median
+        gaps, median = rows - s.rows, medians[c]
+        mean = s.mean + gaps * (median - s.mean) / rows
+        spread = s.variance * s.rows + s.rows * (s.mean - mean) ** 2 + gaps * (median - mean) ** 2
+        deviation = 0.0 if s.low == s.high else math.sqrt(spread / rows)
+        out.append(Scaled(c, median, mean, deviation or 1.0))
     return out
 
 

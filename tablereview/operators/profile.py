@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +14,8 @@ from tablereview.functions.expressions import (
     row_fingerprint,
     rows_as_table,
 )
-from tablereview.operators.medians import bracket_columns, medians_in, start_bracket
-
-BATCH = 64
+from tablereview.functions.scratch import spread
+from tablereview.operators.medians import BATCH, medians_of, summaries
 
 COLUMN_PROFILE = (
     "position int, column_name string, data_type string, is_numeric boolean, "
@@ -262,55 +259,41 @@ def modes(df: DataFrame) -> DataFrame:
 def column_facts(df: DataFrame, medians: bool = True) -> DataFrame:
     """One row per column of everything that needs no shuffle of the data.
 
-    A single aggregate per batch of columns yields counts, moments, extremes and
-    the median brackets; a second pass reads the exact medians off.
+    One aggregate counts the rows and the gaps of the other columns, one yields
+    the moments, extremes and median brackets of the number columns; a last pass
+    reads the exact medians off.
     """
     clean = nan_as_null(df)
-    fields = {f.name: f for f in df.schema.fields}
-    position = {c: i for i, c in enumerate(df.columns)}
-    rows = []
-    for batch in _batches(df.columns):
-        aggregates = [F.count(F.lit(1)).alias("rows")]
-        for c in batch:
-            i = position[c]
-            aggregates.append(F.count_if(col(c).isNull()).alias(f"m{i}"))
-            if ty.is_number_or_bool(fields[c].dataType):
-                v = (
-                    col(c).cast("int").cast("double")
-                    if not ty.is_number(fields[c].dataType)
-                    else col(c).cast("double")
-                )
-                aggregates += [
-                    F.avg(v).alias(f"a{i}"),
-                    F.stddev_samp(v).alias(f"s{i}"),
-                    F.min(v).alias(f"lo{i}"),
-                    F.max(v).alias(f"hi{i}"),
-                ]
-            if medians and ty.is_number(fields[c].dataType):
-                aggregates += bracket_columns(c, f"q{i}")
-        row = clean.agg(*aggregates).first()
-        numbers = [c for c in batch if ty.is_number(fields[c].dataType)]
-        middle: dict[str, float | None] = {}
-        if medians:
-            middle = medians_in(clean, {c: start_bracket(row, f"q{position[c]}") for c in numbers})
-        for c in batch:
-            i, dtype = position[c], fields[c].dataType
-            stats = [None] * 5
-            if ty.is_number_or_bool(dtype):
-                stats = [row[f"a{i}"], middle.get(c), row[f"s{i}"], row[f"lo{i}"], row[f"hi{i}"]]
-            rows.append(
-                (
-                    i,
-                    c,
-                    ty.type_label(dtype),
-                    ty.is_number(dtype),
-                    ty.is_number_or_bool(dtype),
-                    row["rows"],
-                    row[f"m{i}"],
-                    *stats,
-                )
-            )
-    return rows_as_table(df.sparkSession, _FACTS, rows)
+    fields = df.schema.fields
+    numbers = [f.name for f in fields if ty.is_number_or_bool(f.dataType)]
+    others = [f.name for f in fields if f.name not in numbers]
+    rows, gaps = _count_gaps(clean, others)
+    found = summaries(clean, numbers, medians)
+    middle: dict[str, float | None] = {}
+    if medians:
+        wanted = {f.name for f in fields if ty.is_number(f.dataType)}
+        middle = medians_of(clean, {c: s for c, s in found.items() if c in wanted})
+    out = []
+    for i, f in enumerate(fields):
+        s = found.get(f.name)
+        stats = [None] * 5
+        if s is not None:
+            stats = [s.mean, middle.get(f.name), s.deviation, s.low, s.high]
+        missing = gaps[f.name] if f.name in gaps else rows - (s.rows if s else 0)
+        kinds = (ty.type_label(f.dataType), ty.is_number(f.dataType), ty.is_number_or_bool(f.dataType))
+        out.append((i, f.name, *kinds, rows, missing, *stats))
+    return rows_as_table(df.sparkSession, _FACTS, out)
+
+
+def _count_gaps(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
+    """Rows of the table, and missing values of some of its columns."""
+    rows, gaps = 0, {}
+    for batch in _batches(columns) or [[]]:
+        counts = [F.count_if(col(c).isNull()) for c in batch]
+        row = df.agg(F.count(F.lit(1)), *counts).first()
+        rows = row[0]
+        gaps.update(zip(batch, row[1:]))
+    return rows, gaps
 
 
 _STATS = ("mean", "median", "std", "min", "max")
@@ -322,12 +305,16 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     return facts.select("column_name", *_STATS)
 
 
-def column_profile(df: DataFrame, exclude_target: str | None = None) -> DataFrame:
+def column_profile(
+    df: DataFrame, exclude_target: str | None = None, facts: DataFrame | None = None
+) -> DataFrame:
     """The whole column profile, one row per column, in schema order.
 
     ``exclude_target`` leaves the statistics and the mode of that column empty.
+    ``facts`` is ``column_facts(df)`` where that is known already.
     """
-    facts = column_facts(df)
+    df = spread(df)
+    facts = column_facts(df) if facts is None else facts
     numbers, categories = ty.number_columns(df), ty.category_columns(df)
     counted = []
     if numbers:

@@ -10,7 +10,7 @@ marking the rows is a row-local comparison.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from tablereview.functions.expressions import (
     row_fingerprint,
     rows_as_table,
 )
+from tablereview.functions.scratch import store
 from tablereview.operators.profile import require_column
 
 MARK = "is_test"
@@ -36,6 +37,12 @@ class Split:
     train_rows: int
     test_rows: int
 
+    def stored(self, rows: DataFrame | None = None) -> Split:
+        """The same split with its rows (or rows derived from them) written out,
+        train and test apart: fitting and scoring pass over them many times."""
+        table = store(self.rows if rows is None else rows, "split", (MARK,))
+        return replace(self, rows=table)
+
     @property
     def train(self) -> DataFrame:
         return self.rows.where(~F.col(MARK)).drop(MARK)

@@ -15,7 +15,7 @@ from tablereview.operators import profile as prof
 from tablereview.operators import transforms as tr
 from tablereview.operators.split import MARK, stratified_split
 from tablereview.plans.inputs import Tables
-from tablereview.plans.review import default_planner, run_review
+from tablereview.plans.review import run_review
 from tablereview.sources.csv import read_csv
 from tablereview.sources.sinks import profile_document, write_profile_json
 
@@ -572,7 +572,7 @@ def compare_models(t: Tables) -> DataFrame:
 
 @register
 def review_result(t: Tables) -> DataFrame:
-    return run_review(t.spark, t.labelled_docs(), "quality", default_planner).result()
+    return run_review(t.spark, t.labelled_docs(), "quality", planner.plan_features).result()
 
 
 # -- metrics and decisions ----------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import fixed_text
-from tablereview.functions.scratch import materialize
+from tablereview.functions.scratch import materialize, spread
 from tablereview.operators import explore, planner, quality, suggest
 from tablereview.operators.compare import Comparison, compare_models, decide
 from tablereview.operators.profile import (
@@ -23,7 +23,7 @@ from tablereview.operators.transforms import feature_report
 from tablereview.sources.csv import read_csv
 from tablereview.sources.sinks import profile_document
 
-Planner = Callable[[DataFrame, str], DataFrame]
+Planner = Callable[[DataFrame, str], DataFrame]  # (column facts, target) -> specs
 
 
 @dataclass(frozen=True)
@@ -107,34 +107,30 @@ class Review:
         )
 
 
-def default_planner(df: DataFrame, target: str) -> DataFrame:
-    return planner.plan_features(column_facts(df, medians=False), target)
-
-
-def simple_planner(df: DataFrame, target: str) -> DataFrame:
-    return planner.plan_simple(column_facts(df, medians=False), target)
-
-
 def run_review(
     spark: SparkSession,
     source: str | DataFrame,
     target: str,
-    planner_of: Planner | None = None,
+    plan_with: Planner | None = None,
     loader: Callable[[SparkSession, str], DataFrame] = read_csv,
     responses: Responses | None = None,
     **model_options,
 ) -> Review:
     """Review a CSV path (through ``loader``) or any DataFrame.
 
-    Without ``planner_of`` no features are proposed, and both models are the
-    same. ``model_options`` go to ``compare_models``.
+    ``plan_with`` is ``planner.plan_features``, ``planner.plan_simple`` or any
+    function of the column facts and the target; without it no features are
+    proposed, and both models are the same. ``model_options`` go to
+    ``compare_models``.
     """
     df = loader(spark, source) if isinstance(source, str) else source
     require_column(df, target)
     responses = responses or Responses()
+    df = spread(df)
     # profile tables are tiny but take scans to make; each is read several times
     table = materialize(table_profile(df))
-    columns = materialize(column_profile(df))
+    facts = column_facts(df)
+    columns = materialize(column_profile(df, facts=facts))
     distribution = materialize(target_distribution(df, target))
 
     found = quality.quality_findings(table, columns)
@@ -142,7 +138,7 @@ def run_review(
     seen = explore.explore_findings(columns, distribution, target)
     e_findings, e_summary = _merged(seen, responses.explore, "explore")
 
-    specs = None if planner_of is None else planner_of(df, target)
+    specs = None if plan_with is None else plan_with(facts, target)
     if responses.features is not None:
         supplied = suggest.parse_specs(responses.features, df.columns, target)
         specs = supplied if specs is None else planner.append_specs(specs, supplied)
