@@ -24,7 +24,7 @@ from tablereview.functions.expressions import (
 from tablereview.functions.scratch import store
 from tablereview.operators.profile import require_column
 
-MARK = "is_test"
+MARK = "_is_test"
 MAX_CLASSES = 10_000
 GROUP_ROWS = 4096
 COPIES = 100_000
@@ -32,7 +32,7 @@ COPIES = 100_000
 
 @dataclass(frozen=True)
 class Split:
-    rows: DataFrame  # the table plus ``is_test``
+    rows: DataFrame  # the table plus MARK
     classes: list  # class values in sorted order
     train_rows: int
     test_rows: int
@@ -127,17 +127,17 @@ def _table(df: DataFrame, target: str, schema: str, rows: list[tuple]) -> DataFr
 
 
 def _mark(df: DataFrame, target: str, h: Column, cuts: list) -> DataFrame:
-    """Add is_test; rows at a cut that is only partly taken get NULL."""
+    """Add MARK; rows at a cut that is only partly taken get NULL."""
     table = _table(
-        df, target, "cut string, whole boolean", [(c.t, c.h, c["take"] == c.same) for c in cuts]
+        df, target, "_cut string, _whole boolean", [(c.t, c.h, c["take"] == c.same) for c in cuts]
     ).withColumnRenamed("t", "_t")
     # one row per class, at most MAX_CLASSES
     joined = df.withColumn("_h", h).join(F.broadcast(table), col(target) == F.col("_t"), "left")
     mark = (
-        F.when(F.col("cut").isNull(), False)
-        .when(F.col("_h") < F.col("cut"), True)
-        .when(F.col("_h") > F.col("cut"), False)
-        .when(F.col("whole"), True)
+        F.when(F.col("_cut").isNull(), False)
+        .when(F.col("_h") < F.col("_cut"), True)
+        .when(F.col("_h") > F.col("_cut"), False)
+        .when(F.col("_whole"), True)
     )
     return joined.select(*[col(c) for c in df.columns], mark.alias(MARK))
 
@@ -154,9 +154,9 @@ def _share_copies(same: DataFrame, target: str, columns: list[str], take: DataFr
     before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     counted = (
         groups.withColumn("_before", before)
-        .join(F.broadcast(take), col(target) == F.col("t"))
+        .join(F.broadcast(take), col(target) == F.col("_t"))
         .withColumn(
-            "_test", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("take") - F.col("_before")))
+            "_test", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_take") - F.col("_before")))
         )
     )
     halves = counted.select(
@@ -217,33 +217,28 @@ def stratified_split(
     return Split(marked, [t for t, _ in counts], n_train, n_test)
 
 
+def _rows_at(df: DataFrame, target: str, h: Column, cuts: list) -> DataFrame:
+    """Rows that share the hash at the cut of their class."""
+    at = _table(df, target, "_cut string", [(c.t, c.h) for c in cuts]).withColumnRenamed("t", "_t")
+    same = (col(target) == F.col("_t")) & (F.col("_h") == F.col("_cut"))
+    return df.withColumn("_h", h).join(F.broadcast(at), same, "left_semi").drop("_h")
+
+
 def _settle(df, target, h, content, marked, open_cuts, content_key: bool) -> DataFrame:
     """Decide the rows that share the hash at a cut of which only some are taken."""
-    at = _table(df, target, "cut string", [(c.t, c.h) for c in open_cuts])
-    tied = (
-        df.withColumn("_h", h)
-        .join(F.broadcast(at), (col(target) == F.col("t")) & (F.col("_h") == F.col("cut")), "left_semi")
-        .drop("_h")
-    )
-    take = [(c.t, c["take"]) for c in open_cuts]
+    tied = _rows_at(df, target, h, open_cuts)
     done = marked.where(F.col(MARK).isNotNull())
     if not content_key:
         # a repeated key: order its rows by content
         inner = tied.select(col(target).alias("t"), content.alias("h"))
-        cuts = _cuts(
-            inner, _table(df, target, "quota bigint", take), max(c.same for c in open_cuts)
-        )
+        quotas = _table(df, target, "quota bigint", [(c.t, c["take"]) for c in open_cuts])
+        cuts = _cuts(inner, quotas, max(c.same for c in open_cuts))
         again = _mark(tied, target, content, cuts)
         done = done.unionByName(again.where(F.col(MARK).isNotNull()))
         open_cuts = [c for c in cuts if c["take"] < c.same]
         if not open_cuts:
             return done
-        at = _table(df, target, "cut string", [(c.t, c.h) for c in open_cuts])
-        tied = (
-            tied.withColumn("_h", content)
-            .join(F.broadcast(at), (col(target) == F.col("t")) & (F.col("_h") == F.col("cut")), "left_semi")
-            .drop("_h")
-        )
-        take = [(c.t, c["take"]) for c in open_cuts]
-    copies = _share_copies(tied, target, df.columns, _table(df, target, "take bigint", take))
+        tied = _rows_at(tied, target, content, open_cuts)
+    take = _table(df, target, "_take bigint", [(c.t, c["take"]) for c in open_cuts])
+    copies = _share_copies(tied, target, df.columns, take.withColumnRenamed("t", "_t"))
     return done.unionByName(copies)

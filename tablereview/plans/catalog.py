@@ -478,11 +478,14 @@ def fx_interaction(t: Tables) -> DataFrame:
 
 # -- split and preparation ----------------------------------------------------
 
+def _is_test() -> F.Column:
+    return F.col(MARK).alias("is_test")
+
 
 @register
 def split_stratified(t: Tables) -> DataFrame:
     split = stratified_split(t.orders, "o_orderstatus", key="o_orderkey")
-    return split.rows.select("o_orderkey", "o_orderstatus", MARK)
+    return split.rows.select("o_orderkey", "o_orderstatus", _is_test())
 
 
 def _order_split(t: Tables):
@@ -493,19 +496,19 @@ def _order_split(t: Tables):
 @register
 def impute_median(t: Tables) -> DataFrame:
     split, fitted = _order_split(t)
-    return rounded(fitted.impute(split.rows).select("o_orderkey", MARK, "o_totalprice"))
+    return rounded(fitted.impute(split.rows).select("o_orderkey", _is_test(), "o_totalprice"))
 
 
 @register
 def impute_mode(t: Tables) -> DataFrame:
     split, fitted = _order_split(t)
-    return fitted.impute(split.rows).select("o_orderkey", MARK, "o_orderpriority")
+    return fitted.impute(split.rows).select("o_orderkey", _is_test(), "o_orderpriority")
 
 
 @register
 def standard_scale(t: Tables) -> DataFrame:
     split, fitted = _order_split(t)
-    return rounded(fitted.scale(split.rows).select("o_orderkey", MARK, "o_totalprice", "o_custkey"))
+    return rounded(fitted.scale(split.rows).select("o_orderkey", _is_test(), "o_totalprice", "o_custkey"))
 
 
 @register
