@@ -57,7 +57,7 @@ def group_key(value: Column, dtype: T.DataType) -> Column:
     return F.when(F.octet_length(text) < KEY_BYTES, text).otherwise(F.sha2(text, 256))
 
 
-def row_fingerprint(df: DataFrame) -> list[Column]:
+def row_fingerprint(df: DataFrame, seed: int = 0) -> list[Column]:
     """Two independently seeded 64-bit hashes that identify a whole row.
 
     A NULL leaves a running hash unchanged, so each value goes in together with
@@ -72,8 +72,8 @@ def row_fingerprint(df: DataFrame) -> list[Column]:
             value = F.to_json(value, {"ignoreNullFields": "false"})
         parts.append(value)
     return [
-        F.xxhash64(F.lit(seed), *parts).alias(name)
-        for seed, name in ((17, "_fp1"), (7919, "_fp2"))
+        F.xxhash64(F.lit(start), F.lit(seed), *parts).alias(name)
+        for start, name in ((17, "_fp1"), (7919, "_fp2"))
     ]
 
 

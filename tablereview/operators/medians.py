@@ -9,8 +9,8 @@ at the end is over a bounded number of rows at any table size.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from tablereview.functions.expressions import col
 FIRST_ACCURACY = 2_000
 ACCURACY = 10_000
 MAX_VALUES = 4_000_000
+GRID = 1_000
 BATCH = 64  # columns per pass; the sketches of a pass are merged column by column
 
 
@@ -65,7 +66,7 @@ def summaries(
     ends = [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)]
     for start in range(0, len(columns), BATCH):
         batch = columns[start : start + BATCH]
-        long = _long(df, {str(i): as_number(df, c) for i, c in enumerate(batch)})
+        long = _long(df, batch)
         aggregates = [
             F.count("v").alias("n"),
             F.avg("v").alias("mean"),
@@ -82,10 +83,11 @@ def summaries(
     return out
 
 
-def _long(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """(c, v) rows of the non-null values."""
-    wide = df.select(*[v.alias(i) for i, v in values.items()])
-    return wide.unpivot([], list(values), "c", "v").where(F.col("v").isNotNull())
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, v) rows of the values; c is the index in ``columns``. NaN is missing."""
+    ids = [str(i) for i in range(len(columns))]
+    wide = df.select(*[as_number(df, c).alias(i) for i, c in zip(ids, columns)])
+    return wide.unpivot([], ids, "c", "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def exact_medians(
@@ -117,39 +119,40 @@ def medians_of(
     return out
 
 
-def _inside(df: DataFrame, name: str, b: Bracket) -> Column:
-    value = as_number(df, name)
-    return F.when((value >= b.low) & (value <= b.high), value)
+def _of_column(values: list, kind: str) -> Column:
+    """The value that belongs to the column index ``c`` of a long row."""
+    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")[F.col("c").cast("int")]
 
 
 def _narrow(df: DataFrame, wide: dict[str, Bracket], accuracy: int) -> dict[str, Bracket]:
-    names = list(wide)
-    counted = df.agg(
-        *chain.from_iterable(
-            (
-                F.count_if(as_number(df, c) < wide[c].low).alias(f"b{i}"),
-                F.count(_inside(df, c, wide[c])).alias(f"m{i}"),
-            )
-            for i, c in enumerate(names)
-        )
-    ).first()
+    """Smaller brackets from one pass: the rows below and inside each bracket, and
+    quantiles of the values inside; the two quantiles around the middle remain."""
+    grid = [i / GRID for i in range(GRID + 1)]
     margin = 2.0 / accuracy
-    aggregates = []
-    for i, c in enumerate(names):
-        below, within, rows = counted[f"b{i}"], counted[f"m{i}"], wide[c].rows
-        first = ((rows - 1) // 2 - below) / within - margin
-        last = (rows // 2 + 1 - below) / within + margin
-        ends = [min(1.0, max(0.0, first)), max(0.0, min(1.0, last))]
-        aggregates.append(
-            F.percentile_approx(_inside(df, c, wide[c]), ends, accuracy).alias(f"q{i}")
-        )
-    row = df.agg(*aggregates).first()
-    out = {}
-    for i, c in enumerate(names):
-        old, (low, high) = wide[c], row[f"q{i}"]
-        # a repeated bracket means that few distinct values fill it: read it off
-        same = (low, high) == (old.low, old.high)
-        out[c] = Bracket(old.rows, low, high, 0.0 if same else 6.0 * counted[f"m{i}"] / accuracy)
+    names, out = list(wide), {}
+    for start in range(0, len(names), BATCH):
+        batch = names[start : start + BATCH]
+        low = _of_column([wide[c].low for c in batch], "double")
+        high = _of_column([wide[c].high for c in batch], "double")
+        within = F.when(F.col("v") >= low, F.col("v"))
+        rows = _long(df, batch).where(F.col("v") <= high).groupBy("c")
+        for r in rows.agg(
+            F.count_if(F.col("v") < low).alias("below"),
+            F.count(within).alias("inside"),
+            F.percentile_approx(within, grid, accuracy).alias("q"),
+        ).collect():
+            old = wide[batch[int(r.c)]]
+            first = ((old.rows - 1) // 2 - r.below) / r.inside - margin
+            last = (old.rows // 2 + 1 - r.below) / r.inside + margin
+            i, j = math.floor(first * GRID), math.ceil(last * GRID)
+            low_end = r.q[i] if i > 0 else old.low
+            high_end = r.q[j] if j < GRID else old.high
+            # an unchanged bracket means that few distinct values fill it: read it off
+            same = (low_end, high_end) == (old.low, old.high)
+            share = (j - i) / GRID + 2.0 / accuracy
+            out[batch[int(r.c)]] = Bracket(
+                old.rows, low_end, high_end, 0.0 if same else share * r.inside
+            )
     return out
 
 
@@ -157,24 +160,21 @@ def _read_off(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, float]:
     if not brackets:
         return {}
     names = list(brackets)
-    # NaN marks "below the bracket": sources hold no NaN (it is NULL by then)
-    clipped = {
-        str(i): F.when(as_number(df, c) < b.low, F.lit(float("nan"))).otherwise(_inside(df, c, b))
-        for i, (c, b) in enumerate(brackets.items())
-    }
-    counts = _long(df, clipped).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
-    ranks = F.create_map(
-        *chain.from_iterable(
-            (
-                F.lit(str(i)),
-                F.array(F.lit((b.rows - 1) // 2), F.lit(b.rows // 2)).cast("array<bigint>"),
-            )
-            for i, b in enumerate(brackets.values())
-        )
+    # NaN marks "below the bracket": the values themselves hold no NaN
+    low = _of_column([b.low for b in brackets.values()], "double")
+    high = _of_column([b.high for b in brackets.values()], "double")
+    clipped = F.when(F.col("v") < low, F.lit(float("nan"))).otherwise(F.col("v"))
+    counts = (
+        _long(df, names)
+        .where(F.col("v") <= high)
+        .groupBy("c", clipped.alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    first = _of_column([(b.rows - 1) // 2 for b in brackets.values()], "bigint")
+    last = _of_column([b.rows // 2 for b in brackets.values()], "bigint")
     order = Window.partitionBy("c").orderBy(F.isnan("v").desc(), "v")
     placed = counts.select(
-        "c", "v", "n", F.sum("n").over(order).alias("upto"), ranks[F.col("c")].alias("r")
+        "c", "v", "n", F.sum("n").over(order).alias("upto"), F.array(first, last).alias("r")
     )
 
     def holds(i: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablereview.functions import types as ty
-from tablereview.functions.expressions import col, group_key, nan_as_null
+from tablereview.functions.expressions import col, group_key
 from tablereview.operators.medians import medians_of, summaries
 from tablereview.operators.profile import value_counts
 
@@ -27,7 +27,8 @@ class Scaled:
     scale: float
 
     def filled(self) -> Column:
-        return F.coalesce(col(self.name).cast("double"), F.lit(self.median))
+        fill = F.lit(self.median)
+        return F.coalesce(F.nanvl(col(self.name).cast("double"), fill), fill)
 
     def expression(self) -> Column:
         return (self.filled() - F.lit(self.mean)) / F.lit(self.scale)
@@ -65,12 +66,12 @@ class Prep:
         """Fill missing numbers and texts; other columns stay."""
         fills = {n.name: n.filled() for n in self.numbers}
         fills |= {t.name: self._filled_key(df, t) for t in self.texts}
-        return nan_as_null(df).select(*[fills.get(c, col(c)).alias(c) for c in df.columns])
+        return df.select(*[fills.get(c, col(c)).alias(c) for c in df.columns])
 
     def scale(self, df: DataFrame) -> DataFrame:
         """Fill and scale the number columns; other columns stay."""
         scaled = {n.name: n.expression() for n in self.numbers}
-        return nan_as_null(df).select(*[scaled.get(c, col(c)).alias(c) for c in df.columns])
+        return df.select(*[scaled.get(c, col(c)).alias(c) for c in df.columns])
 
     @staticmethod
     def _filled_key(df: DataFrame, text: Encoded) -> Column:
@@ -82,7 +83,7 @@ class Prep:
             raise ValueError("No usable feature columns.")
         numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
         texts = [self._filled_key(df, t).alias(f"t{i}") for i, t in enumerate(self.texts)]
-        flat = nan_as_null(df).select(*keep, *numbers, *texts)
+        flat = df.select(*keep, *numbers, *texts)
         kept = flat.columns[: len(keep)]
         blocks = [f"n{i}" for i in range(len(numbers))]
         flat = self._one_hot(flat)
@@ -118,9 +119,8 @@ def fit_prep(train: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS)
     """Fit on train rows. Columns without any value, and columns that are neither
     numbers nor text, are left out."""
     fields = {f.name: f.dataType for f in train.schema.fields}
-    clean = nan_as_null(train)
-    numbers = _fit_numbers(clean, [c for c in columns if ty.is_number(fields[c])])
-    texts = _fit_texts(clean, [c for c in columns if ty.is_text(fields[c])], max_levels)
+    numbers = _fit_numbers(train, [c for c in columns if ty.is_number(fields[c])])
+    texts = _fit_texts(train, [c for c in columns if ty.is_text(fields[c])], max_levels)
     return Prep(numbers, texts)
 
 

@@ -83,18 +83,17 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(c, key, n): rows per value of each column; c is the index in ``columns``.
+    """(c, key, n): rows per value of category columns; c is the index in ``columns``.
 
     Equal values of a partition are combined before the shuffle, so a hot value
     costs one row per task.
     """
-    clean = nan_as_null(df)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     out = None
     for start in range(0, len(columns), BATCH):
         batch = columns[start : start + BATCH]
         ids = [str(start + i) for i in range(len(batch))]
-        keyed = clean.select(
+        keyed = df.select(
             *[group_key(col(c), dtypes[c]).alias(i) for c, i in zip(batch, ids)]
         )
         part = (
@@ -109,7 +108,6 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _numeric_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
     """(c, unique_count) of number columns, grouped as numbers instead of text."""
-    clean = nan_as_null(df)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     kinds: dict[str, list[tuple[int, str]]] = {}
     for i, c in enumerate(columns):
@@ -126,10 +124,11 @@ def _numeric_distinct(df: DataFrame, columns: list[str]) -> DataFrame:
     for kind, members in kinds.items():
         for start in range(0, len(members), BATCH):
             batch = members[start : start + BATCH]
-            plain = clean.select(*[col(c).cast(kind).alias(str(i)) for i, c in batch])
+            plain = df.select(*[col(c).cast(kind).alias(str(i)) for i, c in batch])
             parts.append(
                 plain.unpivot([], [str(i) for i, _ in batch], "c", "v")
                 .where(F.col("v").isNotNull())
+                .where(~F.isnan("v") if kind == "double" else F.lit(True))
                 .groupBy("c", "v")
                 .agg(F.lit(1).alias("one"))
                 .groupBy("c")
@@ -263,16 +262,17 @@ def column_facts(df: DataFrame, medians: bool = True) -> DataFrame:
     the moments, extremes and median brackets of the number columns; a last pass
     reads the exact medians off.
     """
-    clean = nan_as_null(df)
+    if medians:
+        df = spread(df)
     fields = df.schema.fields
     numbers = [f.name for f in fields if ty.is_number_or_bool(f.dataType)]
     others = [f.name for f in fields if f.name not in numbers]
-    rows, gaps = _count_gaps(clean, others)
-    found = summaries(clean, numbers, medians)
+    rows, gaps = _count_gaps(df, others)
+    found = summaries(df, numbers, medians)
     middle: dict[str, float | None] = {}
     if medians:
         wanted = {f.name for f in fields if ty.is_number(f.dataType)}
-        middle = medians_of(clean, {c: s for c, s in found.items() if c in wanted})
+        middle = medians_of(df, {c: s for c, s in found.items() if c in wanted})
     out = []
     for i, f in enumerate(fields):
         s = found.get(f.name)

@@ -78,8 +78,8 @@ def _class_counts(df: DataFrame, target: str) -> list[tuple]:
     return [(r.t, r.n) for r in rows]
 
 
-def _fingerprint_text(df: DataFrame) -> Column:
-    return F.concat_ws("", *[F.lpad(F.hex(h), 16, "0") for h in row_fingerprint(df)])
+def _content_hash(df: DataFrame, seed: int) -> Column:
+    return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in row_fingerprint(df, seed)])
 
 
 def _cuts(hashed: DataFrame, quotas: DataFrame, largest: int) -> list:
@@ -206,7 +206,7 @@ def stratified_split(
         raise ValueError("The train and test sets must each have one row per class or more.")
     keep = train_quotas([n for _, n in counts], n_train)
     quotas = [(t, n - k) for (t, n), k in zip(counts, keep) if n > k]
-    content = F.md5(F.concat(F.lit(f"{seed}|"), _fingerprint_text(df)))
+    content = _content_hash(df, seed)
     h = content if key is None else F.md5(F.concat(F.lit(f"{seed}|"), col(key).cast("string")))
     hashed = df.select(col(target).alias("t"), h.alias("h"))
     cuts = _cuts(hashed, _table(df, target, "quota bigint", quotas), max(n for _, n in counts))

@@ -15,19 +15,20 @@ MISSING = (
 )
 TRUE = ("True", "TRUE", "true")
 FALSE = ("False", "FALSE", "false")
-WHOLE = r"^\s*[+-]?[0-9]+\s*$"
-DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
+BLANK = " \t\n\r\f\v"
+WHOLE = r"^[+-]?[0-9]+$"
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+INFINITE = ("inf", "+inf", "-inf", "infinity", "+infinity", "-infinity")
 
 
-def _number_text(value: Column) -> Column:
-    return F.regexp_replace(value, r"\s", "")
+def _trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(BLANK))
 
 
 def _as_double(value: Column) -> Column:
-    text = _number_text(value)
+    text = F.lower(_trimmed(value))
     infinite = F.when(text.startswith("-"), float("-inf")).otherwise(float("inf"))
-    return F.when(text.rlike(INFINITE), infinite).otherwise(text.try_cast("double"))
+    return F.when(text.isin(*INFINITE), infinite).otherwise(text.try_cast("double"))
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
@@ -68,41 +69,45 @@ def _has_quoted_breaks(spark: SparkSession, path: str) -> bool:
 
 
 def _infer(df: DataFrame) -> dict[str, str]:
-    """Type of every column from one aggregate over all rows."""
-    aggregates = []
-    for i, c in enumerate(df.columns):
-        value = col(c)
-        whole = value.rlike(WHOLE) & _number_text(value).try_cast("bigint").isNotNull()
-        decimal = value.rlike(DECIMAL) | value.rlike(INFINITE)
-        flag = value.isin(*TRUE, *FALSE)
-        aggregates += [
-            F.count_if(value.isNull()).alias(f"m{i}"),
-            F.count(value).alias(f"n{i}"),
-            F.count_if(whole).alias(f"w{i}"),
-            F.count_if(decimal).alias(f"d{i}"),
-            F.count_if(flag).alias(f"b{i}"),
-            F.count_if(value.rlike(WHOLE) & ~whole).alias(f"o{i}"),
-        ]
-    row = df.agg(*aggregates).first()
-    kinds = {}
-    for i, c in enumerate(df.columns):
-        missing, n = row[f"m{i}"], row[f"n{i}"]
-        if n == 0:
-            kinds[c] = "double"
-        elif row[f"w{i}"] == n:
-            kinds[c] = "double" if missing else "bigint"
-        elif row[f"d{i}"] == n and row[f"w{i}"] + row[f"o{i}"] < n:
-            kinds[c] = "double"
-        elif row[f"b{i}"] == n and not missing:
-            kinds[c] = "boolean"
-        else:
-            kinds[c] = "string"
-    return kinds
+    """Type of every column, from all its values: (column, value) rows, one
+    aggregate, whose partial results are a few counts per column and task."""
+    ids = [str(i) for i in range(len(df.columns))]
+    named = df.select(*[col(c).alias(i) for c, i in zip(df.columns, ids)])
+    value, number, digits, whole = (F.col(c) for c in ("v", "number", "digits", "whole"))
+    tested = (
+        named.unpivot([], ids, "c", "v")
+        .select("c", "v", _trimmed(value).alias("number"))
+        .select("*", number.rlike(WHOLE).alias("digits"))
+        .select("*", (digits & number.try_cast("bigint").isNotNull()).alias("whole"))
+    )
+    decimal = number.rlike(DECIMAL) | F.lower(number).isin(*INFINITE)
+    counts = tested.groupBy("c").agg(
+        F.count_if(value.isNull()).alias("missing"),
+        F.count(value).alias("values"),
+        F.count_if(whole).alias("whole"),
+        F.count_if(digits).alias("digits"),
+        F.count_if(~whole & decimal).alias("decimal"),
+        F.count_if(value.isin(*TRUE, *FALSE)).alias("flags"),
+    )
+    found = {df.columns[int(r.c)]: r for r in counts.collect()}
+    return {c: _kind(found.get(c)) for c in df.columns}
+
+
+def _kind(r) -> str:
+    if r is None or r["values"] == 0:
+        return "double"
+    if r.whole == r["values"]:
+        return "double" if r.missing else "bigint"
+    if r.whole + r.decimal == r["values"] and r.digits < r["values"]:
+        return "double"
+    if r.flags == r["values"] and not r.missing:
+        return "boolean"
+    return "string"
 
 
 def _cast(value: Column, kind: str) -> Column:
     if kind == "bigint":
-        return _number_text(value).cast("bigint")
+        return _trimmed(value).cast("bigint")
     if kind == "double":
         return _as_double(value)
     if kind == "boolean":
