@@ -147,13 +147,19 @@ def _count_then_mode(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     return (
         value_counts(df, columns)
-        .groupBy("c")
+        # the smallest of text keys needs rows sorted by column: cheap on a number
+        .groupBy(F.col("c").cast("int").alias("c"))
         .agg(
             F.count(F.lit(1)).alias("unique_count"),
             F.max("n").alias("mode_count"),
             F.min(F.struct(-F.col("n"), F.col("key"))).alias("best"),
         )
-        .select("c", "unique_count", "mode_count", F.col("best.key").alias("mode_key"))
+        .select(
+            F.col("c").cast("string").alias("c"),
+            "unique_count",
+            "mode_count",
+            F.col("best.key").alias("mode_key"),
+        )
     )
 
 

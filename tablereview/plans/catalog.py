@@ -604,10 +604,10 @@ def metric_roc_auc(t: Tables) -> DataFrame:
     )
 
 
-def _part_results(t: Tables) -> DataFrame:
+def _part_results(t: Tables, digits: int = 15) -> DataFrame:
     measured = model.evaluate(t.part_experiments(), 2, ("experiment", "variant"))
-    pairs = compare.pair_variants(measured).join(t.part_features(), "experiment")
-    return compare.deltas(pairs)
+    pairs = rounded(compare.pair_variants(measured), digits)
+    return compare.deltas(pairs.join(t.part_features(), "experiment"))
 
 
 @register
@@ -633,6 +633,15 @@ def decision_rules(t: Tables) -> DataFrame:
     )
 
 
+@register
+def comparison_texts(t: Tables) -> DataFrame:
+    """Summaries and reasons; metrics are rounded first, so that equal means equal."""
+    decided = compare.decide(_part_results(t, 12))
+    return decided.select(
+        "experiment", "summary", F.array_join("reasons", "|").alias("reasons"), "decision_summary"
+    )
+
+
 # -- suggestions --------------------------------------------------------------
 
 

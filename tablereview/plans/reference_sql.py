@@ -506,10 +506,11 @@ def auc(table: str, by: str) -> str:
     )
 
 
-def part_results() -> str:
+def part_results(digits: int = 15) -> str:
     keys = "experiment, variant"
+    shown = ", ".join(f"round({m}, {digits}) AS {m}" for m in ("accuracy", "f1_score", "roc_auc"))
     measured = (
-        f"(SELECT a.experiment, a.variant, accuracy, f1_score, roc_auc FROM (SELECT {keys}, "
+        f"(SELECT a.experiment, a.variant, {shown} FROM (SELECT {keys}, "
         f"avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM {PART_PREDICTIONS} "
         f"GROUP BY {keys}) a JOIN {f1(PART_PREDICTIONS, keys)} f USING ({keys}) "
         f"JOIN {auc(PART_PREDICTIONS, keys)} r USING ({keys}))"
@@ -528,16 +529,9 @@ def part_results() -> str:
 
 
 def decisions() -> str:
-    lists = (
-        "(SELECT l_partkey AS experiment, list_filter([CASE WHEN min(l_discount) <= 0.01 THEN "
-        "'log1p_l_discount' END, CASE WHEN max(l_quantity) >= 49 THEN 'ratio_l_tax_to_l_quantity' END], "
-        "lambda x: x IS NOT NULL) AS created, list_filter([CASE WHEN max(l_tax) >= 0.08 THEN "
-        "'diff_a: Unsupported transformation type: difference' END], lambda x: x IS NOT NULL) AS skipped "
-        "FROM lineitem GROUP BY 1)"
-    )
     return f"""
 WITH r AS (SELECT experiment, round(accuracy_change, 12) AS a, round(f1_change, 12) AS f,
-  round(roc_auc_change, 12) AS u, created, skipped FROM {part_results()} JOIN {lists} USING (experiment)),
+  round(roc_auc_change, 12) AS u, created, skipped FROM {part_results()} JOIN {FEATURE_LISTS} USING (experiment)),
  d AS (SELECT *, CASE WHEN len(created) = 0 THEN 'reject'
   WHEN a > 0 AND f > 0 AND coalesce(u, 0) >= 0 THEN 'accept'
   WHEN a <= 0 AND f <= 0 AND coalesce(u, 0) <= 0 THEN 'reject' ELSE 'review' END AS decision FROM r)
@@ -550,6 +544,49 @@ SELECT experiment, decision,
  f > 0 AS performance_improved, FALSE AS leakage_warning FROM d"""
 
 
+FEATURE_LISTS = (
+    "(SELECT l_partkey AS experiment, list_filter([CASE WHEN min(l_discount) <= 0.01 THEN "
+    "'log1p_l_discount' END, CASE WHEN max(l_quantity) >= 49 THEN 'ratio_l_tax_to_l_quantity' END], "
+    "lambda x: x IS NOT NULL) AS created, list_filter([CASE WHEN max(l_tax) >= 0.08 THEN "
+    "'diff_a: Unsupported transformation type: difference' END], lambda x: x IS NOT NULL) AS skipped "
+    "FROM lineitem GROUP BY 1)"
+)
+
+
+def comparison_texts() -> str:
+    both = "printf('accuracy Δ%+.4f, F1 Δ%+.4f.', a, f)"
+    lead = (
+        "CASE WHEN a > 0 AND f <= 0 THEN printf('accuracy improved by %+.4f but F1 declined by %+.4f', a, f) "
+        "WHEN f > 0 AND a <= 0 THEN printf('F1 improved by %+.4f but accuracy declined by %+.4f', f, a) END"
+    )
+    tail = "CASE WHEN u < 0 THEN printf('ROC-AUC declined by %+.4f', u) END"
+    return f"""
+WITH r AS (SELECT *, accuracy_change AS a, f1_change AS f, roc_auc_change AS u
+  FROM {part_results(12)} JOIN {FEATURE_LISTS} USING (experiment)),
+ d AS (SELECT *, CASE WHEN len(created) = 0 THEN 'reject'
+  WHEN a > 0 AND f > 0 AND coalesce(u, 0) >= 0 THEN 'accept'
+  WHEN a <= 0 AND f <= 0 AND coalesce(u, 0) <= 0 THEN 'reject' ELSE 'review' END AS decision,
+  concat_ws('; ', {lead}, {tail}) AS mixed FROM r),
+ w AS (SELECT *, CASE WHEN len(created) = 0 THEN ['No engineered features were successfully created.']
+  WHEN decision = 'accept' THEN ['Model performance improved: ' || {both},
+   CASE WHEN u > 0 THEN printf('ROC-AUC Δ%+.4f.', u) END]
+  WHEN decision = 'reject' THEN ['No performance improvement: ' || {both}]
+  ELSE [CASE WHEN mixed <> '' THEN 'Mixed results: ' || mixed || '.' END,
+   'Engineered features show some benefit but not uniformly positive.'] END AS why FROM d),
+ k AS (SELECT *, list_filter(why, lambda x: x IS NOT NULL) AS reasons FROM w)
+SELECT experiment,
+ printf('Baseline model achieved accuracy %.4f and F1 %.4f. Engineered model achieved accuracy %.4f and F1 %.4f. ',
+  baseline_accuracy, baseline_f1_score, engineered_accuracy, engineered_f1_score)
+ || CASE WHEN u IS NULL THEN '' ELSE printf('ROC-AUC changed from %.4f to %.4f (Δ %+.4f). ',
+  baseline_roc_auc, engineered_roc_auc, u) END
+ || CASE WHEN improved THEN 'The engineered features improved model performance.' WHEN a > 0 THEN
+  'Accuracy improved but F1 did not; some metrics improved while others declined.'
+  ELSE 'The engineered features did not improve model performance.' END AS summary,
+ array_to_string(reasons, '|') AS reasons,
+ printf('Critic reviewed %d engineered feature(s). Decision: %s. Key reasons: ', len(created), upper(decision))
+  || array_to_string(reasons, '; ') AS decision_summary FROM k"""
+
+
 # -- suggestions --------------------------------------------------------------
 
 INNER = """'{"conv": ' || conv_id || ', "turn": ' || turn || '}'"""
@@ -823,6 +860,7 @@ SQL: dict[str, str] = {
         + f", improved FROM {part_results()}"
     ),
     "decision_rules": decisions(),
+    "comparison_texts": comparison_texts(),
     "suggest_extract_json": (
         "SELECT conv_id, turn, CASE WHEN json_valid(j) THEN j END AS json_text FROM (SELECT conv_id, turn, "
         "trim(CASE WHEN contains(response, '```json') THEN regexp_extract(response, '(?s)```json(.*)```', 1) "
