@@ -73,15 +73,6 @@ def missing_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def column_types(df: DataFrame) -> DataFrame:
-    """column_name, data_type - from the schema, no data is read."""
-    return rows_as_table(
-        df.sparkSession,
-        "position int, column_name string, data_type string",
-        [(i, f.name, ty.type_label(f.dataType)) for i, f in enumerate(df.schema.fields)],
-    )
-
-
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(c, key, n): rows per value of category columns; c is the index in ``columns``.
 

@@ -75,7 +75,10 @@ def test_report_order_and_summary(spark):
 
 @pytest.mark.parametrize(
     "counts, importance",
-    [((50, 50), None), ((59, 41), None), ((70, 30), "low"), ((75, 25), "medium"), ((85, 15), "medium"), ((95, 5), "high"), ((100,), None)],
+    [
+        ((50, 50), None), ((59, 41), None), ((70, 30), "low"), ((75, 25), "medium"), ((85, 15), "medium"),
+        ((95, 5), "high"), ((100,), None),
+    ],
 )
 def test_imbalance(spark, counts, importance):
     spread = rows_as_table(spark, "target_value string, n bigint", [(str(i), n) for i, n in enumerate(counts)])
