@@ -8,12 +8,16 @@
    estimates the similarity of a candidate pair by bit counts.
 3. Pairs whose estimate is within reach of the threshold are confirmed on their full sets.
 
-Buckets are never expanded into all pairs. In round t a bucket of up to SMALL * 4**t nodes
-compares every pair, a larger one compares all its nodes with 4**t pivots, the first being the
-node that lies in the most and largest buckets (the likely origin of a group of edits). Links are
-contracted after each round; compared pivots leave their bucket, and a bucket goes on until its
-remaining nodes are one component. So every pair of nodes of a bucket is compared or already
-connected in the end, whatever the bucket's size.
+Buckets are never expanded into all pairs, except those of up to SMALL nodes. In a larger one all
+nodes are compared with one pivot, the node that lies in the most and largest buckets: the likely
+origin of a group of edits. Buckets whose nodes are one component after that are done. Among the
+nodes of the others, pairs of different components are found by their rarest shingles: with the
+shingles of all open nodes in one order of falling rarity, two sets that share at least s of their
+n and m shingles have one in common among the first n - s + 1 of the one and m - s + 1 of the
+other. Here s = t / (1 + t) * (n + m), with m not below the least set in the node's buckets. An
+edit that went too far has its first places full of shingles of its own and meets nobody; one that
+did not is linked with the origin already. So every pair of nodes with a band in common is
+compared, ruled out or connected, whatever the bucket's size.
 
 With 32 bands of 5, a pair of similarity 0.8 shares no band with probability 3e-6, and its estimate
 falls short of 0.8 by the margin of 0.2 (six standard deviations) with about 1e-9.
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import col
@@ -293,34 +297,26 @@ def _link(source: DataFrame, nodes: DataFrame, width: int, threshold: int) -> Da
         .mapInArrow(_sets(width), "node bigint, shingles array<bigint>"),
         "sets",
     )
-    bucket = members.select("key", "node", "size").join(company, "node")
+    bucket = store(members.join(company, "node"), "buckets")
     signatures = nodes.select("node", "signature")
-    links, labels, tested, turn = None, None, None, 0
-    while True:
-        bucket = store(bucket, "buckets")
-        if bucket.isEmpty():
-            break
-        pivots = store(_pivots(bucket, turn), "pivots")
-        pairs = _pairs(bucket, pivots, labels)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = store(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        confirmed = store(_confirmed(pairs, signatures, sets, threshold), "links")
-        links = confirmed if links is None else links.unionByName(confirmed)
-        labels = components(links, labels)
-        bucket = _open(bucket, pivots, labels)
-        turn += 1
-    if labels is None:
+    if bucket.isEmpty():
         return nodes.select("node", F.col("node").alias("component")).limit(0)
-    return labels
-
-
-def _pivots(bucket: DataFrame, turn: int) -> DataFrame:
-    share = 4**turn
-    slot = F.when(F.col("size") <= SMALL * share, F.col("node")).otherwise(
-        F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(share))
-    )
+    pivots = _pivots(bucket)
+    pairs = bucket.select("key", "node").join(pivots, "key").filter("node != pivot")
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = store(_confirmed(pairs, signatures, sets, threshold), "links")
+    labels = components(links)
+    bucket = store(_open(bucket, labels), "open_buckets")
+    if bucket.isEmpty():
+        return labels
+    pairs = _rare_pairs(bucket, sets, labels, threshold)
+    more = store(_confirmed(pairs, signatures, sets, threshold), "links")
+    return components(links.unionByName(more), labels)
+
+
+def _pivots(bucket: DataFrame) -> DataFrame:
+    """(key, pivot): every node of a small bucket, the one with the most company of a large one."""
+    slot = F.when(F.col("size") <= SMALL, F.col("node"))
     return (
         bucket.groupBy("key", slot.alias("slot"))
         .agg(F.max(F.struct("company", "node")).alias("first"))
@@ -328,19 +324,66 @@ def _pivots(bucket: DataFrame, turn: int) -> DataFrame:
     )
 
 
-def _pairs(bucket: DataFrame, pivots: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b) of a node and a pivot of its bucket that are not connected yet."""
-    pairs = bucket.select("key", "node").join(pivots, "key").filter("node != pivot")
-    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    if labels is None:
-        return pairs
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+def _open(bucket: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, component) of the large buckets with nodes of two components or more."""
+    rest = (
+        bucket.filter(F.col("size") > SMALL)
+        .select("key", "node")
+        .join(labels, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+    )
+    several = (
+        rest.groupBy("key")
+        .agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        .filter("least != most")
+    )
+    return rest.join(several.select("key"), "key").select("key", "node", "component")
+
+
+def _rare_pairs(bucket: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of open nodes of different components that have one of their rarest shingles in common."""
+    sizes = sets.select("node", F.size("shingles").alias("n"))
+    mates = bucket.join(sizes, "node")
+    least = mates.groupBy("key").agg(F.min("n").alias("least"))
+    part = F.lit(threshold / (100 + threshold))
+    smallest = F.greatest(F.min("least"), F.ceil(F.first("n") * threshold / 100))
+    first = (
+        mates.join(least, "key")
+        .groupBy("node")
+        .agg(F.first("component").alias("component"), F.first("n").alias("n"), smallest.alias("least"))
+        # a hair less, so that rounding never shortens a beginning
+        .withColumn("places", F.col("n") - F.ceil(part * (F.col("n") + F.col("least")) - 1e-6) + 1)
+    )
+    first = store(first, "open_nodes")
+    held = store(
+        sets.join(first.select("node"), "node").select("node", F.explode("shingles").alias("shingle")), "open_shingles"
+    )
+    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"))
+    rarest = Window.partitionBy("node").orderBy("nodes", "shingle")
+    beginning = (
+        held.join(common, "shingle")
+        .withColumn("place", F.row_number().over(rarest))
+        .join(first, "node")
+        .filter((F.col("place") <= F.col("places")) & (F.col("nodes") > 1))
+        .select("shingle", "node", "component", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
+    )
+    beginning = store(beginning, "rare_shingles")
+    other = beginning.select(
+        "shingle",
+        F.col("node").alias("b"),
+        F.col("component").alias("of_b"),
+        F.col("n").alias("n_b"),
+        F.col("rest").alias("rest_b"),
+    )
+    # at their first common shingle, what is left of each set must hold all they need to share
+    enough = F.least("rest", "rest_b") >= part * (F.col("n") + F.col("n_b")) - 1e-6
+    fits = enough & (F.col("component") != F.col("of_b"))
     return (
-        pairs.join(one, "a", "left")
-        .join(two, "b", "left")
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        beginning.withColumnRenamed("node", "a")
+        .join(other, "shingle")
+        .filter(fits & (F.col("a") < F.col("b")))
         .select("a", "b")
+        .distinct()
     )
 
 
@@ -361,19 +404,3 @@ def _confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, thresho
         .filter(100 * F.col("both") >= threshold * (F.size("of_a") + F.size("of_b") - F.col("both")))
         .select("a", "b")
     )
-
-
-def _open(bucket: DataFrame, pivots: DataFrame, labels: DataFrame) -> DataFrame:
-    """Buckets without the pivots they have compared, as far as two components are left in them."""
-    rest = (
-        bucket.drop("size")
-        .join(pivots.select("key", F.col("pivot").alias("node")), ["key", "node"], "left_anti")
-        .join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    several = (
-        rest.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most"))
-        .filter("least != most")
-    )
-    return rest.join(several.select("key", "size"), "key").select("key", "node", "size", "company")

@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tablereview.llm import dedup, line_rules, mixing, packing, secret_scan
+from pyspark.sql import functions as F
+
+from tablereview.llm import (
+    dedup,
+    fingerprints,
+    language,
+    licenses,
+    line_rules,
+    mixing,
+    packing,
+    pii,
+    resample,
+    secret_scan,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,20 +35,59 @@ def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup.near_duplicates(documents(spark, folder), width=dedup.WIDTH)
 
 
+def op3_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(documents(spark, folder))
+
+
 def op4_line_rules(spark: SparkSession, folder: str) -> DataFrame:
     return line_rules.line_rules(documents(spark, folder))
 
 
+def op5_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(documents(spark, folder)))
 
 
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of a tree: source / thousands / fifties / id."""
+    path = F.concat_ws(
+        "/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 50"), F.concat(F.col("doc_id"), F.lit(".txt"))
+    )
+    files = documents(spark, folder).select(path.alias("path"), "text")
+    found = licenses.scan_licenses(files)
+    doc_id = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id")
+    return found.select(doc_id, "*")
+
+
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.scan_personal(documents(spark, folder)))
+
+
+def op9_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    models = language.language_models(documents(spark, folder))
+    return language.identify(spark.read.parquet(f"{folder}/pages.parquet"), models)
+
+
 def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder), copy_column="copy_no")
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_minhash_near_dedup, op4_line_rules, op6_secret_scan, op10_mix_sources)
+    for f in (
+        op1_best_fit_packing,
+        op2_minhash_near_dedup,
+        op3_prefix_fingerprints,
+        op4_line_rules,
+        op5_importance_resampling,
+        op6_secret_scan,
+        op7_license_scan,
+        op8_personal_data,
+        op9_language_fusion,
+        op10_mix_sources,
+    )
 }
 SQL: dict[str, str] = {}
