@@ -57,28 +57,37 @@ _UP = [_Powers(b) for b in BASES]
 _DOWN = [_Powers(pow(b, -1, PRIME)) for b in BASES]
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(_U) + _U(1)
+
+
 class PrefixHashes:
     """Hashes of all spans of a text, each in constant time."""
 
-    def __init__(self, text: str) -> None:
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(_U) + _U(1)
-        self.n = len(codes)
+    def __init__(self, text: str, before: PrefixHashes | None = None, keep: int = 0) -> None:
+        """Of ``text``, or of the first ``keep`` code points of ``before`` and then ``text``."""
+        codes = _codes(text)
+        self.n = keep + len(codes)
         self.prefixes = []
-        for up in _UP:
-            sums = np.zeros(self.n + 1, dtype=_U)
-            np.cumsum(_reduced(codes * up(self.n)), out=sums[1:])
-            self.prefixes.append(_reduced(sums))
+        for i, up in enumerate(_UP):
+            terms = codes * up(self.n)[keep:]
+            sums = np.empty(self.n + 1, dtype=_U)
+            sums[: keep + 1] = before.prefixes[i][: keep + 1] if before else 0
+            sums[keep + 1 :] = _reduced(np.cumsum((terms & _P) + (terms >> _U(31))) + sums[keep])
+            self.prefixes.append(sums)
 
     def spans(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """62-bit hashes of many spans."""
         parts = []
         for prefix, down in zip(self.prefixes, _DOWN, strict=True):
-            part = prefix[stops] + _P - prefix[starts]
-            parts.append(_reduced(_reduced(part) * down(self.n + 1)[starts]))
+            parts.append(_reduced((prefix[stops] + _P - prefix[starts]) * down(self.n + 1)[starts]))
         return (parts[0] << _U(31)) | parts[1]
 
     def span(self, start: int, stop: int) -> int:
-        return int(self.spans(np.array([start]), np.array([stop]))[0])
+        parts = []
+        for prefix, down in zip(self.prefixes, _DOWN, strict=True):
+            parts.append((int(prefix[stop]) - int(prefix[start])) * int(down(start + 1)[start]) % PRIME)
+        return parts[0] << 31 | parts[1]
 
     def equal(self, start: int, other: PrefixHashes, other_start: int, length: int) -> bool:
         return self.span(start, start + length) == other.span(other_start, other_start + length)
@@ -94,25 +103,36 @@ class PrefixHashes:
                 high = middle - 1
         return low
 
-    def sketch(self) -> np.ndarray:
-        """The least scrambled hashes of distinct windows, in order, as 32-bit numbers."""
-        if self.n == 0:
-            return np.zeros(0, dtype=np.uint32)
+    def windows(self, first: int = 0) -> np.ndarray:
+        """Scrambled hashes of the windows from a place on, as 32-bit numbers; a short text is one window."""
         width = min(WINDOW, self.n)
-        starts = np.arange(self.n - width + 1)
-        values = W.mix(self.spans(starts, starts + width)) >> _U(32)
-        least = values
-        if len(values) > 8 * SKETCH:
-            few = values[values < _U((1 << 32) * 4 * SKETCH // len(values))]
-            least = few if len(np.unique(few)) >= SKETCH else values
-        return np.unique(least)[:SKETCH].astype(np.uint32)
+        starts = np.arange(first, self.n - width + 1)
+        return W.mix(self.spans(starts, starts + width)) >> _U(32)
+
+
+def _least(windows: np.ndarray) -> np.ndarray:
+    """The SKETCH least distinct values, in order."""
+    if len(windows) > 8 * SKETCH:
+        few = np.unique(windows[windows < _U((1 << 32) * 4 * SKETCH // len(windows))])
+        if len(few) >= SKETCH:
+            return few[:SKETCH].astype(np.uint32)
+    return np.unique(windows)[:SKETCH].astype(np.uint32)
 
 
 class Fingerprint:
-    def __init__(self, text: str) -> None:
-        self.hashes = PrefixHashes(text)
-        self.whole = self.hashes.span(0, self.hashes.n)
-        self.least = self.hashes.sketch()
+    def __init__(self, text: str, before: Fingerprint | None = None, keep: int = 0) -> None:
+        """Of ``text``, or of the first ``keep`` code points of ``before`` and then ``text``."""
+        self.hashes = PrefixHashes(text, before.hashes if before else None, keep)
+        n = self.hashes.n
+        self.whole = self.hashes.span(0, n)
+        same = keep - WINDOW + 1 if before and min(n, before.hashes.n) >= WINDOW else 0
+        if n == 0:
+            self.windows = np.zeros(0, dtype=_U)
+        elif same > 0:
+            self.windows = np.concatenate([before.windows[:same], self.hashes.windows(same)])
+        else:
+            self.windows = self.hashes.windows()
+        self.least = _least(self.windows)
 
     def __str__(self) -> str:
         return f"{self.hashes.n:x}-{self.whole:016x}-{self.least.astype('>u4').tobytes().hex()}"
@@ -130,12 +150,6 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     return 2 * j / (1 + j)
 
 
-def edited(text: str, after: str) -> str:
-    """The text with its last quarter replaced by as much of the beginning of the next."""
-    n = len(text) // 4
-    return text[: len(text) - n] + after[:n]
-
-
 _FIELDS = (
     ("n_chars", pa.int64()),
     ("edited_sha256", pa.string()),
@@ -149,8 +163,11 @@ _FIELDS = (
 
 
 def _compared(text: str, own: Fingerprint, after: str, following: Fingerprint) -> tuple:
-    changed = edited(text, after)
-    other = own if changed == text else Fingerprint(changed)
+    # the last quarter gives way to as much of the beginning of the next text
+    quarter = len(text) // 4
+    keep = len(text) - quarter
+    changed = text[:keep] + after[:quarter]
+    other = Fingerprint(after[:quarter], own, keep)
     return (
         own.hashes.n,
         hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),

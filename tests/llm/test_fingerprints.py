@@ -59,3 +59,12 @@ def test_many_rows_under_one_id(spark):
     got = fp.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 320
     assert len({r.fingerprint for r in got}) == 320
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abé", max_size=60), st.text("abé", max_size=40), st.data())
+def test_a_changed_end_gives_the_same_fingerprint(a, b, data):
+    keep = data.draw(st.integers(0, len(a)))
+    changed = fp.Fingerprint(b, fp.Fingerprint(a), keep)
+    assert str(changed) == str(fp.Fingerprint(a[:keep] + b))
+    assert (changed.windows == fp.Fingerprint(a[:keep] + b).windows).all()

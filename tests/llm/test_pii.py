@@ -85,7 +85,7 @@ def test_reliabilities_find_the_good_labeler():
                 votes += "2" if said else "0"
             counts[votes] = counts.get(votes, 0) + round(p)
     truth, trust = pii.reliabilities(counts, (0.8, 0.8, 0.8))
-    assert trust[0][0] > trust[1][0] > trust[2][0]
+    assert sum(trust[0]) > sum(trust[1]) > sum(trust[2])
     assert truth["222"] > 0.9 > 0.1 > truth["000"]
 
 
