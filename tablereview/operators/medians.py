@@ -107,15 +107,20 @@ def medians_of(
 ) -> dict[str, float | None]:
     """Exact medians, given the summaries of the same rows."""
     known = {c: s.bracket for c, s in found.items() if s is not None}
-    while True:
-        wide = {c: b for c, b in known.items() if b.inside > max_values and b.low < b.high}
-        if not wide:
-            break
-        known.update(_narrow(df, wide, accuracy))
     out: dict[str, float | None] = dict.fromkeys(found)
-    names = list(known)
-    for start in range(0, len(names), BATCH):
-        out.update(_read_off(df, {c: known[c] for c in names[start : start + BATCH]}))
+    for limit in (max_values, max_values, math.inf):
+        while True:
+            wide = {c: b for c, b in known.items() if b.inside > limit and b.low < b.high}
+            if not wide:
+                break
+            known.update(_narrow(df, wide, accuracy))
+        names = list(known)
+        for start in range(0, len(names), BATCH):
+            out.update(_read_off(df, {c: known[c] for c in names[start : start + BATCH]}))
+        # a bracket that missed the middle starts again from all values, at last without narrowing
+        known = {c: Bracket(b.rows, -math.inf, math.inf, b.rows) for c, b in known.items() if out[c] is None}
+        if not known:
+            break
     return out
 
 
@@ -157,6 +162,7 @@ def _narrow(df: DataFrame, wide: dict[str, Bracket], accuracy: int) -> dict[str,
 
 
 def _read_off(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, float]:
+    """Medians of the columns whose bracket holds the middle."""
     if not brackets:
         return {}
     names = list(brackets)
@@ -190,7 +196,6 @@ def _read_off(df: DataFrame, brackets: dict[str, Bracket]) -> dict[str, float]:
     )
     out = {}
     for m in middle:
-        if m.a is None or m.b is None or m.a != m.a:
-            raise RuntimeError(f"median bracket of column {names[int(m.c)]!r} missed the middle")
-        out[names[int(m.c)]] = (m.a + m.b) / 2.0
+        if not (m.a is None or m.b is None or m.a != m.a):
+            out[names[int(m.c)]] = (m.a + m.b) / 2.0
     return out

@@ -77,7 +77,10 @@ def evaluate(predictions: DataFrame, classes: int, by: tuple[str, ...] = ()) ->
         return base.withColumn("roc_auc", F.lit(None).cast("double"))
     area = roc_auc(predictions, F.col("label") == 1.0, by)
     if by:
-        return base.join(area, list(by))
+        # a missing group value is a group too
+        area = area.select(*[col(c).alias(f"_area_{c}") for c in by], "roc_auc")
+        same = [col(c).eqNullSafe(col(f"_area_{c}")) for c in by]
+        return base.join(area, same).select(*[col(c) for c in base.columns], "roc_auc")
     return base.withColumn("roc_auc", area.scalar())
 
 

@@ -218,17 +218,16 @@ def merge_findings(
 def parse_specs(
     responses: DataFrame,
     columns: list[str],
-    target: str | None = None,
     text: str = "response",
     keys: tuple[str, ...] = (),
 ) -> DataFrame:
     """Usable feature specs of all valid responses.
 
-    Dropped: types outside the vocabulary, empty column lists, columns that the
-    table does not have, and - when ``target`` is given - specs that read it.
+    Dropped: types outside the vocabulary, empty column lists and columns that
+    the table does not have. Specs that read the target are kept.
     """
     specs = _parse(responses, text, keys, "specs", _SPECS, False)
-    allowed = F.array(*[F.lit(c) for c in columns if c != target])
+    allowed = F.array(*[F.lit(c) for c in columns])
     return specs.where(
         F.col("transformation_type").isin(*SPEC_TYPES)
         & (F.size("columns") > 0)

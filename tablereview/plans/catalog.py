@@ -679,9 +679,7 @@ def findings_merge_summary(t: Tables) -> DataFrame:
 
 @register
 def suggest_specs(t: Tables) -> DataFrame:
-    specs = suggest.parse_specs(
-        t.spec_responses(), t.events.columns, target="event_type", keys=("event_id",)
-    )
+    specs = suggest.parse_specs(t.spec_responses(), t.events.columns, keys=("event_id",))
     return specs.select(
         "event_id", "ordinal", "feature_name", "transformation_type", F.array_join("columns", ",").alias("columns")
     )

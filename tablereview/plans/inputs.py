@@ -161,6 +161,7 @@ class Tables:
             .when(F.col("value") < 5, "[]")
             .when(F.col("value") < 10, '["nope"]')
             .when(F.col("value") < 15, "[7]")
+            .when(F.col("value") < 20, '["value","event_type"]')
             .otherwise('["value"]')
         )
         response = F.concat(

@@ -610,7 +610,7 @@ SPEC_RESPONSES = """(SELECT event_id, '{"specs": [{"feature_name": "f_' || event
  '", "transformation_type": "' || CASE event_type WHEN 'view' THEN 'ratio' WHEN 'click' THEN 'log1p'
  WHEN 'purchase' THEN 'sqrt' ELSE event_type END || '", "columns": ' ||
  CASE WHEN event_type = 'view' THEN '["value","user_id"]' WHEN value < 5 THEN '[]'
- WHEN value < 10 THEN '["nope"]' WHEN value < 15 THEN '[7]' ELSE '["value"]' END ||
+ WHEN value < 10 THEN '["nope"]' WHEN value < 15 THEN '[7]' WHEN value < 20 THEN '["value","event_type"]' ELSE '["value"]' END ||
  '}], "summary": "s"}' AS response FROM events)"""
 
 
@@ -620,7 +620,7 @@ def suggested() -> str:
         "response ->> '$.specs[0].transformation_type' AS transformation_type, "
         f"json_extract_string(response, '$.specs[0].columns[*]') AS columns FROM {SPEC_RESPONSES})"
     )
-    names = ", ".join(f"'{c}'" for c, _ in EVENTS if c != "event_type")
+    names = ", ".join(f"'{c}'" for c, _ in EVENTS)
     return (
         "SELECT event_id, 1 AS ordinal, feature_name, transformation_type, array_to_string(columns, ',') "
         f"AS columns FROM {parsed} WHERE transformation_type IN ('ratio', 'log1p', 'sqrt') "

@@ -140,7 +140,7 @@ def run_review(
 
     specs = None if plan_with is None else plan_with(facts, target)
     if responses.features is not None:
-        supplied = suggest.parse_specs(responses.features, df.columns, target)
+        supplied = suggest.parse_specs(responses.features, df.columns)
         specs = supplied if specs is None else planner.append_specs(specs, supplied)
     comparison = compare_models(df, target, [] if specs is None else specs, **model_options)
     decision = materialize(decide(comparison.result))

@@ -293,3 +293,10 @@ def test_comparison_summary_wording(spark):
     )
     assert second.summary.endswith("Accuracy improved but F1 did not; some metrics improved while others declined.")
     assert second.roc_auc_change is None and "ROC" not in second.summary
+
+
+def test_missing_group_value_is_a_group(spark):
+    rows = [(None, 1.0, 1.0, 0.9), (None, 0.0, 1.0, 0.4), (1, 1.0, 1.0, 0.8), (1, 0.0, 0.0, 0.9)]
+    scored = spark.createDataFrame(rows, "g int, label double, prediction double, score double")
+    got = {r.g: (r.test_rows, r.accuracy, r.roc_auc) for r in model.evaluate(scored, 2, ("g",)).collect()}
+    assert got == {None: (2, 0.5, 1.0), 1: (2, 1.0, 0.0)}

@@ -195,6 +195,15 @@ def test_write_table(spark, tmp_path):
     assert spark.read.parquet(write_table(df, str(tmp_path / "a" / "t"))).count() == 5
 
 
+def test_a_bracket_that_misses_the_middle_is_widened(spark):
+    df = spark.range(10_001).select(F.col("id").cast("double").alias("x"), (-F.col("id")).cast("double").alias("y"))
+    found = summaries(df, ["x", "y"])
+    missed = type(found["x"])(**{**found["x"].__dict__, "bracket": Bracket(10_001, 10.0, 20.0, 10.0)})
+    for limit in (40, 4_000_000):
+        got = medians_of(df, {"x": missed, "y": found["y"]}, accuracy=50, max_values=limit)
+        assert got == {"x": 5000.0, "y": -5000.0}
+
+
 def test_spread_copies_only_tables_in_between(spark):
     tiny = spark.range(10)
     assert spread(tiny) is tiny

@@ -231,13 +231,13 @@ def test_specs_from_outside(spark):
         "nothing",
     ]
     rows = responses(spark, *texts)
-    got = suggest.parse_specs(rows, ["a", "y"], "y", keys=("k",)).orderBy("k", "ordinal").collect()
+    got = suggest.parse_specs(rows, ["a", "y"], keys=("k",)).orderBy("k", "ordinal").collect()
     assert [(r.k, r.ordinal, r.feature_name, r.parameters) for r in got] == [
-        (0, 1, "f", None), (0, 6, "g", {"top_k": "3"}),
+        (0, 1, "f", None), (0, 5, "f", None), (0, 6, "g", {"top_k": "3"}),
     ]
-    assert suggest.parse_specs(rows, ["a", "y"], keys=("k",)).count() == 3
+    assert suggest.parse_specs(rows, ["a"], keys=("k",)).count() == 2
     facts = column_facts(spark.createDataFrame([(1.0, 0)], "a double, y int"), medians=False)
     planned = planner.plan_features(facts, "y")
-    both = planner.append_specs(planned, suggest.parse_specs(rows, ["a", "y"], "y"))
-    assert [r.ordinal for r in both.orderBy("ordinal").collect()] == [1, 2, 7]
+    both = planner.append_specs(planned, suggest.parse_specs(rows, ["a", "y"]))
+    assert [r.ordinal for r in both.orderBy("ordinal").collect()] == [1, 2, 6, 7]
     assert both.where(F.col("feature_name") == "g").count() == 1
