@@ -19,6 +19,9 @@ from tablereview.llm import (
     resample,
     secret_scan,
 )
+from tablereview.llm.reference_sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,4 +93,3 @@ QUERIES: dict[str, Query] = {
         op10_mix_sources,
     )
 }
-SQL: dict[str, str] = {}
