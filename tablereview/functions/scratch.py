@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,12 +34,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def store(
+    df: DataFrame,
+    name: str,
+    partition_by: tuple[str, ...] = (),
+    schema: StructType | None = None,
+) -> DataFrame:
     """Write a table into the shared folder and read it back: later passes are
-    column-pruned scans that no lost executor can undo."""
+    column-pruned scans that no lost executor can undo. ``schema`` reads it under
+    other types of the same storage."""
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
 SMALLEST = 4 << 20

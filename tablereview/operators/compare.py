@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablereview.functions.expressions import fixed_text, rows_as_table
 from tablereview.functions.scratch import spread, store
 from tablereview.operators.model import evaluate, feature_columns, fit_predict
-from tablereview.operators.prep import MAX_LEVELS, fit_prep
+from tablereview.operators.prep import fit_prep
 from tablereview.operators.split import Split, stratified_split
 from tablereview.operators.transforms import FeaturePlan, feature_log, plan_transforms
 
@@ -36,7 +36,6 @@ def compare_models(
     max_iter: int = 1000,
     key: str | None = None,
     exclude: tuple[str, ...] = (),
-    max_levels: int = MAX_LEVELS,
 ) -> Comparison:
     """Train without and with the new features on the same split.
 
@@ -50,10 +49,10 @@ def compare_models(
     old = feature_columns(used.columns, target)
     new = feature_columns(plan.result_columns, target)
     engineered = split.stored(plan.apply(split.rows))
-    after = fit_prep(engineered.train, new, max_levels)
+    after = fit_prep(engineered.train, new)
     if set(plan.created) & set(old):
         plain = split.stored(split.rows)
-        before = fit_prep(plain.train, old, max_levels)
+        before = fit_prep(plain.train, old)
     else:
         plain, before = engineered, after.only(old)
     runs = {"baseline": fit_predict(plain, target, before, max_iter)}
@@ -64,7 +63,7 @@ def compare_models(
         part = run.predictions.withColumn("variant", F.lit(name))
         predictions = part if predictions is None else predictions.unionByName(part)
     # three narrow columns, read twice: by class and by score
-    metrics = evaluate(store(predictions, "predictions"), len(split.classes), ("variant",))
+    metrics = evaluate(store(predictions, "predictions"), split.class_count, ("variant",))
     if not plan.created:  # the same columns give the same model
         both = F.explode(F.array(F.lit("baseline"), F.lit("engineered")))
         metrics = metrics.drop("variant").select(both.alias("variant"), "*")

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablereview.functions import types as ty
-from tablereview.functions.expressions import col, rows_as_table
+from tablereview.functions.expressions import col
 from tablereview.functions.scratch import spread, store
 from tablereview.operators.metrics import class_metrics, roc_auc
-from tablereview.operators.prep import MAX_LEVELS, Prep, fit_prep
+from tablereview.operators.prep import Prep, fit_prep
 from tablereview.operators.split import MARK, Split, stratified_split
 
 MODEL_NAME = "LogisticRegression"
@@ -26,16 +26,10 @@ class Fitted:
     predictions: DataFrame  # test rows: label, prediction, score
 
 
-def class_label(target: str, classes: list, df: DataFrame) -> DataFrame:
+def class_label(target: str, classes: DataFrame, df: DataFrame) -> DataFrame:
     """Add ``_label``: index of the class in sorted order."""
-    kind = df.schema[target].dataType.simpleString()
-    lookup = rows_as_table(
-        df.sparkSession,
-        f"_t {kind}, _label double",
-        [(c, float(i)) for i, c in enumerate(classes)],
-    )
-    # one row per class, checked by the split
-    return df.join(F.broadcast(lookup), col(target) == F.col("_t")).drop("_t")
+    lookup = classes.select(F.col("t").alias("_t"), F.col("label").alias("_label"))
+    return df.join(lookup, col(target) == F.col("_t")).drop("_t")
 
 
 def fit_predict(
@@ -54,7 +48,7 @@ def fit_predict(
         elasticNetParam=0.0,
         standardization=False,
         tol=1e-6,
-        family="binomial" if len(split.classes) == 2 else "multinomial",
+        family="binomial" if split.class_count == 2 else "multinomial",
     )
     model = estimator.fit(train)
     test = prep.features(
@@ -92,22 +86,21 @@ def model_report(
     max_iter: int = 1000,
     key: str | None = None,
     exclude: tuple[str, ...] = (),
-    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """One row: model, task, target, metrics, sizes and notes."""
     used = spread(df.drop(*exclude) if exclude else df)
     split = stratified_split(used, target, test_size, seed, key).stored()
     columns = feature_columns(used.columns, target)
-    prep = fit_prep(split.train, columns, max_levels)
+    prep = fit_prep(split.train, columns)
     fitted = fit_predict(split, target, prep, max_iter)
     predictions = store(fitted.predictions, "predictions")
-    return report_row(evaluate(predictions, len(split.classes)), split, target, used, columns)
+    return report_row(evaluate(predictions, split.class_count), split, target, used, columns)
 
 
 def report_row(
     metrics: DataFrame, split: Split, target: str, df: DataFrame, columns: list[str]
 ) -> DataFrame:
-    binary = len(split.classes) == 2
+    binary = split.class_count == 2
     kinds = [df.schema[c].dataType for c in columns]
     notes = (
         f"Baseline {MODEL_NAME} model trained on {split.train_rows} training rows and evaluated "

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablereview.functions import types as ty
 from tablereview.functions.expressions import col, group_key
+from tablereview.functions.scratch import store
 from tablereview.operators.medians import medians_of, summaries
 from tablereview.operators.profile import value_counts
-
-MAX_LEVELS = 1_000_000
+from tablereview.operators.ranking import totals_before
 
 
 @dataclass(frozen=True)
@@ -36,31 +38,44 @@ class Scaled:
 
 @dataclass(frozen=True)
 class Encoded:
-    """A text column: fill level and all train levels in sorted order.
+    """A text column: fill level, number of train levels, and their id in ``Prep.levels``.
 
     Levels are group keys: the text itself, or its SHA-256 when it is long.
     """
 
     name: str
     mode: str
-    levels: tuple[str, ...]
+    size: int
+    id: str
 
 
 @dataclass(frozen=True)
 class Prep:
+    """``levels`` (c, key, n, slot) holds the train levels of all text columns, a table at
+    any number of levels; slot is the place of a level in the sorted order of its column."""
+
     numbers: list[Scaled]
     texts: list[Encoded]
+    levels: DataFrame | None = None
 
     def only(self, columns: list[str]) -> Prep:
         """The same fitted preparation for fewer input columns."""
         keep = set(columns)
         return Prep(
-            [n for n in self.numbers if n.name in keep], [t for t in self.texts if t.name in keep]
+            [n for n in self.numbers if n.name in keep],
+            [t for t in self.texts if t.name in keep],
+            self.levels,
         )
 
     @property
     def width(self) -> int:
-        return len(self.numbers) + sum(len(t.levels) for t in self.texts)
+        return len(self.numbers) + sum(t.size for t in self.texts)
+
+    @property
+    def starts(self) -> list[int]:
+        """Where the block of each text column starts in the features."""
+        ends = itertools.accumulate((t.size for t in self.texts), initial=len(self.numbers))
+        return list(ends)[:-1]
 
     def impute(self, df: DataFrame) -> DataFrame:
         """Fill missing numbers and texts; other columns stay."""
@@ -78,50 +93,74 @@ class Prep:
         return F.coalesce(group_key(col(text.name), df.schema[text.name].dataType), F.lit(text.mode))
 
     def features(self, df: DataFrame, keep: list[Column]) -> DataFrame:
-        """``keep`` columns plus a sparse ``features`` vector."""
+        """``keep`` columns plus a sparse ``features`` vector, written out."""
         if not self.width:
             raise ValueError("No usable feature columns.")
         numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
-        texts = [self._filled_key(df, t).alias(f"t{i}") for i, t in enumerate(self.texts)]
-        flat = df.select(*keep, *numbers, *texts)
-        kept = flat.columns[: len(keep)]
-        blocks = [f"n{i}" for i in range(len(numbers))]
-        flat = self._one_hot(flat)
-        blocks += [f"h{i}" for i in range(len(texts))]
-        assembled = VectorAssembler(inputCols=blocks, outputCol="features").transform(flat)
-        return assembled.select(*kept, "features")
+        flat, kept = self._slots(df, keep, numbers)
+        slots = [F.col(f"s{i}") for i in range(len(self.texts))]
+        places = [F.lit(i) for i in range(len(numbers))]
+        places += [(F.lit(start) + s).cast("int") for start, s in zip(self.starts, slots)]
+        values = [F.col(f"n{i}") for i in range(len(numbers))]
+        values += [F.when(s.isNotNull(), 1.0) for s in slots]
+        return _as_vectors(flat, kept, {"features": (self.width, places, values)})
 
     def encode(self, df: DataFrame, keep: list[Column]) -> DataFrame:
-        """``keep`` columns plus one one-hot vector ``h0, h1, ...`` per text column."""
+        """``keep`` columns plus one one-hot vector ``h0, h1, ...`` per text column, written out."""
+        flat, kept = self._slots(df, keep, [])
+        blocks = {}
+        for i, text in enumerate(self.texts):
+            slot = F.col(f"s{i}")
+            blocks[f"h{i}"] = (text.size, [slot.cast("int")], [F.when(slot.isNotNull(), 1.0)])
+        return _as_vectors(flat, kept, blocks)
+
+    def _slots(
+        self, df: DataFrame, keep: list[Column], numbers: list[Column]
+    ) -> tuple[DataFrame, list[str]]:
+        """``keep``, ``numbers``, and the slot s0, s1, ... of each text column: NULL for an
+        unseen level. Levels are joined by their text; Spark broadcasts a small table."""
         texts = [self._filled_key(df, t).alias(f"t{i}") for i, t in enumerate(self.texts)]
-        flat = self._one_hot(df.select(*keep, *texts))
-        return flat.select(*flat.columns[: len(keep)], *[f"h{i}" for i in range(len(texts))])
-
-    def _one_hot(self, flat: DataFrame) -> DataFrame:
-        """Vectors h0, h1, ... from the filled keys t0, t1, ..."""
-        if not self.texts:
-            return flat
-        ids = range(len(self.texts))
+        flat = df.select(*keep, *numbers, *texts)
+        kept = flat.columns[: len(keep)]
         for i, text in enumerate(self.texts):
-            indexer = StringIndexerModel.from_labels(
-                list(text.levels), inputCol=f"t{i}", outputCol=f"i{i}", handleInvalid="keep"
+            known = self.levels.where(F.col("c") == text.id).select(
+                F.col("key").alias(f"k{i}"), F.col("slot").alias(f"s{i}")
             )
-            flat = indexer.transform(flat)
-        # the slot dropped last is the one for unseen levels, so they are all zero;
-        # sizes come from the column metadata, fitting reads no rows
-        hot = OneHotEncoder(
-            inputCols=[f"i{i}" for i in ids], outputCols=[f"h{i}" for i in ids], dropLast=True
+            flat = flat.join(known, F.col(f"t{i}") == F.col(f"k{i}"), "left").drop(f"t{i}", f"k{i}")
+        return flat, kept
+
+
+def _as_vectors(
+    flat: DataFrame, kept: list[str], blocks: dict[str, tuple[int, list[Column], list[Column]]]
+) -> DataFrame:
+    """Sparse vectors of (size, places, values); a NULL place or value is left out.
+
+    They are written in the storage form of a vector and read as vectors, so no row
+    passes through Python.
+    """
+    parts = []
+    for name, (size, places, values) in blocks.items():
+        parts.append(
+            F.struct(
+                F.lit(0).cast("tinyint").alias("type"),
+                F.lit(size).cast("int").alias("size"),
+                F.filter(F.array(*places), lambda x: x.isNotNull()).alias("indices"),
+                F.filter(F.array(*values), lambda x: x.isNotNull()).alias("values"),
+            ).alias(name)
         )
-        return hot.fit(flat).transform(flat)
+    made = flat.select(*[col(c) for c in kept], *parts)
+    fields = [f for f in made.schema.fields if f.name not in blocks]
+    vectors = [T.StructField(name, VectorUDT()) for name in blocks]
+    return store(made, "vectors", schema=T.StructType(fields + vectors))
 
 
-def fit_prep(train: DataFrame, columns: list[str], max_levels: int = MAX_LEVELS) -> Prep:
+def fit_prep(train: DataFrame, columns: list[str]) -> Prep:
     """Fit on train rows. Columns without any value, and columns that are neither
     numbers nor text, are left out."""
     fields = {f.name: f.dataType for f in train.schema.fields}
     numbers = _fit_numbers(train, [c for c in columns if ty.is_number(fields[c])])
-    texts = _fit_texts(train, [c for c in columns if ty.is_text(fields[c])], max_levels)
-    return Prep(numbers, texts)
+    texts, levels = _fit_texts(train, [c for c in columns if ty.is_text(fields[c])])
+    return Prep(numbers, texts, levels)
 
 
 def _fit_numbers(train: DataFrame, columns: list[str]) -> list[Scaled]:
@@ -141,22 +180,21 @@ def _fit_numbers(train: DataFrame, columns: list[str]) -> list[Scaled]:
     return out
 
 
-def _fit_texts(train: DataFrame, columns: list[str], max_levels: int) -> list[Encoded]:
+def _fit_texts(train: DataFrame, columns: list[str]) -> tuple[list[Encoded], DataFrame | None]:
     if not columns:
-        return []
-    found = value_counts(train, columns).limit(max_levels + 1).collect()
-    if len(found) > max_levels:
-        raise ValueError(
-            f"Text columns have more than {max_levels} levels in total. One-hot encoding makes a "
-            "model coefficient of each: leave identifier columns out, or raise max_levels."
-        )
-    counts: dict[str, list[tuple[str, int]]] = {}
-    for r in found:
-        counts.setdefault(r.c, []).append((r.key, r.n))
-    out = []
-    for i, c in enumerate(columns):
-        levels = counts.get(str(i))
-        if levels:
-            mode = min(levels, key=lambda kn: (-kn[1], kn[0]))[0]
-            out.append(Encoded(c, mode, tuple(sorted(k for k, _ in levels))))
-    return out
+        return [], None
+    counted = value_counts(train, columns).select("c", "key", "n", F.lit(1).alias("one"))
+    ranked = store(totals_before(counted, ["c", "key"], "one", "place").drop("one"), "ranks")
+    # one row per column
+    facts = ranked.groupBy("c").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min("place").alias("start"),
+        F.min(F.struct(-F.col("n"), F.col("key"))).key.alias("mode"),
+    )
+    found = {r.c: r for r in facts.collect()}
+    texts, start = [], F.lit(None).cast("bigint")
+    for i, name in enumerate(columns):
+        if r := found.get(str(i)):
+            texts.append(Encoded(name, r["mode"], r["size"], r.c))
+            start = F.when(F.col("c") == r.c, r.start).otherwise(start)
+    return texts, ranked.select("c", "key", "n", (F.col("place") - start).alias("slot"))

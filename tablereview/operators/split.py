@@ -4,7 +4,11 @@ Rows of a class are ordered by a hash of the seed and the row key, and the
 first rows up to the quota of the class form the test set. A histogram of the
 leading hash digits finds the digit group in which each class is cut, and only
 that group is looked at closely. What comes out is one threshold per class, so
-marking the rows is a row-local comparison.
+marking the rows is a comparison. Without a key the rows are numbered within
+their equals, so that copies of one row fall on both sides.
+
+Classes, quotas and thresholds are tables at any number of classes; they are
+written out, so that Spark knows their size when it picks a join.
 """
 
 from __future__ import annotations
@@ -12,20 +16,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tablereview.functions.expressions import (
-    col,
-    nan_as_null,
-    row_fingerprint,
-    rows_as_table,
-)
+from tablereview.functions.expressions import col, nan_as_null, row_fingerprint
 from tablereview.functions.scratch import store
 from tablereview.operators.profile import require_column
+from tablereview.operators.ranking import totals_before
 
 MARK = "_is_test"
-MAX_CLASSES = 10_000
 GROUP_ROWS = 4096
 COPIES = 100_000
 
@@ -33,7 +32,8 @@ COPIES = 100_000
 @dataclass(frozen=True)
 class Split:
     rows: DataFrame  # the table plus MARK
-    classes: list  # class values in sorted order
+    classes: DataFrame  # t, n, label: the place of the class in sorted order
+    class_count: int
     train_rows: int
     test_rows: int
 
@@ -52,37 +52,40 @@ class Split:
         return self.rows.where(F.col(MARK)).drop(MARK)
 
 
-def train_quotas(counts: list[int], n_train: int) -> list[int]:
-    """Largest remainder: shares of ``n_train``; ties go to the earlier class."""
-    total = sum(counts)
-    shares = [divmod(c * n_train, total) for c in counts]
-    quotas = [whole for whole, _ in shares]
-    order = sorted(range(len(counts)), key=lambda i: (-shares[i][1], i))
-    for i in order[: n_train - sum(quotas)]:
-        quotas[i] += 1
-    return quotas
-
-
-def _class_counts(df: DataFrame, target: str) -> list[tuple]:
-    rows = (
-        df.groupBy(col(target).alias("t"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy("t")
-        .limit(MAX_CLASSES + 2)
-        .collect()
+def _classes(df: DataFrame, target: str) -> tuple[DataFrame, Row]:
+    """(t, n, label) of each class, and what the checks need to know of them."""
+    counted = df.groupBy(col(target).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    placed = totals_before(counted.withColumn("one", F.lit(1)), ["t"], "one", "label")
+    classes = store(placed.select("t", "n", F.col("label").cast("double").alias("label")), "classes")
+    facts = classes.agg(
+        F.count(F.lit(1)).alias("classes"),
+        F.count_if(F.col("t").isNull()).alias("missing"),
+        F.min("n").alias("least"),
+        F.max("n").alias("largest"),
+        F.sum("n").alias("total"),
     )
-    if any(r.t is None for r in rows):
-        raise ValueError(f"Target column '{target}' contains missing values.")
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"Target column '{target}' has more than {MAX_CLASSES} classes.")
-    return [(r.t, r.n) for r in rows]
+    return classes, facts.first()
+
+
+def class_quotas(classes: DataFrame, total: int, n_train: int) -> DataFrame:
+    """(t, quota) of the classes with test rows. The train side gets the largest
+    remainder shares of ``n_train``; ties go to the earlier class."""
+    wide = F.col("n").cast("decimal(19,0)") * F.lit(n_train).cast("decimal(19,0)")
+    shares = classes.select("t", "n", "label", wide.alias("share")).selectExpr(
+        "t", "n", "label", f"share div {total} as whole", f"-(share % {total}) as rest"
+    )
+    left = n_train - shares.agg(F.sum("whole").alias("s")).first().s
+    placed = totals_before(shares.withColumn("one", F.lit(1)), ["rest", "label"], "one", "place")
+    kept = F.col("whole") + F.when(F.col("place") < left, 1).otherwise(0)
+    quotas = placed.select("t", (F.col("n") - kept).cast("bigint").alias("quota"))
+    return store(quotas.where(F.col("quota") > 0), "quotas")
 
 
 def _content_hash(df: DataFrame, seed: int) -> Column:
     return F.concat(*[F.lpad(F.hex(h), 16, "0") for h in row_fingerprint(df, seed)])
 
 
-def _cuts(hashed: DataFrame, quotas: DataFrame, largest: int) -> list:
+def _cuts(hashed: DataFrame, quotas: DataFrame, largest: int) -> DataFrame:
     """Per class: the hash at which the quota is reached, how many rows of that
     hash are still taken (``take``) and how many rows have it (``same``).
 
@@ -95,20 +98,19 @@ def _cuts(hashed: DataFrame, quotas: DataFrame, largest: int) -> list:
     upto = F.sum("n").over(Window.partitionBy("t").orderBy("g"))
     cut_groups = (
         by_group.withColumn("upto", upto)
-        .join(F.broadcast(quotas), "t")
+        .join(quotas, "t")
         .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
         .select("t", "g", (F.col("quota") - F.col("upto") + F.col("n")).alias("rest"))
     )
-    # one row per class
     inside = (
         hashed.withColumn("g", group)
-        .join(F.broadcast(cut_groups), ["t", "g"])
+        .join(store(cut_groups, "cut_groups"), ["t", "g"])
         .groupBy("t", "h")
         .agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("rest"))
     )
     # rows with equal hash are one row here, so this holds ~ rows / 16^digits
     upto = F.sum("n").over(Window.partitionBy("t").orderBy("h"))
-    return (
+    cuts = (
         inside.withColumn("upto", upto)
         .where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("n") < F.col("rest")))
         .select(
@@ -117,29 +119,51 @@ def _cuts(hashed: DataFrame, quotas: DataFrame, largest: int) -> list:
             (F.col("rest") - F.col("upto") + F.col("n")).alias("take"),
             F.col("n").alias("same"),
         )
-        .collect()
     )
+    return store(cuts, "cuts")
 
 
-def _table(df: DataFrame, target: str, schema: str, rows: list[tuple]) -> DataFrame:
-    kind = df.schema[target].dataType.simpleString()
-    return rows_as_table(df.sparkSession, f"t {kind}, {schema}", rows)
-
-
-def _mark(df: DataFrame, target: str, h: Column, cuts: list) -> DataFrame:
-    """Add MARK; rows at a cut that is only partly taken get NULL."""
-    table = _table(
-        df, target, "_cut string, _whole boolean", [(c.t, c.h, c["take"] == c.same) for c in cuts]
-    ).withColumnRenamed("t", "_t")
-    # one row per class, at most MAX_CLASSES
-    joined = df.withColumn("_h", h).join(F.broadcast(table), col(target) == F.col("_t"), "left")
+def _mark(df: DataFrame, target: str, columns: list[str], cuts: DataFrame) -> DataFrame:
+    """``columns`` and MARK, from rows with ``_h``; rows at a cut that is only
+    partly taken get NULL."""
+    ends = cuts.select(
+        F.col("t").alias("_t"), F.col("h").alias("_cut"), (F.col("take") == F.col("same")).alias("_whole")
+    )
+    joined = df.join(ends, col(target) == F.col("_t"), "left")
     mark = (
         F.when(F.col("_cut").isNull(), False)
         .when(F.col("_h") < F.col("_cut"), True)
         .when(F.col("_h") > F.col("_cut"), False)
         .when(F.col("_whole"), True)
     )
-    return joined.select(*[col(c) for c in df.columns], mark.alias(MARK))
+    return joined.select(*[col(c) for c in columns], mark.alias(MARK))
+
+
+def _numbered(df: DataFrame, seed: int) -> DataFrame:
+    """The rows of ``df`` and ``_h``: a hash of content and number among equal rows.
+
+    Equal rows are counted (combined before the shuffle) and written out again;
+    a row with very many copies is dealt out in chunks first.
+    """
+    columns = [col(c) for c in df.columns]
+    groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    few = groups.where(F.col("_n") <= COPIES).select(
+        *columns, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_k")
+    )
+    chunk = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPIES))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("_chunk") * COPIES
+    many = (
+        groups.where(F.col("_n") > COPIES)
+        .select("*", F.explode(chunk).alias("_chunk"))
+        .repartition(tasks, F.col("_chunk"), F.xxhash64(*columns))
+        .select(
+            *columns,
+            F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)).alias("_k"),
+        )
+    )
+    h = F.md5(F.concat_ws("|", _content_hash(df, seed), F.col("_k").cast("string")))
+    return few.unionByName(many).select(*columns, h.alias("_h"))
 
 
 def _share_copies(same: DataFrame, target: str, columns: list[str], take: DataFrame) -> DataFrame:
@@ -154,7 +178,7 @@ def _share_copies(same: DataFrame, target: str, columns: list[str], take: DataFr
     before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     counted = (
         groups.withColumn("_before", before)
-        .join(F.broadcast(take), col(target) == F.col("_t"))
+        .join(take, col(target) == F.col("_t"))
         .withColumn(
             "_test", F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_take") - F.col("_before")))
         )
@@ -190,55 +214,62 @@ def stratified_split(
     """Split ``df``: ceil(test_size * n) test rows, classes in proportion.
 
     ``key`` names an identifier column: rows are ordered by
-    md5("seed|key"). Without it the content of the row is the key.
+    md5("seed|key"), rows of one key by their content. Without it the content of
+    the row and its number among equal rows are the key.
     """
     require_column(df, target)
     df = nan_as_null(df)
-    counts = _class_counts(df, target)
-    if len(counts) < 2:
+    classes, facts = _classes(df, target)
+    if facts.missing:
+        raise ValueError(f"Target column '{target}' contains missing values.")
+    if facts.classes < 2:
         raise ValueError(f"Target column '{target}' needs at least two classes.")
-    if min(n for _, n in counts) < 2:
+    if facts.least < 2:
         raise ValueError(f"The least populated class in '{target}' has only 1 member.")
-    total = sum(n for _, n in counts)
-    n_test = math.ceil(test_size * total)
-    n_train = total - n_test
-    if min(n_train, n_test) < len(counts):
+    n_test = math.ceil(test_size * facts.total)
+    n_train = facts.total - n_test
+    if min(n_train, n_test) < facts.classes:
         raise ValueError("The train and test sets must each have one row per class or more.")
-    keep = train_quotas([n for _, n in counts], n_train)
-    quotas = [(t, n - k) for (t, n), k in zip(counts, keep) if n > k]
-    content = _content_hash(df, seed)
-    h = content if key is None else F.md5(F.concat(F.lit(f"{seed}|"), col(key).cast("string")))
-    hashed = df.select(col(target).alias("t"), h.alias("h"))
-    cuts = _cuts(hashed, _table(df, target, "quota bigint", quotas), max(n for _, n in counts))
-    marked = _mark(df, target, h, cuts)
-    open_cuts = [c for c in cuts if c["take"] < c.same]
-    if open_cuts:
-        marked = _settle(df, target, h, content, marked, open_cuts, content_key=key is None)
-    return Split(marked, [t for t, _ in counts], n_train, n_test)
-
-
-def _rows_at(df: DataFrame, target: str, h: Column, cuts: list) -> DataFrame:
+    quotas = class_quotas(classes, facts.total, n_train)
+    if key is None:
+        rows = store(_numbered(df, seed), "numbered")
+    else:
+        rows = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), col(key).cast("string"))))
+    cuts = _cuts(rows.select(col(target).alias("t"), F.col("_h").alias("h")), quotas, facts.largest)
+    marked = _mark(rows, target, df.columns, cuts)
+    if not cuts.where("take < same").isEmpty():
+        marked = _settle(rows, target, df.columns, _content_hash(df, seed), marked, cuts, facts.largest)
+    return Split(marked, classes, facts.classes, n_train, n_test)
+
+
+def _rows_at(rows: DataFrame, target: str, cuts: DataFrame) -> DataFrame:
     """Rows that share the hash at the cut of their class."""
-    at = _table(df, target, "_cut string", [(c.t, c.h) for c in cuts]).withColumnRenamed("t", "_t")
+    at = cuts.select(F.col("t").alias("_t"), F.col("h").alias("_cut"))
     same = (col(target) == F.col("_t")) & (F.col("_h") == F.col("_cut"))
-    return df.withColumn("_h", h).join(F.broadcast(at), same, "left_semi").drop("_h")
+    return rows.join(at, same, "left_semi")
 
 
-def _settle(df, target, h, content, marked, open_cuts, content_key: bool) -> DataFrame:
-    """Decide the rows that share the hash at a cut of which only some are taken."""
-    tied = _rows_at(df, target, h, open_cuts)
+def _settle(
+    rows: DataFrame,
+    target: str,
+    columns: list[str],
+    content: Column,
+    marked: DataFrame,
+    cuts: DataFrame,
+    largest: int,
+) -> DataFrame:
+    """Decide the rows that share the hash at a cut of which only some are taken:
+    by content, and equal ones by count."""
+    cuts = cuts.where("take < same")
+    tied = _rows_at(rows, target, cuts).withColumn("_h", content)
     done = marked.where(F.col(MARK).isNotNull())
-    if not content_key:
-        # a repeated key: order its rows by content
-        inner = tied.select(col(target).alias("t"), content.alias("h"))
-        quotas = _table(df, target, "quota bigint", [(c.t, c["take"]) for c in open_cuts])
-        cuts = _cuts(inner, quotas, max(c.same for c in open_cuts))
-        again = _mark(tied, target, content, cuts)
-        done = done.unionByName(again.where(F.col(MARK).isNotNull()))
-        open_cuts = [c for c in cuts if c["take"] < c.same]
-        if not open_cuts:
-            return done
-        tied = _rows_at(tied, target, content, open_cuts)
-    take = _table(df, target, "_take bigint", [(c.t, c["take"]) for c in open_cuts])
-    copies = _share_copies(tied, target, df.columns, take.withColumnRenamed("t", "_t"))
-    return done.unionByName(copies)
+    hashed = tied.select(col(target).alias("t"), F.col("_h").alias("h"))
+    cuts = _cuts(hashed, cuts.select("t", F.col("take").alias("quota")), largest)
+    again = _mark(tied, target, columns, cuts)
+    done = done.unionByName(again.where(F.col(MARK).isNotNull()))
+    cuts = cuts.where("take < same")
+    if cuts.isEmpty():
+        return done
+    tied = _rows_at(tied, target, cuts)
+    take = cuts.select(F.col("t").alias("_t"), F.col("take").alias("_take"))
+    return done.unionByName(_share_copies(tied, target, columns, take))

@@ -488,6 +488,22 @@ def split_stratified(t: Tables) -> DataFrame:
     return split.rows.select("o_orderkey", "o_orderstatus", _is_test())
 
 
+@register
+def split_keyless(t: Tables) -> DataFrame:
+    """Without a key: rows per class and side, and whether each frequent row is on both."""
+    rows = stratified_split(t.line_flags(), "l_returnflag").rows
+    per_row = rows.groupBy("l_returnflag", "l_linestatus", "l_quantity").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(MARK).alias("test")
+    )
+    frequent = F.col("n") >= 60
+    return per_row.groupBy("l_returnflag").agg(
+        F.sum("n").alias("rows"),
+        F.sum("test").alias("test_rows"),
+        F.count_if(frequent).alias("frequent"),
+        F.count_if(frequent & F.col("test").between(1, F.col("n") - 1)).alias("on_both_sides"),
+    )
+
+
 def _order_split(t: Tables):
     split = stratified_split(t.orders_gaps(), "o_orderstatus", key="o_orderkey")
     return split, prep.fit_prep(split.train, ["o_totalprice", "o_orderpriority", "o_custkey"])
@@ -511,6 +527,17 @@ def standard_scale(t: Tables) -> DataFrame:
     return rounded(fitted.scale(split.rows).select("o_orderkey", _is_test(), "o_totalprice", "o_custkey"))
 
 
+@register
+def one_hot_wide(t: Tables) -> DataFrame:
+    """The slot of a text column with a level for each row of the train side."""
+    df = t.orders_gaps().withColumn("name", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+    split = stratified_split(df, "o_orderstatus", key="o_orderkey")
+    fitted = prep.fit_prep(split.train, ["name"])
+    vector = F.from_json(F.to_json("h0"), "indices array<bigint>, size bigint")
+    encoded = fitted.encode(split.rows, [F.col("o_orderkey")]).select("o_orderkey", vector.alias("h"))
+    return encoded.select("o_orderkey", F.col("h.size").alias("slots"), F.get("h.indices", 0).alias("hot_slot"))
+
+
 @register
 def one_hot(t: Tables) -> DataFrame:
     """Which slot of the encoded priority is hot; NULL when none is."""
@@ -544,11 +571,16 @@ def _doc_model(t: Tables) -> tuple:
 def model_fit(t: Tables) -> DataFrame:
     """Coefficients by feature slot (a few per column), and the intercept."""
     _, fitted = _doc_model(t)
-    names = [n.name for n in fitted.prep.numbers]
-    names += [f"{x.name}={level}" for x in fitted.prep.texts for level in x.levels]
     values = [float(v) for v in fitted.model.coefficients.toArray()]
-    rows = [*zip(names, values), ("(intercept)", float(fitted.model.intercept))]
-    return tr.rows_as_table(t.spark, "feature string, coefficient double", rows)
+    known = fitted.prep
+    rows = [(f"{n.name}", None, None, values[i]) for i, n in enumerate(known.numbers)]
+    for x, start in zip(known.texts, known.starts):
+        rows += [(f"{x.name}=", x.id, i, values[start + i]) for i in range(x.size)]
+    rows.append(("(intercept)", None, None, float(fitted.model.intercept)))
+    named = tr.rows_as_table(t.spark, "name string, c string, slot bigint, coefficient double", rows)
+    return named.join(known.levels, ["c", "slot"], "left").select(
+        F.concat("name", F.coalesce("key", F.lit(""))).alias("feature"), "coefficient"
+    )
 
 
 @register

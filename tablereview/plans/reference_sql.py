@@ -810,6 +810,17 @@ SQL: dict[str, str] = {
     "split_stratified": (
         f"SELECT o_orderkey, o_orderstatus, is_test FROM {split('orders', 'o_orderstatus', 'o_orderkey')}"
     ),
+    "split_keyless": (
+        "WITH c AS (SELECT l_returnflag, count(*) AS n, sum(count(*)) OVER () AS total FROM lineitem GROUP BY 1), "
+        "k AS (SELECT *, total - CAST(ceil(CAST(0.2 AS DOUBLE) * total) AS BIGINT) AS tr FROM c), "
+        "w AS (SELECT *, n * tr // total AS whole, n * tr % total AS rest FROM k), "
+        "q AS (SELECT *, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, l_returnflag) "
+        "<= tr - sum(whole) OVER () THEN 1 ELSE 0 END AS kept FROM w), "
+        "f AS (SELECT l_returnflag, count(*) FILTER (WHERE n >= 60) AS frequent FROM (SELECT l_returnflag, "
+        "count(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity) GROUP BY 1) "
+        'SELECT l_returnflag, n AS "rows", CAST(n - kept AS BIGINT) AS test_rows, frequent, '
+        "frequent AS on_both_sides FROM q JOIN f USING (l_returnflag)"
+    ),
     "impute_median": (
         f"WITH s AS (SELECT * FROM {ORDER_SPLIT}) SELECT o_orderkey, is_test, round(coalesce(o_totalprice, "
         "(SELECT median(o_totalprice) FROM s WHERE NOT is_test)), 6) AS o_totalprice FROM s"
@@ -827,6 +838,11 @@ SQL: dict[str, str] = {
         "SELECT o_orderkey, is_test, round((p - mp) / sp, 6) AS o_totalprice, "
         "round((o_custkey - mc) / sc, 6) AS o_custkey FROM f, m"
     ),
+    "one_hot_wide": (
+        f"WITH s AS (SELECT o_orderkey, is_test, 'order ' || o_orderkey AS v FROM {ORDER_SPLIT}), "
+        "lv AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT v FROM s WHERE NOT is_test)) "
+        "SELECT o_orderkey, (SELECT count(*) FROM lv) AS slots, i AS hot_slot FROM s LEFT JOIN lv USING (v)"
+    ),
     "one_hot": (
         f"WITH s AS (SELECT * FROM {ORDER_SPLIT}), tr AS (SELECT * FROM s WHERE NOT is_test AND "
         "o_orderpriority IS DISTINCT FROM '1-URGENT'), lv AS (SELECT o_orderpriority AS v, "

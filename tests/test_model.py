@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablereview.operators import compare, metrics, model, prep
-from tablereview.operators.split import MARK, stratified_split, train_quotas
+from tablereview.operators.split import MARK, class_quotas, stratified_split
 from tablereview.operators.transforms import Spec
 
 
@@ -25,14 +25,45 @@ def mixed(spark, n=300, classes=2, seed=1):
     )
 
 
-def test_quotas_add_up():
+def largest_remainder(counts, n_train):
+    total = sum(counts)
+    shares = [divmod(c * n_train, total) for c in counts]
+    quotas = [whole for whole, _ in shares]
+    for i in sorted(range(len(counts)), key=lambda i: (-shares[i][1], i))[: n_train - sum(quotas)]:
+        quotas[i] += 1
+    return quotas
+
+
+def test_quotas(spark):
     rng = random.Random(2)
-    for _ in range(500):
-        counts = [rng.randint(2, 50) for _ in range(rng.randint(2, 6))]
+    for _ in range(6):
+        counts = [rng.randint(2, 50) for _ in range(rng.randint(2, 40))]
         n = sum(counts) - math.ceil(0.2 * sum(counts))
-        quotas = train_quotas(counts, n)
-        assert sum(quotas) == n
-        assert all(abs(q - c * n / sum(counts)) < 1 for q, c in zip(quotas, counts))
+        kept = largest_remainder(counts, n)
+        assert sum(kept) == n
+        classes = spark.createDataFrame(
+            [(f"{i:03}", c, float(i)) for i, c in enumerate(counts)], "t string, n bigint, label double"
+        )
+        got = {r.t: r.quota for r in class_quotas(classes, sum(counts), n).collect()}
+        assert got == {f"{i:03}": c - k for i, (c, k) in enumerate(zip(counts, kept)) if c > k}
+
+
+def test_split_of_many_classes(spark):
+    """More classes than any list on the driver should hold; each has four rows."""
+    df = spark.range(48_000).select((F.col("id") % 12_000).alias("t"), (F.col("id") % 7).alias("x"))
+    split = stratified_split(df, "t", test_size=0.25)
+    assert split.class_count == 12_000 and split.test_rows == 12_000
+    per_class = split.rows.groupBy("t").agg(F.count_if(MARK).alias("test"), F.count(F.lit(1)).alias("n"))
+    assert [(r.test, r.n) for r in per_class.select("test", "n").distinct().collect()] == [(1, 4)]
+
+
+def test_keyless_split_is_over_rows(spark):
+    """Copies of one row fall on both sides; the least test share of the 40 rows is far from none."""
+    df = spark.range(4000).select((F.col("id") % 2).alias("t"), (F.col("id") % 40).alias("x"))
+    split = stratified_split(df, "t")
+    sides = split.rows.groupBy("x").agg(F.count_if(MARK).alias("test"), F.count(F.lit(1)).alias("n")).collect()
+    assert all(0 < r.test < 100 and r.n == 100 for r in sides) and len(sides) == 40
+    assert split.rows.drop(MARK).exceptAll(df).isEmpty() and split.test.count() == 800
 
 
 def shares(split):
@@ -99,7 +130,8 @@ def test_prep_values(spark):
     filled = [1.0, 3.0, 3.0, 8.0]
     assert (x.mean, x.scale) == (pytest.approx(np.mean(filled)), pytest.approx(np.std(filled)))
     assert c.scale == 1.0
-    assert (fitted.texts[0].mode, fitted.texts[0].levels) == ("b", ("a", "b"))
+    assert (fitted.texts[0].mode, fitted.texts[0].size) == ("b", 2)
+    assert [r.key for r in fitted.levels.orderBy("slot").collect()] == ["a", "b"]
     assert [r.s for r in fitted.impute(df).collect()] == ["a", "b", "b", "b"]
     vectors = [list(r.features.toArray()) for r in fitted.features(df, []).collect()]
     assert [v[2:] for v in vectors] == [[1, 0], [0, 1], [0, 1], [0, 1]]
@@ -107,10 +139,13 @@ def test_prep_values(spark):
     assert list(unseen[2:]) == [0, 0]
 
 
-def test_too_many_levels(spark):
-    df = spark.range(50).select(F.col("id").cast("string").alias("s"), F.col("id").alias("x"))
-    with pytest.raises(ValueError, match="more than 20 levels"):
-        prep.fit_prep(df, ["s", "x"], max_levels=20)
+def test_many_levels(spark):
+    """Levels stay a table: a text column without repeats gets one slot a row."""
+    df = spark.range(30_000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("s"), F.col("id").alias("x"))
+    fitted = prep.fit_prep(df, ["s", "x"])
+    assert fitted.width == 30_001 and fitted.texts[0].size == 30_000
+    encoded = fitted.encode(df, [F.col("x")]).where("x % 5000 = 7")
+    assert {r.x: list(r.h0.indices) for r in encoded.collect()} == {x: [x] for x in range(7, 30_000, 5000)}
 
 
 def dense(prep_, df):
