@@ -97,7 +97,8 @@ class Prep:
         if not self.width:
             raise ValueError("No usable feature columns.")
         numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
-        flat, kept = self._slots(df, keep, numbers)
+        flat = self.slots(df, [*keep, *numbers])
+        kept = flat.columns[: len(keep)]
         slots = [F.col(f"s{i}") for i in range(len(self.texts))]
         places = [F.lit(i) for i in range(len(numbers))]
         places += [(F.lit(start) + s).cast("int") for start, s in zip(self.starts, slots)]
@@ -107,27 +108,25 @@ class Prep:
 
     def encode(self, df: DataFrame, keep: list[Column]) -> DataFrame:
         """``keep`` columns plus one one-hot vector ``h0, h1, ...`` per text column, written out."""
-        flat, kept = self._slots(df, keep, [])
+        flat = self.slots(df, keep)
+        kept = flat.columns[: len(keep)]
         blocks = {}
         for i, text in enumerate(self.texts):
             slot = F.col(f"s{i}")
             blocks[f"h{i}"] = (text.size, [slot.cast("int")], [F.when(slot.isNotNull(), 1.0)])
         return _as_vectors(flat, kept, blocks)
 
-    def _slots(
-        self, df: DataFrame, keep: list[Column], numbers: list[Column]
-    ) -> tuple[DataFrame, list[str]]:
-        """``keep``, ``numbers``, and the slot s0, s1, ... of each text column: NULL for an
+    def slots(self, df: DataFrame, keep: list[Column]) -> DataFrame:
+        """``keep`` columns plus the slot ``s0, s1, ...`` of each text column: NULL for an
         unseen level. Levels are joined by their text; Spark broadcasts a small table."""
         texts = [self._filled_key(df, t).alias(f"t{i}") for i, t in enumerate(self.texts)]
-        flat = df.select(*keep, *numbers, *texts)
-        kept = flat.columns[: len(keep)]
+        flat = df.select(*keep, *texts)
         for i, text in enumerate(self.texts):
             known = self.levels.where(F.col("c") == text.id).select(
                 F.col("key").alias(f"k{i}"), F.col("slot").alias(f"s{i}")
             )
             flat = flat.join(known, F.col(f"t{i}") == F.col(f"k{i}"), "left").drop(f"t{i}", f"k{i}")
-        return flat, kept
+        return flat
 
 
 def _as_vectors(

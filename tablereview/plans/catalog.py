@@ -533,9 +533,9 @@ def one_hot_wide(t: Tables) -> DataFrame:
     df = t.orders_gaps().withColumn("name", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
     split = stratified_split(df, "o_orderstatus", key="o_orderkey")
     fitted = prep.fit_prep(split.train, ["name"])
-    vector = F.from_json(F.to_json("h0"), "indices array<bigint>, size bigint")
-    encoded = fitted.encode(split.rows, [F.col("o_orderkey")]).select("o_orderkey", vector.alias("h"))
-    return encoded.select("o_orderkey", F.col("h.size").alias("slots"), F.get("h.indices", 0).alias("hot_slot"))
+    return fitted.slots(split.rows, [F.col("o_orderkey")]).select(
+        "o_orderkey", F.lit(fitted.width).cast("bigint").alias("slots"), F.col("s0").alias("hot_slot")
+    )
 
 
 @register
