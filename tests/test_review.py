@@ -101,7 +101,8 @@ def test_review_with_planner_and_responses(spark, churn_csv):
     )
     row = review.result().first()
     assert row.features_created == ["log_num_1", "log_num_2", "num_2_is_missing", "both"]
-    assert row.features_skipped == []
+    # a supplied spec that reads the target is kept, and logged like any other
+    assert row.features_skipped == ["bad: Source column 'target' is not numeric."]
     assert review.quality_findings.where(F.col("origin") == "supplied").count() == 1
     assert suggest.NOTE in review.explore_summary.first().summary
     text = review.summary()
