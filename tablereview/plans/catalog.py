@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,12 @@ def target_distribution(t: Tables) -> DataFrame:
     return stacked(parts)
 
 
+@register
+def target_distribution_present(t: Tables) -> DataFrame:
+    """Without the missing values of the target."""
+    return prof.target_distribution(t.docs_labels(), "quality", missing=False)
+
+
 @register
 def profile_column_summary(t: Tables) -> DataFrame:
     return rounded(prof.planner_profile(t.docs_labels(), "quality")).drop("position")
@@ -140,6 +147,7 @@ def dq_duplicate_rows(t: Tables) -> DataFrame:
         "lineitem": t.lineitem,
         "line_flags": t.line_flags(),
         "order_dates": t.orders.select("o_custkey", "o_orderdate"),
+        **{f"order_{c}": t.order_repeats().select(c) for c in t.order_repeats().columns},
     }
     return stacked(
         {n: _findings(quality.duplicate_rows(prof.table_profile(d))) for n, d in tables.items()}
@@ -155,7 +163,12 @@ def _counted(df: DataFrame) -> DataFrame:
 
 @register
 def dq_high_cardinality(t: Tables) -> DataFrame:
-    tables = {"lineitem": t.lineitem, "documents": t.documents, "customer": t.customer}
+    tables = {
+        "lineitem": t.lineitem,
+        "documents": t.documents,
+        "customer": t.customer,
+        "order_repeats": t.order_repeats(),
+    }
     return stacked({n: _findings(quality.high_cardinality(_counted(d))) for n, d in tables.items()})
 
 
@@ -187,6 +200,9 @@ def dq_summary(t: Tables) -> DataFrame:
 def eda_target_imbalance(t: Tables) -> DataFrame:
     targets = {"labels": "quality", "toxic": "toxic", "lineitem": "l_returnflag"}
     tables = {"labels": t.labels, "toxic": t.labels, "lineitem": t.lineitem}
+    shares = t.order_shares()
+    targets |= {f"share_{c}": c for c in shares.columns}
+    tables |= {f"share_{c}": shares for c in shares.columns}
     parts = {}
     for name, df in tables.items():
         found = explore.target_imbalance(prof.target_distribution(df, targets[name]), targets[name])
@@ -200,7 +216,11 @@ def _modes_with_rows(df: DataFrame) -> DataFrame:
 
 @register
 def eda_dominant_category(t: Tables) -> DataFrame:
-    tables = {"label_texts": t.label_texts(), "customer_const": t.customer_const()}
+    tables = {
+        "label_texts": t.label_texts(),
+        "customer_const": t.customer_const(),
+        "order_shares": t.order_shares(),
+    }
     parts = {}
     for name, df in tables.items():
         found = explore.dominant_category(_modes_with_rows(df))
@@ -265,6 +285,14 @@ def plan_full(t: Tables) -> DataFrame:
     return _specs(planner.plan_features(_facts(t.docs_labels()), "quality"))
 
 
+@register
+def plan_supplied(t: Tables) -> DataFrame:
+    """Planned specs, then those of a supplied response that can be used."""
+    df = t.docs_labels()
+    supplied = suggest.parse_specs(t.label_specs(), df.columns)
+    return _specs(planner.append_specs(planner.plan_features(_facts(df), "quality"), supplied))
+
+
 @register
 def plan_default(t: Tables) -> DataFrame:
     return _specs(planner.plan_simple(_facts(t.docs_labels()), "quality"))
@@ -567,22 +595,62 @@ def _doc_model(t: Tables) -> tuple:
     return split, model.fit_predict(split, "quality", fitted, keep=(F.col("doc_id"),))
 
 
+def _slots(known: prep.Prep) -> list[tuple]:
+    """Feature slots in order: name, text column id, slot (a few per column)."""
+    rows = [(n.name, None, None) for n in known.numbers]
+    for x in known.texts:
+        rows += [(f"{x.name}=", x.id, i) for i in range(x.size)]
+    return rows
+
+
+def _named(t: Tables, known: prep.Prep, rows: list[tuple], last: str) -> DataFrame:
+    """Slots with the text of their level; ``last`` is one more column."""
+    named = tr.rows_as_table(t.spark, f"name string, c string, slot bigint, {last}", rows)
+    return named.join(known.levels, ["c", "slot"], "left").select(
+        F.concat("name", F.coalesce("key", F.lit(""))).alias("feature"), last.split()[0]
+    )
+
+
 @register
 def model_fit(t: Tables) -> DataFrame:
-    """Coefficients by feature slot (a few per column), and the intercept."""
+    """Coefficients by feature slot, and the intercept."""
     _, fitted = _doc_model(t)
     values = [float(v) for v in fitted.model.coefficients.toArray()]
-    known = fitted.prep
-    rows = [(f"{n.name}", None, None, values[i]) for i, n in enumerate(known.numbers)]
-    for x, start in zip(known.texts, known.starts):
-        rows += [(f"{x.name}=", x.id, i, values[start + i]) for i in range(x.size)]
+    rows = [(*slot, value) for slot, value in zip(_slots(fitted.prep), values, strict=True)]
     rows.append(("(intercept)", None, None, float(fitted.model.intercept)))
-    named = tr.rows_as_table(t.spark, "name string, c string, slot bigint, coefficient double", rows)
-    return named.join(known.levels, ["c", "slot"], "left").select(
-        F.concat("name", F.coalesce("key", F.lit(""))).alias("feature"), "coefficient"
+    return _named(t, fitted.prep, rows, "coefficient double")
+
+
+@register
+def model_gradient(t: Tables) -> DataFrame:
+    """Slope of the penalised mean loss at the fitted coefficients: zero at the optimum."""
+    split, fitted = _doc_model(t)
+    rows = model.class_label("quality", split.classes, split.rows)
+    train = fitted.prep.features(rows.where(~F.col(MARK)), [F.col("_label").alias("label")])
+    scored = fitted.model.transform(train).select(
+        (vector_to_array("probability")[1] - F.col("label")).alias("miss"),
+        F.array_append(vector_to_array("features"), F.lit(1.0)).alias("x"),
+    )
+    sums = scored.select("miss", F.posexplode("x").alias("place", "x")).groupBy("place").agg(
+        F.sum(F.col("miss") * F.col("x")).alias("sum")
+    )
+    weights = [float(v) for v in fitted.model.coefficients.toArray()] + [0.0]
+    slots = [*_slots(fitted.prep), ("(intercept)", None, None)]
+    places = _named(t, fitted.prep, [(*slot, i) for i, slot in enumerate(slots)], "place int")
+    penalty = tr.rows_as_table(t.spark, "place int, weight double", list(enumerate(weights)))
+    slope = (F.col("sum") + F.col("weight")) / split.train_rows
+    return (
+        places.join(sums, "place")
+        .join(penalty, "place")
+        .select("feature", (F.round(slope, 2) + 0.0).alias("gradient"))
     )
 
 
+@register
+def model_test_rows(t: Tables) -> DataFrame:
+    return _doc_model(t)[1].predictions.select("doc_id", "label")
+
+
 @register
 def model_predict(t: Tables) -> DataFrame:
     return _doc_model(t)[1].predictions
@@ -598,6 +666,11 @@ def model_report(t: Tables) -> DataFrame:
     )
 
 
+@register
+def model_report_separable(t: Tables) -> DataFrame:
+    return rounded(model.model_report(t.separable_docs(), "quality", key="doc_id"))
+
+
 @register
 def compare_models(t: Tables) -> DataFrame:
     df = t.lineitem.drop("l_shipdate")
@@ -610,6 +683,28 @@ def review_result(t: Tables) -> DataFrame:
     return run_review(t.spark, t.labelled_docs(), "quality", planner.plan_features).result()
 
 
+@register
+def compare_separable(t: Tables) -> DataFrame:
+    df = t.separable_docs()
+    specs = planner.plan_features(_facts(df), "quality")
+    result = compare.compare_models(df, "quality", specs, key="doc_id").result
+    return rounded(_joined_lists(result, "features_created", "features_skipped"))
+
+
+@register
+def review_separable(t: Tables) -> DataFrame:
+    review = run_review(t.spark, t.separable_docs(), "quality", planner.plan_features, key="doc_id")
+    lists = ("features_created", "features_skipped", "accepted_features", "reasons")
+    return _joined_lists(review.result(), *lists).select(
+        "target_column", "row_count", "column_count", "quality_issues", "eda_findings", "decision",
+        *lists, "review_summary",
+    )
+
+
+def _joined_lists(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.array_join(n, "|") for n in names})
+
+
 # -- metrics and decisions ----------------------------------------------------
 
 
@@ -709,6 +804,29 @@ def findings_merge_summary(t: Tables) -> DataFrame:
     return summary
 
 
+def _explore_merged(t: Tables) -> tuple[DataFrame, DataFrame]:
+    df = t.label_texts()
+    found = explore.explore_findings(
+        _modes_with_rows(df), prof.target_distribution(df, "quality"), "quality"
+    )
+    return suggest.merge_findings(found, t.label_responses(), "explore")
+
+
+@register
+def findings_merge_explore(t: Tables) -> DataFrame:
+    """Exploratory findings of the labels, then one of a supplied response."""
+    merged, _ = _explore_merged(t)
+    return merged.select(
+        "ordinal", "origin", "finding_type", "importance", F.array_join("columns", ",").alias("columns"),
+        F.md5("evidence").alias("evidence_md5"), "modeling_implication",
+    )
+
+
+@register
+def findings_merge_explore_summary(t: Tables) -> DataFrame:
+    return _explore_merged(t)[1]
+
+
 @register
 def suggest_specs(t: Tables) -> DataFrame:
     specs = suggest.parse_specs(t.spec_responses(), t.events.columns, keys=("event_id",))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablereview.operators import suggest
+
 
 class Tables:
     """Tables of one folder by name; derived ones are methods."""
@@ -24,6 +26,11 @@ class Tables:
         """Labelled documents without the text: a model table."""
         return self.documents.drop("text").join(self.labels, "doc_id")
 
+    def separable_docs(self) -> DataFrame:
+        """Labelled documents, text included, with a column that tells the class."""
+        judged = F.concat(F.lit("class "), F.col("quality").cast("string")).alias("judged")
+        return self.documents.join(self.labels, "doc_id").select("*", judged)
+
     def line_flags(self) -> DataFrame:
         """Three columns of lineitem: duplicate rows."""
         return self.lineitem.select("l_returnflag", "l_linestatus", "l_quantity")
@@ -49,6 +56,24 @@ class Tables:
             F.col("toxic").cast("string").alias("toxic"),
         )
 
+    def order_shares(self) -> DataFrame:
+        """Texts whose top value has a share on either side of each limit."""
+        limits = {"even": 50, "two_thirds": 66, "most": 85, "nine_tenths": 93, "nearly_all": 97}
+        place = F.col("o_orderkey") % 100
+        return self.orders.select(
+            *[F.when(place < k, "a").otherwise("b").alias(c) for c, k in limits.items()]
+        )
+
+    def order_repeats(self) -> DataFrame:
+        """Order keys, some of them replaced by one value: nearly unique columns."""
+        place = F.col("o_orderkey") % 100
+        return self.orders.select(
+            *[
+                F.when(place < k, -1).otherwise(F.col("o_orderkey")).alias(c)
+                for c, k in {"few": 1, "several": 4, "many": 20}.items()
+            ]
+        )
+
     def line_predictions(self) -> DataFrame:
         """Lineitem read as predictions: label, score, prediction per supplier."""
         score = F.col("l_quantity") / 50
@@ -121,10 +146,13 @@ class Tables:
         return self.conversations.select("conv_id", "turn", response.alias("response"))
 
     def turn_rules(self) -> DataFrame:
-        """Turns as profile rows: line breaks over characters."""
-        breaks = F.char_length("text") - F.char_length(
-            F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+        """Turns as profile rows: line breaks, spaces or vowels over characters."""
+        rest = (
+            F.when(F.col("role") == "user", F.translate("text", "\n", ""))
+            .when(F.col("role") == "assistant", F.translate("text", " ", ""))
+            .otherwise(F.translate("text", "aeiou", ""))
         )
+        breaks = F.char_length("text") - F.char_length(rest)
         return self.conversations.select(
             "conv_id",
             "turn",
@@ -148,6 +176,45 @@ class Tables:
         response = F.when(F.col("role") == "system", F.col("text")).otherwise(report)
         return self.conversations.select("conv_id", "turn", response.alias("response"))
 
+    def label_responses(self) -> DataFrame:
+        """One exploratory report with a finding per class of the labels, in a fence."""
+        finding = F.struct(
+            F.lit("class_size").alias("finding_type"),
+            F.lit("low").alias("importance"),
+            F.array(F.lit("quality"), F.lit("toxic")).alias("columns"),
+            F.concat(F.lit("Rows: "), F.col("n").cast("string")).alias("evidence"),
+            F.lit("size").alias("interpretation"),
+        )
+        counts = self.labels.groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+        found = F.transform(
+            F.array_sort(F.collect_list(F.struct("quality", finding.alias("f")))), lambda x: x["f"]
+        )
+        report = F.to_json(F.struct(found.alias("findings"), F.lit("ok").alias("summary")))
+        return counts.agg(F.concat(F.lit("```json\n"), report, F.lit("\n```")).alias("raw")).select(
+            suggest.json_text(F.col("raw")).alias("response")
+        )
+
+    def label_specs(self) -> DataFrame:
+        """One response with four specs named by the number of labels; two can be used."""
+        name = F.concat(F.lit("f"), F.col("n").cast("string"))
+
+        def one(number: int, kind: str, *columns: str) -> F.Column:
+            return F.struct(
+                F.concat(name, F.lit(f"_{number}")).alias("feature_name"),
+                F.lit(kind).alias("transformation_type"),
+                F.array(*[F.lit(c) for c in columns]).alias("columns"),
+            )
+
+        specs = F.array(
+            one(1, "ratio", "n_chars", "doc_id"),
+            one(2, "cube", "n_chars"),
+            one(3, "log1p", "nope"),
+            one(4, "log1p", "quality"),
+        )
+        return self.labels.agg(F.count(F.lit(1)).alias("n")).select(
+            F.to_json(F.struct(specs.alias("specs"))).alias("response")
+        )
+
     def spec_responses(self) -> DataFrame:
         """Events as suggested specs, some unusable."""
         kind = (

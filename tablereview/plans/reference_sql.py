@@ -2,7 +2,41 @@
 
 from __future__ import annotations
 
-from tablereview.operators import explore, quality
+# Thresholds and report texts, stated here apart from the operators they check.
+ADVICE = {
+    "missing_values": (
+        "Investigate an appropriate missing-value handling strategy (e.g. imputation, row removal, or "
+        "model-based approaches) before proceeding with modeling."
+    ),
+    "duplicate_rows": (
+        "Investigate whether these duplicates represent legitimate repeated observations or should be "
+        "removed before modeling."
+    ),
+    "high_cardinality": (
+        "This column may be an identifier or too high-cardinality for direct modeling. Review its role "
+        "before feature engineering (e.g. consider grouping rare values, target encoding, or dropping it)."
+    ),
+    "constant_column": (
+        "This column provides little or no predictive information and should be reviewed for removal "
+        "before modeling (unless it is a deliberately constant flag or control column)."
+    ),
+}
+IMBALANCE_MEANING = (
+    "One target class represents a disproportionate share of the observations, which may indicate "
+    "class imbalance."
+)
+IMBALANCE_IMPLICATION = (
+    "Accuracy alone may be misleading for this target. Consider class-sensitive evaluation metrics and "
+    "imbalance handling strategies (e.g. class weighting, resampling, or threshold tuning) during modeling."
+)
+DOMINANT_MEANING = (
+    "' is heavily concentrated in a single category, which may indicate limited variation or a nearly "
+    "constant column."
+)
+DOMINANT_IMPLICATION = (
+    "' may contain limited variation. Evaluate its predictive usefulness before including it in models "
+    "(e.g. consider grouping rare categories or dropping it if it does not provide meaningful signal)."
+)
 
 # Columns of the tables: name, type label.
 LINEITEM = [
@@ -34,10 +68,21 @@ EVENTS = [
     ("value", "float64"), ("props", "str"),
 ]
 EMBEDDINGS = [("vec_id", "int64"), ("embedding", "array<float>"), ("label", "int64")]
+SHARES = [("even", "str"), ("two_thirds", "str"), ("most", "str"), ("nine_tenths", "str"), ("nearly_all", "str")]
+REPEATS = [("few", "int64"), ("several", "int64"), ("many", "int64")]
 LABEL_TEXTS = [("doc_id", "int64"), ("quality", "str"), ("toxic", "str")]
 
+SEPARABLE = [*DOCS_LABELS, ("judged", "str")]
+
 # Derived tables.
 SOURCES = {
+    "labelled_docs": (
+        "SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)"
+    ),
+    "separable_docs": (
+        "SELECT doc_id, text, lang, source, n_chars, quality, toxic, 'class ' || quality AS judged "
+        "FROM documents JOIN labels USING (doc_id)"
+    ),
     "docs_labels": "SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)",
     "line_flags": "SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem",
     "flag_sets": "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem",
@@ -48,6 +93,26 @@ SOURCES = {
     ),
     "customer_const": "SELECT *, 'x' AS k FROM customer",
     "label_texts": "SELECT doc_id, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic FROM labels",
+    "order_shares": (
+        "SELECT "
+        + ", ".join(
+            f"CASE WHEN o_orderkey % 100 < {k} THEN 'a' ELSE 'b' END AS {c}"
+            for c, k in (("even", 50), ("two_thirds", 66), ("most", 85), ("nine_tenths", 93), ("nearly_all", 97))
+        )
+        + " FROM orders"
+    ),
+    "order_repeats": (
+        "SELECT "
+        + ", ".join(
+            f"CASE WHEN o_orderkey % 100 < {k} THEN -1 ELSE o_orderkey END AS {c}"
+            for c, k in (("few", 1), ("several", 4), ("many", 20))
+        )
+        + " FROM orders"
+    ),
+    **{
+        f"order_{c}": f"SELECT CASE WHEN o_orderkey % 100 < {k} THEN -1 ELSE o_orderkey END AS {c} FROM orders"
+        for c, k in (("few", 1), ("several", 4), ("many", 20))
+    },
     "order_dates": "SELECT o_custkey, o_orderdate FROM orders",
 }
 
@@ -226,7 +291,7 @@ def graded(value: str, low: float, medium: float) -> str:
 def finding(name, kind, severity, column, evidence, percent, table) -> str:
     return (
         f"SELECT '{name}' AS table_name, '{kind}' AS issue_type, {severity} AS severity, "
-        f"{column} AS \"column\", {evidence} AS evidence, {text(quality.ADVICE[kind])} AS recommendation, "
+        f"{column} AS \"column\", {evidence} AS evidence, {text(ADVICE[kind])} AS recommendation, "
         f"round({percent}, 6) AS percent FROM {table}"
     )
 
@@ -238,7 +303,7 @@ def dq_missing(name, columns) -> str:
         f"c, m, {share}, n)"
     )
     return finding(
-        name, "missing_values", graded(share, quality.MISSING_LOW, quality.MISSING_MEDIUM), "c",
+        name, "missing_values", graded(share, 5, 20), "c",
         evidence, share, f"{facts(name, columns, False)} WHERE m > 0",
     )
 
@@ -250,7 +315,7 @@ def dq_duplicates(name, columns) -> str:
         f"duplicate_row_count, {share}, row_count)"
     )
     return finding(
-        name, "duplicate_rows", graded(share, quality.DUPLICATE_LOW, quality.DUPLICATE_MEDIUM),
+        name, "duplicate_rows", graded(share, 2, 10),
         "NULL::VARCHAR", evidence, share, f"({counts(name, columns)}) WHERE duplicate_row_count > 0",
     )
 
@@ -262,8 +327,8 @@ def dq_cardinality(name, columns) -> str:
         f"c, u, n, {share})"
     )
     return finding(
-        name, "high_cardinality", f"CASE WHEN {share} >= {quality.CARDINALITY_HIGH} THEN 'high' ELSE 'medium' END",
-        "c", evidence, share, f"{facts(name, columns)} WHERE u / n >= {quality.CARDINALITY_FLAG}",
+        name, "high_cardinality", f"CASE WHEN {share} >= 99 THEN 'high' ELSE 'medium' END",
+        "c", evidence, share, f"{facts(name, columns)} WHERE u / n >= 0.95",
     )
 
 
@@ -292,7 +357,7 @@ def dq_all(name, columns) -> str:
 def dq_line(name, columns) -> str:
     return (
         f"SELECT '{name}' AS table_name, count(*) AS finding_count, CASE WHEN count(*) > 0 "
-        f"THEN count(*)::VARCHAR || ' {quality.NOUN} detected.' ELSE '{quality.NONE_FOUND}' END AS summary "
+        f"THEN count(*)::VARCHAR || ' data-quality issue(s) detected.' ELSE 'No data-quality issues detected.' END AS summary "
         f"FROM ({dq_all(name, columns)})"
     )
 
@@ -306,13 +371,13 @@ def imbalance(name: str, table: str, target: str) -> str:
     ratio = "(k / total)"
     return (
         f"SELECT '{name}' AS table_name, 'target_imbalance' AS finding_type, "
-        f"CASE WHEN {ratio} < {explore.IMBALANCE_MEDIUM} THEN 'low' "
-        f"WHEN {ratio} < {explore.IMBALANCE_HIGH} THEN 'medium' ELSE 'high' END AS importance, "
+        f"CASE WHEN {ratio} < 0.75 THEN 'low' "
+        f"WHEN {ratio} < 0.9 THEN 'medium' ELSE 'high' END AS importance, "
         f"'{target}' AS columns, printf('The target class ''%s'' represents %d out of %d target "
         f"observations, which is %.2f%% of the dataset.', v, k, total, {ratio} * 100) AS evidence, "
-        f"{text(explore.IMBALANCE_MEANING)} AS interpretation, "
-        f"{text(explore.IMBALANCE_IMPLICATION)} AS modeling_implication, round({ratio} * 100, 6) AS percent "
-        f"FROM {top} WHERE classes >= 2 AND {ratio} >= {explore.IMBALANCE_FLAG}"
+        f"{text(IMBALANCE_MEANING)} AS interpretation, "
+        f"{text(IMBALANCE_IMPLICATION)} AS modeling_implication, round({ratio} * 100, 6) AS percent "
+        f"FROM {top} WHERE classes >= 2 AND {ratio} >= 0.6"
     )
 
 
@@ -328,13 +393,13 @@ def dominant(name: str, columns) -> str:
     )
     return (
         f"SELECT '{name}' AS table_name, 'dominant_category' AS finding_type, "
-        f"CASE WHEN {ratio} >= {explore.DOMINANT_HIGH} THEN 'high' "
-        f"WHEN {ratio} >= {explore.DOMINANT_MEDIUM} THEN 'medium' ELSE 'low' END AS importance, "
+        f"CASE WHEN {ratio} >= 0.95 THEN 'high' "
+        f"WHEN {ratio} >= 0.9 THEN 'medium' ELSE 'low' END AS importance, "
         f"c AS columns, printf('The categorical column ''%s'' is dominated by the value ''%s'', which "
         f"appears in %d out of %d rows (%.2f%% of the dataset).', c, mode_value, mode_count, n, {ratio} * 100) "
-        f"AS evidence, 'The feature ''' || c || {text(explore.DOMINANT_MEANING)} AS interpretation, "
-        f"'The feature ''' || c || {text(explore.DOMINANT_IMPLICATION)} AS modeling_implication, "
-        f"round({ratio} * 100, 6) AS percent FROM ({rows}) WHERE {ratio} >= {explore.DOMINANT_FLAG}"
+        f"AS evidence, 'The feature ''' || c || {text(DOMINANT_MEANING)} AS interpretation, "
+        f"'The feature ''' || c || {text(DOMINANT_IMPLICATION)} AS modeling_implication, "
+        f"round({ratio} * 100, 6) AS percent FROM ({rows}) WHERE {ratio} >= 0.8"
     )
 
 
@@ -346,7 +411,7 @@ def eda_all(name: str, columns, target: str) -> str:
     places = ", ".join(f"('{c}', {i})" for i, (c, _) in enumerate(columns))
     return (
         "SELECT row_number() OVER (ORDER BY stage, p)::INTEGER AS ordinal, finding_type, importance, "
-        f"columns, percent, (count(*) OVER ())::VARCHAR || ' {explore.NOUN} detected.' AS summary "
+        f"columns, percent, (count(*) OVER ())::VARCHAR || ' EDA finding(s) detected.' AS summary "
         f"FROM ({rows}) JOIN (VALUES {places}) AS v(name, p) ON columns = name"
     )
 
@@ -595,12 +660,12 @@ FENCED = f"""(SELECT conv_id, turn, CASE role
  WHEN 'assistant' THEN '  ' || {INNER} || ' ' || chr(10) ELSE text END AS response FROM conversations)"""
 
 TURNS = (
-    "(SELECT conv_id, turn, role, text, length(text) AS n, length(text) - length(replace(text, chr(10), '')) "
-    "AS m, CASE WHEN role = 'system' THEN FALSE ELSE length(text) < 1000 END AS valid FROM conversations)"
+    "(SELECT conv_id, turn, role, text, length(text) AS n, length(text) - length(translate(text, CASE role "
+    "WHEN 'user' THEN chr(10) WHEN 'assistant' THEN ' ' ELSE 'aeiou' END, '')) AS m, CASE WHEN role = 'system' THEN FALSE ELSE length(text) < 1000 END AS valid FROM conversations)"
 )
 MERGED = f"""(
 SELECT conv_id, turn, 1 AS ordinal, 'deterministic' AS origin, 'missing_values' AS issue_type,
- {graded("(m / n * 100.0)", quality.MISSING_LOW, quality.MISSING_MEDIUM)} AS severity, role AS "column",
+ {graded("(m / n * 100.0)", 5, 20)} AS severity, role AS "column",
  printf('Column ''%s'' has %d missing value(s), which is %.2f%% of the %d rows in the dataset.',
   role, m, m / n * 100.0, n) AS evidence FROM {TURNS} WHERE m > 0
 UNION ALL SELECT conv_id, turn, CASE WHEN m > 0 THEN 2 ELSE 1 END, 'supplied', 'outlier', 'low', role, text
@@ -641,7 +706,107 @@ def top(column: str, k: int) -> str:
     return f"(SELECT {column} FROM part GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {k})"
 
 
+def supplied_plan() -> str:
+    """Planned specs, then the two usable ones of ``inputs.label_specs``."""
+    planned = full_plan("docs_labels", DOCS_LABELS, "quality")
+    n, labels = f"(SELECT count(*) FROM ({planned}))", "(SELECT count(*) FROM labels)"
+    return (
+        f"{planned} UNION ALL SELECT ({n} + 1)::INTEGER, 'f' || {labels} || '_1', 'ratio', 'n_chars,doc_id' "
+        f"UNION ALL SELECT ({n} + 4)::INTEGER, 'f' || {labels} || '_4', 'log1p', 'quality'"
+    )
+
+
+def explore_rows() -> str:
+    """Rows of the exploratory report of label_texts, with evidence and implication."""
+    rows = (
+        f"SELECT 0 AS stage, * FROM ({imbalance('label_texts', 'label_texts', 'quality')}) "
+        f"UNION ALL SELECT 1 AS stage, * FROM ({dominant('label_texts', LABEL_TEXTS)})"
+    )
+    places = ", ".join(f"('{c}', {i})" for i, (c, _) in enumerate(LABEL_TEXTS))
+    return (
+        "(SELECT row_number() OVER (ORDER BY stage, p) AS ordinal, finding_type, importance, columns, evidence, "
+        f"modeling_implication FROM ({rows}) JOIN (VALUES {places}) AS v(name, p) ON columns = name)"
+    )
+
+
+def explore_merged() -> str:
+    return (
+        "SELECT ordinal::INTEGER AS ordinal, 'deterministic' AS origin, finding_type, importance, columns, "
+        f"md5(evidence) AS evidence_md5, modeling_implication FROM {explore_rows()} UNION ALL "
+        f"SELECT ((SELECT count(*) FROM {explore_rows()}) + row_number() OVER (ORDER BY quality))::INTEGER, "
+        "'supplied', 'class_size', 'low', 'quality,toxic', md5('Rows: ' || count(*)), NULL "
+        "FROM labels GROUP BY quality"
+    )
+
+
+# -- models on a table where one column tells the class ------------------------
+
+DOC_SPLIT = split("labelled_docs", "quality", "doc_id")
+TESTED = "ceil(0.2::DOUBLE * count(*))::BIGINT"
+
+
+def gradient() -> str:
+    """Every feature of the fitted model; the penalised loss is flat in each."""
+    names = ["SELECT 'n_chars' AS feature", "SELECT 'toxic'", "SELECT '(intercept)'"]
+    names += [f"SELECT DISTINCT '{c}=' || {c} FROM {DOC_SPLIT} WHERE NOT is_test" for c in ("lang", "source")]
+    return f"SELECT feature, 0::DOUBLE AS gradient FROM ({union(names)})"
+
+
+def separable_report() -> str:
+    return (
+        "SELECT 'LogisticRegression' AS model_name, 'binary_classification' AS task_type, 'quality' AS "
+        "target_column, 1::DOUBLE AS accuracy, 1::DOUBLE AS f1_score, 1::DOUBLE AS roc_auc, "
+        f"(count(*) - {TESTED})::BIGINT AS train_rows, {TESTED} AS test_rows, "
+        f"'Baseline LogisticRegression model trained on ' || (count(*) - {TESTED}) || ' training rows and "
+        f"evaluated on ' || {TESTED} || ' test rows. Numeric features: 3, Categorical features: 4.' AS notes "
+        f"FROM {source('separable_docs')}"
+    )
+
+
+def separable_comparison() -> str:
+    ones = ", ".join(
+        f"1::DOUBLE AS {v}_{m}" for v in ("baseline", "engineered") for m in ("accuracy", "f1_score", "roc_auc")
+    )
+    return (
+        f"SELECT 'quality' AS experiment, {ones}, 0::DOUBLE AS accuracy_change, 0::DOUBLE AS f1_change, "
+        "0::DOUBLE AS roc_auc_change, FALSE AS improved, features_created, features_skipped, "
+        "'Baseline model achieved accuracy 1.0000 and F1 1.0000. Engineered model achieved accuracy 1.0000 and "
+        "F1 1.0000. ROC-AUC changed from 1.0000 to 1.0000 (Δ +0.0000). The engineered features did not improve "
+        f"model performance.' AS summary FROM ({report_of_plan('separable_docs', SEPARABLE, 'quality')})"
+    )
+
+
+def separable_review() -> str:
+    lists = report_of_plan("separable_docs", SEPARABLE, "quality")
+    issues = f"(SELECT count(*) FROM ({dq_all('separable_docs', SEPARABLE)}))"
+    found = f"(SELECT count(*) FROM ({eda_all('separable_docs', SEPARABLE, 'quality')}))"
+    made, left = (f"len(string_split(features_{x}, '|'))" for x in ("created", "skipped"))
+    return (
+        f"SELECT 'quality' AS target_column, original_row_count AS row_count, original_column_count AS column_count, "
+        f"{issues} AS quality_issues, {found} AS eda_findings, features_created, features_skipped, 'reject' AS "
+        "decision, '' AS accepted_features, 'No performance improvement: accuracy Δ+0.0000, F1 Δ+0.0000.' AS reasons, "
+        f"'Pipeline completed. Data quality: ' || {issues} || ' issue(s). EDA: ' || {found} || ' finding(s). "
+        f"Features: ' || {made} || ' created, ' || {left} || ' skipped. Modeling: baseline accuracy 1.0000 → "
+        f"engineered 1.0000. Critic decision: reject.' AS review_summary FROM ({lists})"
+    )
+
+
 SQL: dict[str, str] = {
+    "model_gradient": gradient(),
+    "model_test_rows": f"SELECT doc_id, quality::DOUBLE AS label FROM {DOC_SPLIT} WHERE is_test",
+    "model_report_separable": separable_report(),
+    "compare_separable": separable_comparison(),
+    "review_separable": separable_review(),
+    "target_distribution_present": (
+        "SELECT quality::VARCHAR AS target_value, count(*) AS n FROM labels JOIN documents USING (doc_id) "
+        "WHERE quality IS NOT NULL GROUP BY 1"
+    ),
+    "plan_supplied": supplied_plan(),
+    "findings_merge_explore": explore_merged(),
+    "findings_merge_explore_summary": (
+        f"SELECT count(*) AS finding_count, count(*)::VARCHAR || ' EDA finding(s) detected.' AS summary "
+        f"FROM ({explore_merged()})"
+    ),
     "profile_counts": union(
         [
             counts("lineitem", LINEITEM),
@@ -685,6 +850,7 @@ SQL: dict[str, str] = {
             dq_duplicates("lineitem", LINEITEM),
             dq_duplicates("line_flags", LINEITEM[8:10] + LINEITEM[4:5]),
             dq_duplicates("order_dates", [ORDERS[1], ORDERS[4]]),
+            *[dq_duplicates(f"order_{c}", [(c, "int64")]) for c, _ in REPEATS],
         ]
     ),
     "dq_high_cardinality": union(
@@ -692,6 +858,7 @@ SQL: dict[str, str] = {
             dq_cardinality("lineitem", LINEITEM),
             dq_cardinality("documents", DOCUMENTS),
             dq_cardinality("customer", CUSTOMER),
+            dq_cardinality("order_repeats", REPEATS),
         ]
     ),
     "dq_constant_column": union(
@@ -711,10 +878,15 @@ SQL: dict[str, str] = {
             imbalance("labels", "labels", "quality"),
             imbalance("toxic", "labels", "toxic"),
             imbalance("lineitem", "lineitem", "l_returnflag"),
+            *[imbalance(f"share_{c}", "order_shares", c) for c, _ in SHARES],
         ]
     ),
     "eda_dominant_category": union(
-        [dominant("label_texts", LABEL_TEXTS), dominant("customer_const", CUSTOMER_CONST)]
+        [
+            dominant("label_texts", LABEL_TEXTS),
+            dominant("customer_const", CUSTOMER_CONST),
+            dominant("order_shares", SHARES),
+        ]
     ),
     "eda_report": eda_all("label_texts", LABEL_TEXTS, "quality"),
     "plan_log1p": union(
@@ -888,10 +1060,10 @@ SQL: dict[str, str] = {
     ),
     "findings_merge_summary": (
         "SELECT conv_id, turn, k AS finding_count, CASE WHEN NOT valid AND k > 0 THEN k || "
-        f"' {quality.NOUN} detected. LLM reasoning was requested but the response could not be validated. "
+        f"' data-quality issue(s) detected. LLM reasoning was requested but the response could not be validated. "
         "Deterministic findings are preserved.' WHEN NOT valid THEN 'LLM reasoning was requested but the "
         "response could not be validated. Deterministic findings are preserved.' WHEN k > 0 THEN k || "
-        f"' {quality.NOUN} detected.' ELSE '{quality.NONE_FOUND}' END AS summary FROM "
+        f"' data-quality issue(s) detected.' ELSE 'No data-quality issues detected.' END AS summary FROM "
         f"(SELECT *, valid::BIGINT + (m > 0)::BIGINT AS k FROM {TURNS})"
     ),
     "suggest_specs": suggested(),

@@ -39,3 +39,17 @@ def test_entry(spark):
     assert {r.column_name for r in df.collect()} == set(
         spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").columns
     )
+
+
+@pytest.mark.parametrize(
+    ("name", "column", "grades"),
+    [
+        ("dq_high_cardinality", "severity", {"medium", "high"}),
+        ("dq_duplicate_rows", "severity", {"low", "medium", "high"}),
+        ("eda_target_imbalance", "importance", {"low", "medium", "high"}),
+        ("eda_dominant_category", "importance", {"low", "medium", "high"}),
+        ("findings_merge", "severity", {"low", "medium", "high"}),
+    ],
+)
+def test_rule_tables_show_every_grade(spark, name, column, grades):
+    assert {r[0] for r in QUERIES[name](spark, FOLDER).select(column).collect()} == grades
