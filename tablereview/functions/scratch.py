@@ -48,20 +48,17 @@ def store(
     return df.sparkSession.read.schema(schema or df.schema).parquet(path)
 
 
-SMALLEST = 4 << 20
+#: Session setting: into how many pieces tables are dealt before operators that pass over them many times.
+PIECES = "spark.tablereview.pieces"
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a small table that lies in few pieces one piece per core.
+    """Deal a table that lies in few pieces, if the session asks for it with ``PIECES``.
 
-    For operators that pass over a table many times: one big row group keeps
-    all but one core idle in each pass. Only tables below one input split per
-    core are copied; larger ones already have enough pieces and stay as they are.
+    One big row group keeps all but one core idle in each pass, which only matters for tables of a
+    few files. Unless the setting is given, every table is read as it lies, whatever its size.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if not SMALLEST <= size <= cores * split or len(df.inputFiles()) >= cores:
+    pieces = int(df.sparkSession.conf.get(PIECES, None) or 0)
+    if not pieces or len(df.inputFiles()) >= pieces:
         return df
-    return store(df.repartition(cores), "spread")
+    return store(df.repartition(pieces), "spread")

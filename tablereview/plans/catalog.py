@@ -18,7 +18,7 @@ from tablereview.operators.split import MARK, stratified_split
 from tablereview.plans.inputs import Tables
 from tablereview.plans.review import run_review
 from tablereview.sources.csv import read_csv
-from tablereview.sources.sinks import profile_document, write_profile_json
+from tablereview.sources.sinks import profile_document, write_profile, write_profile_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -849,9 +849,10 @@ def source_csv(t: Tables) -> DataFrame:
 
 @register
 def source_csv_text(t: Tables) -> DataFrame:
-    """Whole texts with quoted line breaks and quotes survive the CSV reader."""
+    """Whole texts with quoted line breaks and quotes survive the CSV reader; some files have none."""
     path = scratch_path(t.spark, "csv")
-    t.documents.write.options(**CSV_AS_IS).csv(path)
+    rows = t.documents.repartition(8, F.col("text").contains("\n"), F.col("doc_id") % 4)
+    rows.write.options(**CSV_AS_IS).csv(path)
     back = read_csv(t.spark, path)
     return back.withColumn("text", F.md5("text"))
 
@@ -881,3 +882,17 @@ def sink_profile_json(t: Tables) -> DataFrame:
         pick("categorical_statistics.l_linestatus.most_frequent_value", "string").alias("top_status"),
         pick("target_distribution.R", "bigint").alias("returned"),
     )
+
+
+@register
+def sink_profile_rows(t: Tables) -> DataFrame:
+    """A profile with a target of as many values as rows, written as a document and rows."""
+    df = t.orders
+    document = profile_document(prof.table_profile(df), prof.column_profile(df), "o_orderkey")
+    path = write_profile(
+        document, prof.target_distribution(df, "o_orderkey"), scratch_path(t.spark, "profile")
+    )
+    count = F.get_json_object("value", "$.row_count").cast("bigint").alias("row_count")
+    written = t.spark.read.text(f"{path}/profile", wholetext=True).select(count)
+    rows = t.spark.read.schema("target_value string, n bigint").json(f"{path}/target_distribution")
+    return rows.select("*", written.scalar().alias("row_count"))

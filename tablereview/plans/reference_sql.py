@@ -1067,6 +1067,10 @@ SQL: dict[str, str] = {
         f"(SELECT *, valid::BIGINT + (m > 0)::BIGINT AS k FROM {TURNS})"
     ),
     "suggest_specs": suggested(),
+    "sink_profile_rows": (
+        "SELECT o_orderkey::VARCHAR AS target_value, count(*) AS n, (SELECT count(*) FROM orders) AS row_count "
+        "FROM orders GROUP BY 1"
+    ),
     "source_csv": (
         f"SELECT *, o_custkey % 2 = 0 AS wide FROM {source('orders_gaps')}"
     ),

@@ -21,7 +21,7 @@ from tablereview.operators.profile import (
 )
 from tablereview.operators.transforms import feature_report
 from tablereview.sources.csv import read_csv
-from tablereview.sources.sinks import profile_document
+from tablereview.sources.sinks import profile_document, write_profile
 
 Planner = Callable[[DataFrame, str], DataFrame]  # (column facts, target) -> specs
 
@@ -53,6 +53,10 @@ class Review:
     def profile_json(self) -> DataFrame:
         return profile_document(self.table, self.columns, self.target, self.distribution)
 
+    def write_profile(self, path: str) -> str:
+        """The profile document, and beside it the target distribution as rows."""
+        return write_profile(profile_document(self.table, self.columns, self.target), self.distribution, path)
+
     def result(self) -> DataFrame:
         """One row: the sizes, the findings, both models, the decision and a summary line."""
         issues = self.quality_summary.select("finding_count").scalar()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablereview.functions.expressions import col
 
@@ -37,19 +38,14 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     Whole numbers become bigint, or double when values are missing; decimals
     double; true/false boolean when none is missing; the rest text. Quoted line
     breaks need ``multi_line``, which keeps Spark from splitting files: when it
-    is not given, one pass over the lines checks whether it is needed.
+    is not given, one pass over the lines finds the files that need it, and only
+    those are read so.
     """
     try:
         if multi_line is None:
-            multi_line = _has_quoted_breaks(spark, path)
-        text = (
-            spark.read.option("header", True)
-            .option("inferSchema", False)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("multiLine", multi_line)
-            .csv(path)
-        )
+            text = _read_by_file(spark, path)
+        else:
+            text = _read_text(spark, path, multi_line)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"CSV file not found: {path}") from None
@@ -61,11 +57,42 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) ->
     return clean.select(*[_cast(col(c), kinds[c]).alias(c) for c in clean.columns])
 
 
-def _has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """Is there a line with an odd number of quotes?"""
+def _read_text(
+    spark: SparkSession, path: str, multi_line: bool, schema: StructType | None = None
+) -> DataFrame:
+    reader = (
+        spark.read.option("header", True)
+        .option("inferSchema", False)
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+    )
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def _read_by_file(spark: SparkSession, path: str) -> DataFrame:
+    """Files with quoted line breaks whole, the others in splits.
+
+    The names of the former are a part of Spark's own file listing; a filter on the
+    file path prunes the scans to their files.
+    """
+    broken = _files_with_quoted_breaks(spark, path)
+    if not broken:
+        return _read_text(spark, path, False)
+    whole = _read_text(spark, path, True)
+    if len(broken) == len(whole.inputFiles()):
+        return whole
+    split = _read_text(spark, path, False, whole.schema)
+    inside = F.col("_metadata.file_path").isin(broken)
+    return split.where(~inside).unionByName(whole.where(inside))
+
+
+def _files_with_quoted_breaks(spark: SparkSession, path: str) -> list[str]:
+    """Files that have a line with an odd number of quotes."""
     lines = spark.read.text(path)
     quotes = F.char_length("value") - F.char_length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return lines.agg(F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False))).first()[0]
+    odd = lines.where(quotes % 2 == 1).select(F.col("_metadata.file_path").alias("file"))
+    return [r.file for r in odd.distinct().collect()]
 
 
 def _infer(df: DataFrame) -> dict[str, str]:

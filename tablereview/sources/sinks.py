@@ -26,7 +26,9 @@ def profile_document(
 ) -> DataFrame:
     """One row, ``json``: the whole profile of a table.
 
-    Gathers profile rows only: one per column, and one per class of the target.
+    Gathers profile rows only: one per column, and one per value of the target if
+    ``distribution`` is given. For a target with very many values leave it out and
+    use ``write_profile``.
     """
     numeric = F.struct(*[F.col(s) for s in _NUMERIC])
     mode = F.struct(
@@ -71,6 +73,14 @@ def write_profile_json(document: DataFrame, path: str) -> str:
     return path
 
 
+def write_profile(document: DataFrame, distribution: DataFrame, path: str) -> str:
+    """Write the document (made without the distribution) into ``path/profile`` and the
+    target distribution, at any number of values, as JSON rows into ``path/target_distribution``."""
+    write_profile_json(document, f"{path}/profile")
+    write_table(distribution, f"{path}/target_distribution", "json")
+    return path
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> str:
     """Write any result table."""
     df.write.mode("overwrite").format(form).save(path)
@@ -78,4 +88,4 @@ def write_table(df: DataFrame, path: str, form: str = "parquet") -> str:
 
 
 
-__all__ = ["profile_document", "write_profile_json", "write_table"]
+__all__ = ["profile_document", "write_profile", "write_profile_json", "write_table"]

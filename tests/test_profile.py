@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import fixed_text
-from tablereview.functions.scratch import spread
+from tablereview.functions.scratch import PIECES, spread
 from tablereview.operators import profile as prof
 from tablereview.operators.medians import Bracket, exact_medians, medians_of, summaries
 from tablereview.operators.ranking import totals_before
@@ -204,10 +204,24 @@ def test_a_bracket_that_misses_the_middle_is_widened(spark):
         assert got == {"x": 5000.0, "y": -5000.0}
 
 
-def test_spread_copies_only_tables_in_between(spark):
-    tiny = spark.range(10)
-    assert spread(tiny) is tiny
-    lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
-    wide = spread(lines)
-    assert wide is not lines and len(wide.inputFiles()) == 8 and wide.schema == lines.schema
-    assert spread(wide) is wide
+def test_spread_is_asked_for(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    assert spread(lines) is lines
+    spark.conf.set(PIECES, "4")
+    try:
+        wide = spread(lines)
+        assert len(wide.inputFiles()) == 4 and wide.count() == lines.count()
+        assert spread(wide) is wide
+    finally:
+        spark.conf.unset(PIECES)
+
+
+def test_only_files_with_quoted_breaks_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "a b.csv").write_text('i,t\n1,plain\n2,"q ""x"" y"\n')
+    (folder / "b%20.csv").write_text('i,t\n3,"two\nlines"\n4,z\n')
+    (folder / "c.csv").write_text("i,t\n")
+    got = sorted(map(tuple, read_csv(spark, str(folder)).collect()))
+    assert got == [(1, "plain"), (2, 'q "x" y'), (3, "two\nlines"), (4, "z")]
+    assert got == sorted(map(tuple, read_csv(spark, str(folder), multi_line=True).collect()))
