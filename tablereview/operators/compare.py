@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,9 +57,13 @@ def compare_models(
         before = fit_prep(plain.train, old)
     else:
         plain, before = engineered, after.only(old)
-    runs = {"baseline": fit_predict(plain, target, before, max_iter)}
+    sides = {"baseline": (plain, before)}
     if plan.created:
-        runs["engineered"] = fit_predict(engineered, target, after, max_iter)
+        sides["engineered"] = (engineered, after)
+    fit = inheritable_thread_target(df.sparkSession)(fit_predict)
+    with ThreadPoolExecutor(len(sides)) as pool:  # the fits do not depend on each other
+        started = {n: pool.submit(fit, rows, target, known, max_iter) for n, (rows, known) in sides.items()}
+        runs = {n: future.result() for n, future in started.items()}
     predictions = None
     for name, run in runs.items():
         part = run.predictions.withColumn("variant", F.lit(name))
