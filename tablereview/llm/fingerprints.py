@@ -254,7 +254,8 @@ def fingerprint_neighbours(docs: DataFrame, id_column: str = "doc_id", text_colu
     )
     return (
         own.unionByName(head)
-        .repartitionById(parts + 1, F.col("part"))
+        # ids are taken modulo the number of tasks, so there is one for each part
+        .repartitionById(len(borders) + 1, F.col("part"))
         .sortWithinPartitions("extra", "place", "tie")
         .select("id", "text", "extra")
         .mapInArrow(_neighbours, f"id {id_type}, {schema}")

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tablereview.llm import fingerprints as fp
@@ -68,3 +69,16 @@ def test_a_changed_end_gives_the_same_fingerprint(a, b, data):
     changed = fp.Fingerprint(b, fp.Fingerprint(a), keep)
     assert str(changed) == str(fp.Fingerprint(a[:keep] + b))
     assert (changed.windows == fp.Fingerprint(a[:keep] + b).windows).all()
+
+
+@pytest.mark.parametrize("parts", [64, 200])
+def test_every_part_has_a_task_of_its_own(spark, parts):
+    rows = [(i, f"text {i * i % 9973} of row {i}, " + "with some more words " * (i % 4)) for i in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r.doc_id: r for r in fp.fingerprint_neighbours(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    check(rows, got)
