@@ -1,8 +1,10 @@
 """License scans in DataFrame operations only: sparse TF-IDF cosine to templates, then inheritance.
 
-Every line of a text is a header candidate. Its words are weighed by frequency and rarity; the
-cosine with a template only needs the words they share. Rarity is counted over all texts for the
-words of the templates; any other word counts as one that no text holds. A text that mostly consists
+Every line of a text is compared with notices of one line. Headers of several lines and whole
+license texts are compared with windows of as many words, from the starts of lines on and over line
+ends, and with the whole text. Words are weighed by frequency and rarity; the cosine with a template
+only needs the words they share. Rarity is counted over all texts for the words of the templates;
+any other word counts as one that no text holds. A text that mostly consists
 of a license is a license file, and so is one named like it; files without a license of their own
 take that of the nearest directory above that holds a license file.
 """
@@ -11,13 +13,14 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import col
 from tablereview.functions.scratch import store
-from tablereview.llm.native import text_of
+from tablereview.llm.native import let, text_of
 
 # Notices by which licenses are named in headers and license files.
 TEMPLATES = (
@@ -38,6 +41,52 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("proprietary", "All rights reserved."),
 )
+_GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published "
+    "by the Free Software Foundation; either version {3} of the License, or (at your option) any later version."
+)
+_GNU_REST = (
+    " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} for more details. You should have "
+    "received a copy of the GNU {2} along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+)
+_GNU_HEADERS = (
+    ("GPL-2.0", "program", ";", "General Public License", "2"),
+    ("GPL-3.0", "program", ":", "General Public License", "3"),
+    ("LGPL-2.1", "library", ";", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "library", ":", "Lesser General Public License", "3"),
+    ("AGPL-3.0", "program", ":", "Affero General Public License", "3"),
+)
+#: Standard headers that run over lines.
+HEADERS = (
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        "specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ),
+    *((name, _GNU.format(*fill)) for name, *fill in _GNU_HEADERS),
+    *((name, (_GNU + _GNU_REST).format(*fill)) for name, *fill in _GNU_HEADERS),
+)
+#: Whole licenses, without lines that name an owner.
+TEXTS = tuple(
+    (path.stem, path.read_text(encoding="utf-8"))
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+)
+BLOCKS = HEADERS + TEXTS
+#: Windows start at lines, at most so many of them within the length of a template.
+STARTS = 32
 LICENSE_FILE = r"(?i)(^|/)(license|licence|copying|unlicense|notice)([._-][^/]*)?$"
 LEAST_COSINE = 0.85
 #: Share of a text's words in license lines from which it is a license file.
@@ -129,6 +178,155 @@ def license_lines(
     )
 
 
+def _marked(text: Column) -> Column:
+    """Tokens with the line feeds between them."""
+    apart = F.split(F.lower(F.regexp_replace(text, "\n", " \n ")), _SPLIT.replace("^", "^\n"), -1)
+    return F.filter(F.transform(apart, lambda w: F.btrim(w, F.lit(".+-"))), lambda w: w != "")
+
+
+def _line_starts(marked: Column) -> Column:
+    """(line, offset) of each line with words; the offset counts the words before it."""
+    feeds = F.filter(F.transform(marked, lambda w, i: F.when(w == "\n", i)), lambda i: i.isNotNull())
+    first = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).alias("offset")))
+    rest = let(feeds, lambda at: F.transform(at, lambda i, k: F.struct((k + 1).alias("line"), (i - k).alias("offset"))))
+    words = F.size(F.filter(marked, lambda w: w != "\n"))
+    return let(
+        F.concat(first, rest),
+        lambda x: F.filter(x, lambda s, i: F.coalesce(F.get(x, i + 1)["offset"], words) > s["offset"]),
+    )
+
+
+def license_blocks(
+    files: DataFrame, templates: tuple[tuple[str, str], ...] = BLOCKS, least: float = LEAST_COSINE
+) -> DataFrame:
+    """Windows of ``files`` (key, text) that are a header or a whole license.
+
+    Returns (key, text_hash, line, until, offset, words, license, cosine), lines and words counted
+    from 0, until being the line behind the window. A window and a template only are compared if
+    the words of the whole text leave the least cosine within reach: it is at most the norm of the
+    weights of the template's words that the text holds.
+    """
+    spark = files.sparkSession
+    counted = _template_words(templates)
+    vocabulary = sorted({w for _, words in counted for w in words})
+    wanted = F.array(*[F.lit(w) for w in vocabulary])
+    keyed = files.select("key", F.xxhash64("text").alias("text_hash"), "text")
+    held = store(
+        keyed.select("key", "text_hash", F.array_intersect(tokens(F.col("text")), wanted).alias("held")), "held_words"
+    )
+    texts = held.count()
+    rows = held.select(F.explode("held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
+    holding = {r.word: r.n for r in rows}
+    rarity = {w: math.log((1 + texts) / (1 + holding.get(w, 0))) + 1 for w in vocabulary}
+    unseen = math.log(1 + texts) + 1
+    weights, sizes = [], []
+    for place, (name, words) in enumerate(counted):
+        norm = math.sqrt(sum((n * rarity[w]) ** 2 for w, n in words.items()))
+        weights += [(w, place, n * rarity[w] / norm) for w, n in words.items()]
+        sizes.append((place, name, sum(words.values())))
+    template = spark.createDataFrame(weights, "word string, template int, weight double")
+    weighed = spark.createDataFrame(sorted(rarity.items()), "word string, rarity double")
+    named = spark.createDataFrame(sizes, "template int, license string, length int")
+    near = (
+        held.dropDuplicates(["key", "text_hash"])
+        .select("key", "text_hash", F.explode("held").alias("word"))
+        .join(F.broadcast(template), "word")
+        .groupBy("key", "text_hash", "template")
+        .agg(F.sum(F.col("weight") * F.col("weight")).alias("reach"))
+        .filter(F.col("reach") >= least * least - 1e-9)
+        .join(F.broadcast(named), "template")
+        .groupBy("key", "text_hash")
+        .agg(F.collect_list(F.struct("template", "length")).alias("near"))
+    )
+    near = store(near, "license_candidates")
+    cut = (
+        keyed.join(near, ["key", "text_hash"])
+        .dropDuplicates(["key", "text_hash"])
+        .select("key", "text_hash", "near", _marked(F.col("text")).alias("marked"))
+        .select("*", F.filter("marked", lambda w: w != "\n").alias("words"), _line_starts(F.col("marked")).alias("starts"))
+        .select("key", "text_hash", "words", "starts", F.explode("near").alias("near"))
+    )
+    step = F.greatest(F.lit(1), F.floor(F.col("near.length") / STARTS))
+    piece = lambda s: F.floor(s["offset"] / step)
+    places = F.filter(
+        "starts", lambda s, i: F.coalesce(piece(F.get(F.col("starts"), i - 1)) != piece(s), F.lit(True))
+    )
+    total = F.size("words")
+
+    def window(line: Column, offset: Column, length: Column) -> Column:
+        until = F.filter("starts", lambda s: s["offset"] < offset + length)
+        return F.struct(
+            line.alias("line"),
+            (F.element_at(until, -1)["line"] + 1).alias("until"),
+            offset.alias("offset"),
+            length.alias("words"),
+            F.slice("words", offset + 1, length).alias("held"),
+        )
+
+    parts = F.transform(places, lambda s: window(s["line"], s["offset"], F.least(F.col("near.length"), total - s["offset"])))
+    whole = F.array(window(F.lit(0), F.lit(0), total))
+    at = ["key", "text_hash", "template", "line", "until", "offset", "words"]
+    words = (
+        cut.filter(total > 0)
+        .select("key", "text_hash", F.col("near.template").alias("template"), F.explode(F.concat(parts, whole)).alias("w"))
+        .select("key", "text_hash", "template", "w.line", "w.until", "w.offset", "w.words", F.explode("w.held").alias("word"))
+        .groupBy(*at, "word")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # a first window that is the whole text comes twice, which changes no cosine
+    value = F.col("n") * F.coalesce("rarity", F.lit(unseen))
+    cosine = F.sum(value * F.coalesce("weight", F.lit(0.0))) / F.sqrt(F.sum(value * value))
+    return (
+        words.join(F.broadcast(weighed), "word", "left")
+        .join(F.broadcast(template), ["word", "template"], "left")
+        .groupBy(*at)
+        .agg(cosine.alias("cosine"))
+        .filter(F.col("cosine") >= least)
+        .join(F.broadcast(named), "template")
+        .select("key", "text_hash", "line", "until", "offset", "words", "license", "cosine")
+    )
+
+
+def _covered(spans: Column) -> Column:
+    """Places under (offset, words) spans, each counted once."""
+    start = F.struct(F.lit(0).alias("stop"), F.lit(0).alias("n"))
+
+    def add(state: Column, span: Column) -> Column:
+        stop = span["offset"] + span["words"]
+        more = F.greatest(F.lit(0), stop - F.greatest(state["stop"], span["offset"]))
+        return F.struct(F.greatest(state["stop"], stop).alias("stop"), (state["n"] + more).alias("n"))
+
+    return F.aggregate(F.array_sort(spans), start, add)["n"]
+
+
+def _notices(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, license, cosine, notice_words): a block counts before single lines, and its words once."""
+    best = F.max(F.struct("block", "cosine", (-F.col("line")).alias("line"), "license")).alias("best")
+    in_text = blocks.groupBy("key", "text_hash").agg(
+        F.max(F.struct(F.lit(True).alias("block"), "cosine", (-F.col("line")).alias("line"), "license")).alias("best"),
+        _covered(F.collect_list(F.struct("offset", "words"))).cast("long").alias("words"),
+        F.collect_set(F.struct("line", "until")).alias("ranges"),
+    )
+    in_text = in_text.groupBy("key").agg(
+        F.max("best").alias("best"), F.sum("words").alias("words"), F.flatten(F.collect_list("ranges")).alias("ranges")
+    )
+    in_text = store(in_text, "license_blocks")
+    inside = F.exists("ranges", lambda r: (r["line"] <= F.col("line")) & (F.col("line") < r["until"]))
+    alone = (
+        lines.join(in_text.select("key", "ranges"), "key", "left")
+        .filter(~F.coalesce(inside, F.lit(False)))
+        .withColumn("block", F.lit(False))
+        .groupBy("key")
+        .agg(best, F.sum("words").cast("long").alias("words"))
+    )
+    return (
+        alone.unionByName(in_text.drop("ranges"))
+        .groupBy("key")
+        .agg(F.max("best").alias("best"), F.sum("words").alias("notice_words"))
+        .select("key", "best.license", "best.cosine", "notice_words")
+    )
+
+
 def scan_licenses(
     files: DataFrame,
     path_column: str = "path",
@@ -136,13 +334,14 @@ def scan_licenses(
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     least: float = LEAST_COSINE,
     file_share: float = FILE_SHARE,
+    blocks: tuple[tuple[str, str], ...] = BLOCKS,
 ) -> DataFrame:
     """License of each file: (path, license, how, cosine, from_dir).
 
     how is "file" for a license file, "header" for another file that holds a notice, "inherited" if
     the license is that of a license file in the directory or the nearest above it (from_dir), else
-    null like the license. Of several notices the one of the greatest cosine counts, then the
-    first; of several license files of a directory the one of the greatest cosine, then of the least
+    null like the license. Headers and license texts of several lines (``blocks``) count before
+    notices of one line; of several the one of the greatest cosine counts, then the first; of several license files of a directory the one of the greatest cosine, then of the least
     path. Only notices of a license file that have a license are passed on.
 
     A null path is a file "" in the root; a null text is empty. Rows repeated under one path each get
@@ -151,10 +350,7 @@ def scan_licenses(
     """
     path = F.coalesce(col(path_column).cast("string"), F.lit(""))
     rows = files.select(path.alias("key"), text_of(text_column).alias("text"))
-    found = license_lines(rows, templates, least)
-    best = F.max(F.struct("cosine", (-F.col("line")).alias("line"), "license"))
-    own = found.groupBy("key").agg(best.alias("best"), F.sum("words").alias("words"))
-    own = store(own.select("key", "best.license", "best.cosine", F.col("words").alias("notice_words")), "notices")
+    own = store(_notices(license_lines(rows, templates, least), license_blocks(rows, blocks, least)), "notices")
     directory = F.regexp_extract("key", r"^(.*)/[^/]*$", 1)
     sizes = rows.select(
         "key", directory.alias("dir"), F.size(F.split(F.trim(F.col("text")), r"[\x20\x09-\x0D]+", -1)).alias("size")

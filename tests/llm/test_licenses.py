@@ -54,3 +54,72 @@ def test_cosine_matches_brute_force(spark, documents):
     files = spark.createDataFrame(rows, "key string, text string")
     got = {(r.key, r.line): r.license for r in licenses.license_lines(files).collect()}
     assert got == expected and got
+
+
+MIT = """MIT License
+
+Copyright (c) 2019-2024 Jane Example and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or
+substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+APACHE_HEADER = """# Copyright 2021 The Example Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License"); you may
+# not use this file except in compliance with the License. You may obtain
+# a copy of the License at
+#
+#      http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+# WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the
+# License for the specific language governing permissions and limitations
+# under the License.
+"""
+GPL_HEADER = """/*
+ * frob.c - part of frobnicate
+ *
+ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.
+ */
+"""
+
+
+def test_license_files_and_wrapped_headers(spark):
+    code = "\n".join(f"value_{i} = compute(step{i}, other{i})  # note {i} on part {i % 7}" for i in range(200))
+    bsd = dict(licenses.TEXTS)["BSD-3-Clause"].replace("copyright holder", "Example Institute")
+    rows = [
+        ("m/LICENSE", MIT),
+        ("m/sub/code.py", code),
+        ("m/sub/embedded.js", "/*\n * " + MIT.replace("\n", "\n * ") + "*/\n" + code),
+        ("a/code.py", APACHE_HEADER + code),
+        ("g/frob.c", GPL_HEADER + code),
+        ("b/terms.txt", "Copyright (c) 2020, Example Institute\nAll rights reserved.\n\n" + bsd),
+        ("x/LICENSE-3rd", dict(licenses.TEXTS)["GPL-3.0"]),
+        ("y/other.py", code),
+    ]
+    rows += [(f"z/{i}.py", f"plain words of the file {i} and no terms in it\n{code[:300]}") for i in range(30)]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    answers = {p: (r.license, r.how) for p, r in got.items()}
+    assert answers["m/LICENSE"] == ("MIT", "file")
+    assert answers["m/sub/code.py"] == ("MIT", "inherited")
+    assert answers["m/sub/embedded.js"] == ("MIT", "header")
+    assert answers["a/code.py"] == ("Apache-2.0", "header")
+    assert answers["g/frob.c"] == ("GPL-2.0", "header")
+    assert answers["b/terms.txt"] == ("BSD-3-Clause", "file")
+    assert answers["x/LICENSE-3rd"] == ("GPL-3.0", "file")
+    assert answers["y/other.py"] == (None, None)
+    assert all(answers[f"z/{i}.py"] == (None, None) for i in range(30))
