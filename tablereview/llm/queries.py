@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablereview.llm import (
     dedup,
     fingerprints,
+    head_tail,
     language,
     licenses,
+    line_dedup,
     line_rules,
     mixing,
     packing,
+    periods,
     pii,
     resample,
     secret_scan,
 )
+from tablereview.llm.native import let, words_of
 from tablereview.llm.reference_sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -78,6 +82,34 @@ def op10_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder), copy_column="copy_no")
 
 
+def op11_head_tail_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    drawn = head_tail.resample_towards(documents(spark, folder), benchmark)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(documents(spark, folder)).drop("keep")
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents with h % 10 = 0, h the CRC-32 of the id: from a word on, p words are said again and again."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+
+    def again(words: Column) -> Column:
+        g, n = F.floor(h / 10), F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(words, lambda _, i: F.get(words, at(i))), " ")).otherwise("")
+
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words_of(F.col("text")), again)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.digest(periods.find_runs(with_periods(documents(spark, folder))))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -91,5 +123,8 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_language_fusion,
         op10_mix_sources,
+        op11_head_tail_resampling,
+        op12_line_dedup,
+        op13_periodic_runs,
     )
 }

@@ -89,8 +89,75 @@ copies AS (
 SELECT d.*, unnest(range(1, c.n + 1)) AS copy_no FROM documents d JOIN copies c ON c.doc_id = d.doc_id
 """
 
+HEAD_TAIL = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)),
+      lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+raw AS (SELECT 0 AS part, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+numbered AS (SELECT *, row_number() OVER () AS r FROM raw),
+worded AS (
+  SELECT part, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM numbered),
+placed AS (SELECT part, r, words, unnest(range(1, len(words) + 1)) AS i FROM worded),
+features AS (
+  SELECT part, r, words[i] AS feature FROM placed
+  UNION ALL
+  SELECT part, r, words[i] || ' ' || words[i + 1] FROM placed WHERE i < len(words)),
+distinct_features AS (SELECT DISTINCT feature FROM features),
+hexed AS (SELECT feature, hex(encode(feature)) AS digits FROM distinct_features),
+hashed AS (
+  SELECT feature, xor(list_reduce(list_concat([4294967295], list_transform(range(CAST(len(digits) / 2 AS BIGINT)),
+      lambda k: CAST('0x' || substr(digits, 2 * k + 1, 2) AS BIGINT))),
+    lambda c, b: xor(entries[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM hexed, crc_table),
+placed_features AS (SELECT part, r, bucket FROM features JOIN hashed USING (feature)),
+totals AS (
+  SELECT bucket, CAST(count(*) FILTER (part = 0) AS DOUBLE) AS s, CAST(count(*) FILTER (part = 1) AS DOUBLE) AS t
+  FROM placed_features GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM totals) + 10000)
+    / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000)))) AS BIGINT) AS gain FROM totals),
+sums AS (
+  SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM placed_features JOIN gains USING (bucket)
+  WHERE part = 0 GROUP BY r),
+weighed AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n, 0) AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+    CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM worded w LEFT JOIN sums s ON s.r = w.r WHERE part = 0),
+scored AS (
+  SELECT doc_id, n_words, n_features, weight,
+    weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM weighed),
+ranked AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END
+    AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank, n_words
+FROM ranked
+"""
+
+LINE_DEDUP = """
+WITH cut AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (SELECT doc_id, r, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM cut),
+keyed AS (
+  SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM placed),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+  SELECT k.*, c.key IS NOT NULL AND k.doc_id <> c.keeper AS dropped FROM keyed k LEFT JOIN common c ON c.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id, r
+"""
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": NEAR_DEDUP,
     "op4_line_rules": LINE_RULES,
     "op10_mix_sources": MIX_SOURCES,
+    "op11_head_tail_resampling": HEAD_TAIL,
+    "op12_line_dedup": LINE_DEDUP,
 }
