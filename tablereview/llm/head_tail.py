@@ -30,14 +30,15 @@ from tablereview.operators.ranking import totals_before
 
 BUCKETS = 10_000
 #: Words and pairs with at least 1 / HEAD of all words and pairs are in the tables.
-HEAD = 1 << 16
-#: Chunks leave out what has less than 1 / (SLACK * HEAD) of them, so a frequent feature is counted
-#: with at least (SLACK - 1) / SLACK of the least count, and at most SLACK / (SLACK - 1) * HEAD words
-#: and as many pairs reach it.
-SLACK = 4
-#: Longer words stay in the tail, so the tables hold 87,382 words and pairs of 129 bytes each at most.
+HEAD = 1 << 14
+#: A task lowers all its counts by one after each SLACK * HEAD words (pairs), and reports those that
+#: are at least 1 / (SLACK * HEAD) of its words. What it misses of a feature is less than 2 / (SLACK *
+#: HEAD) of its words, so with SLACK 8 each frequent feature is counted with 3 / 4 of the least count
+#: or more, and at most 4 / 3 * HEAD words and as many pairs reach that.
+SLACK = 8
+#: Longer words stay in the tail, so the tables hold 21,845 words and pairs of 129 bytes each at most.
 LONGEST = 64
-#: Words that are counted, or looked up, together.
+#: Words that are looked up together.
 BLOCK = 1 << 18
 LEAST_WORDS = 20
 PERCENT = 25
@@ -48,34 +49,30 @@ TABLE = blank_table([b >= 128 or chr(b).isalnum() for b in range(256)], lower=Tr
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of a chunk's frequent words and pairs; "" and " " stand for all words and all pairs."""
-    words, pairs = Counter(), Counter()
-
-    def found() -> pa.RecordBatch:
-        feature, n = ["", " "], [words.total(), pairs.total()]
-        for counts, name in ((words, lambda w: w.decode()), (pairs, lambda p: b" ".join(p).decode())):
-            all_of = counts.total()
-            for key, k in counts.items():
-                if k * SLACK * HEAD >= all_of:
-                    feature.append(name(key))
-                    n.append(k)
-        words.clear()
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(feature, pa.string()), pa.array(n, pa.int64())], ["feature", "n"])
-
-    seen = 0
+    """Counts of a task's frequent words and pairs; "" and " " stand for all its words and all its pairs."""
+    counts, seen, since = (Counter(), Counter()), [0, 0], [0, 0]
     for batch in batches:
         for text in texts_of(batch.column("text")):
             before: list[bytes] = []
             for piece in word_pieces(text, TABLE):
-                words.update(piece)
                 row = before + piece
-                pairs.update(zip(row, islice(row, 1, None)))
-                before, seen = row[-1:], seen + len(piece)
-                if seen >= BLOCK:
-                    yield found()
-                    seen = 0
-    yield found()
+                for kind, found in enumerate((piece, zip(row, islice(row, 1, None)))):
+                    n = len(piece) if kind == 0 else len(row) - 1
+                    counts[kind].update(found)
+                    seen[kind] += n
+                    since[kind] += n
+                    if since[kind] >= SLACK * HEAD:
+                        lower = {key: k - 1 for key, k in counts[kind].items() if k > 1}
+                        counts[kind].clear()
+                        counts[kind].update(lower)
+                        since[kind] = 0
+                before = row[-1:]
+    feature, n = ["", " "], seen.copy()
+    for kind, name in enumerate((bytes.decode, lambda pair: b" ".join(pair).decode())):
+        often = [(key, k) for key, k in counts[kind].items() if k * SLACK * HEAD >= seen[kind]]
+        feature += [name(key) for key, _ in often]
+        n += [k for _, k in often]
+    yield pa.RecordBatch.from_arrays([pa.array(feature, pa.string()), pa.array(n, pa.int64())], ["feature", "n"])
 
 
 def head_features(docs: DataFrame, text_column: str) -> list[str]:
@@ -85,7 +82,7 @@ def head_features(docs: DataFrame, text_column: str) -> list[str]:
     counts = store(counts.groupBy("feature").agg(F.sum("n").alias("n")), "head_counts")
     totals = {r.feature: r.n for r in counts.filter(F.col("feature").isin("", " ")).collect()}
     kind = F.when(F.col("feature").contains(" "), F.lit(totals.get(" ", 0))).otherwise(F.lit(totals.get("", 0)))
-    often = F.col("n") * SLACK * HEAD >= kind * (SLACK - 1)
+    often = F.col("n") * 4 * HEAD >= kind * 3
     short = F.forall(F.split("feature", " "), lambda w: (F.octet_length(w) > 0) & (F.octet_length(w) <= LONGEST))
     return [r.feature for r in counts.filter(often & short).select("feature").collect()]
 

@@ -77,7 +77,6 @@ def test_blocks_and_pieces_lose_nothing(monkeypatch):
 
 
 def test_frequent_features_are_in_the_head(spark, documents, monkeypatch):
-    monkeypatch.setattr(head_tail, "BLOCK", 500)
     monkeypatch.setattr(head_tail, "HEAD", 256)
     found = head_tail.head_features(documents, "text")
     words, pairs = Counter(), Counter()
