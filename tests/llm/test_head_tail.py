@@ -78,6 +78,7 @@ def test_blocks_and_pieces_lose_nothing(monkeypatch):
 
 def test_frequent_features_are_in_the_head(spark, documents, monkeypatch):
     monkeypatch.setattr(head_tail, "HEAD", 256)
+    monkeypatch.setattr(head_tail, "LEAST_SEEN", 1)
     found = head_tail.head_features(documents, "text")
     words, pairs = Counter(), Counter()
     for _, text in rows_of(documents):
