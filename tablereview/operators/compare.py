@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import fixed_text, rows_as_table
-from tablereview.functions.scratch import spread, store
+from tablereview.functions.scratch import spread
 from tablereview.operators.model import evaluate, feature_columns, fit_predict
 from tablereview.operators.prep import fit_prep
 from tablereview.operators.split import Split, stratified_split
@@ -68,8 +68,7 @@ def compare_models(
     for name, run in runs.items():
         part = run.predictions.withColumn("variant", F.lit(name))
         predictions = part if predictions is None else predictions.unionByName(part)
-    # three narrow columns, read twice: by class and by score
-    metrics = evaluate(store(predictions, "predictions"), split.class_count, ("variant",))
+    metrics = evaluate(predictions, split.class_count, ("variant",))
     if not plan.created:  # the same columns give the same model
         both = F.explode(F.array(F.lit("baseline"), F.lit("engineered")))
         metrics = metrics.drop("variant").select(both.alias("variant"), "*")

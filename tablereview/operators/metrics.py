@@ -66,3 +66,42 @@ def roc_auc(predictions: DataFrame, positive: Column, by: tuple[str, ...] = ())
     offset = (F.col("p").cast("decimal(19,0)") * (2 * F.col("start")).cast("decimal(19,0)")).cast(WIDE)
     area = (F.col("won") - offset).cast("double") / (2.0 * F.col("p") * F.col("q"))
     return sums.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), area).alias("roc_auc"))
+
+
+def binary_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """accuracy, weighted f1_score, rows and roc_auc of labels and predictions 0 and 1, per group.
+
+    The predictions are read once: they shrink to a row for each (group, score) with its four counts,
+    and one more aggregate yields class counts and the area together.
+    """
+    told, real = F.col("prediction") == 1.0, F.col("label") == 1.0
+    cells = predictions.groupBy(*by, "score").agg(
+        F.count_if(real).alias("pos"),
+        F.count_if(~real).alias("neg"),
+        F.count_if(real & told).alias("tp"),
+        F.count_if(~real & ~told).alias("tn"),
+    )
+    ranked = totals_before(cells, [*by, "score"], "neg", "below")
+    twice = (2 * F.col("below") + F.col("neg")).cast("decimal(19,0)")
+    sums = ranked.groupBy(*by).agg(
+        F.sum((F.col("pos").cast("decimal(19,0)") * twice).cast(WIDE)).alias("won"),
+        *[F.sum(c).alias(c) for c in ("pos", "neg", "tp", "tn")],
+        F.min("below").alias("start"),
+    )
+    pos, neg, tp, tn = (F.col(c) for c in ("pos", "neg", "tp", "tn"))
+    # groups follow each other in one order: take off what came before the group
+    offset = (pos.cast("decimal(19,0)") * (2 * F.col("start")).cast("decimal(19,0)")).cast(WIDE)
+    area = (F.col("won") - offset).cast("double") / (2.0 * pos * neg)
+    missed = pos - tp + neg - tn
+
+    def f1(hits: Column) -> Column:
+        return F.coalesce(F.try_divide(2.0 * hits, 2 * hits + missed), F.lit(0.0))
+
+    rows = pos + neg
+    return sums.select(
+        *by,
+        F.try_divide(tp + tn, rows).alias("accuracy"),
+        F.try_divide(neg * f1(tn) + pos * f1(tp), rows).alias("f1_score"),
+        rows.alias("rows"),
+        F.when((pos > 0) & (neg > 0), area).alias("roc_auc"),
+    )

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tablereview.functions import types as ty
 from tablereview.functions.expressions import col
-from tablereview.functions.scratch import spread, store
-from tablereview.operators.metrics import class_metrics, roc_auc
+from tablereview.functions.scratch import spread
+from tablereview.operators.metrics import binary_metrics, class_metrics
 from tablereview.operators.prep import Prep, fit_prep
 from tablereview.operators.split import MARK, Split, stratified_split
 
@@ -66,16 +66,10 @@ def feature_columns(columns: list[str], target: str) -> list[str]:
 
 def evaluate(predictions: DataFrame, classes: int, by: tuple[str, ...] = ()) -> DataFrame:
     """accuracy, f1_score, roc_auc (two classes only) and test_rows per group."""
+    if classes == 2:
+        return binary_metrics(predictions, by).withColumnRenamed("rows", "test_rows")
     base = class_metrics(predictions, by).withColumnRenamed("rows", "test_rows")
-    if classes != 2:
-        return base.withColumn("roc_auc", F.lit(None).cast("double"))
-    area = roc_auc(predictions, F.col("label") == 1.0, by)
-    if by:
-        # a missing group value is a group too
-        area = area.select(*[col(c).alias(f"_area_{c}") for c in by], "roc_auc")
-        same = [col(c).eqNullSafe(col(f"_area_{c}")) for c in by]
-        return base.join(area, same).select(*[col(c) for c in base.columns], "roc_auc")
-    return base.withColumn("roc_auc", area.scalar())
+    return base.withColumn("roc_auc", F.lit(None).cast("double"))
 
 
 def model_report(
@@ -93,8 +87,7 @@ def model_report(
     columns = feature_columns(used.columns, target)
     prep = fit_prep(split.train, columns)
     fitted = fit_predict(split, target, prep, max_iter)
-    predictions = store(fitted.predictions, "predictions")
-    return report_row(evaluate(predictions, split.class_count), split, target, used, columns)
+    return report_row(evaluate(fitted.predictions, split.class_count), split, target, used, columns)
 
 
 def report_row(

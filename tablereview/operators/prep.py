@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 from tablereview.functions import types as ty
 from tablereview.functions.expressions import col, group_key
 from tablereview.functions.scratch import store
+from tablereview.operators.lookup import ROW_BYTES, Dictionary, Wanted, look_up
 from tablereview.operators.medians import medians_of, summaries
 from tablereview.operators.profile import value_counts
-from tablereview.operators.ranking import totals_before
+from tablereview.operators.ranking import places
 
 
 @dataclass(frozen=True)
@@ -38,15 +39,18 @@ class Scaled:
 
 @dataclass(frozen=True)
 class Encoded:
-    """A text column: fill level, number of train levels, and their id in ``Prep.levels``.
+    """A text column: fill level and its slot, number of train levels, their id in
+    ``Prep.levels``, and the same levels as a dictionary of slots.
 
     Levels are group keys: the text itself, or its SHA-256 when it is long.
     """
 
     name: str
     mode: str
+    mode_slot: int
     size: int
     id: str
+    slots: Dictionary
 
 
 @dataclass(frozen=True)
@@ -118,15 +122,16 @@ class Prep:
 
     def slots(self, df: DataFrame, keep: list[Column]) -> DataFrame:
         """``keep`` columns plus the slot ``s0, s1, ...`` of each text column: NULL for an
-        unseen level. Levels are joined by their text; Spark broadcasts a small table."""
-        texts = [self._filled_key(df, t).alias(f"t{i}") for i, t in enumerate(self.texts)]
-        flat = df.select(*keep, *texts)
-        for i, text in enumerate(self.texts):
-            known = self.levels.where(F.col("c") == text.id).select(
-                F.col("key").alias(f"k{i}"), F.col("slot").alias(f"s{i}")
-            )
-            flat = flat.join(known, F.col(f"t{i}") == F.col(f"k{i}"), "left").drop(f"t{i}", f"k{i}")
-        return flat
+        unseen level. A missing text has the slot of the mode and takes part in no join."""
+        keys = [group_key(col(t.name), df.schema[t.name].dataType) for t in self.texts]
+        flat = df.select(*keep, *[k.alias(f"t{i}") for i, k in enumerate(keys)])
+        kept = flat.columns[: len(keep)]
+        wanted = [Wanted(F.col(f"t{i}"), t.slots, f"s{i}") for i, t in enumerate(self.texts)]
+        filled = [
+            F.when(F.col(f"t{i}").isNull(), F.lit(t.mode_slot).cast("bigint")).otherwise(F.col(f"s{i}")).alias(f"s{i}")
+            for i, t in enumerate(self.texts)
+        ]
+        return look_up(flat, wanted).select(*map(col, kept), *filled)
 
 
 def _as_vectors(
@@ -182,18 +187,23 @@ def _fit_numbers(train: DataFrame, columns: list[str]) -> list[Scaled]:
 def _fit_texts(train: DataFrame, columns: list[str]) -> tuple[list[Encoded], DataFrame | None]:
     if not columns:
         return [], None
-    counted = value_counts(train, columns).select("c", "key", "n", F.lit(1).alias("one"))
-    ranked = store(totals_before(counted, ["c", "key"], "one", "place").drop("one"), "ranks")
+    placed = places(value_counts(train, columns).select("c", "key", "n"), ["c", "key"], "place")
+    ranked = store(placed.select("*", F.lit(0).alias("pad")), "levels")
     # one row per column
     facts = ranked.groupBy("c").agg(
         F.count(F.lit(1)).alias("size"),
+        F.sum("n").alias("rows"),
+        F.sum(F.octet_length("key")).alias("bytes"),
         F.min("place").alias("start"),
-        F.min(F.struct(-F.col("n"), F.col("key"))).key.alias("mode"),
+        F.min(F.struct(-F.col("n"), F.col("key"), F.col("place"))).alias("top"),
     )
     found = {r.c: r for r in facts.collect()}
     texts, start = [], F.lit(None).cast("bigint")
     for i, name in enumerate(columns):
         if r := found.get(str(i)):
-            texts.append(Encoded(name, r["mode"], r["size"], r.c))
+            slot = (F.col("place") - r.start).alias("value")
+            table = ranked.where(F.col("c") == r.c).select("key", "n", slot, "pad")
+            known = Dictionary(table, r["size"], r["rows"], r["bytes"] + ROW_BYTES * r["size"])
+            texts.append(Encoded(name, r.top.key, r.top.place - r.start, r["size"], r.c, known))
             start = F.when(F.col("c") == r.c, r.start).otherwise(start)
     return texts, ranked.select("c", "key", "n", (F.col("place") - start).alias("slot"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tablereview.functions.expressions import col, nan_as_null, row_fingerprint
 from tablereview.functions.scratch import store
 from tablereview.operators.profile import require_column
-from tablereview.operators.ranking import totals_before
+from tablereview.operators.ranking import FEW, places
 
 MARK = "_is_test"
 GROUP_ROWS = 4096
@@ -55,8 +55,8 @@ class Split:
 def _classes(df: DataFrame, target: str) -> tuple[DataFrame, Row]:
     """(t, n, label) of each class, and what the checks need to know of them."""
     counted = df.groupBy(col(target).alias("t")).agg(F.count(F.lit(1)).alias("n"))
-    placed = totals_before(counted.withColumn("one", F.lit(1)), ["t"], "one", "label")
-    classes = store(placed.select("t", "n", F.col("label").cast("double").alias("label")), "classes")
+    placed = places(counted, ["t"], "label")
+    classes = placed.select("t", "n", F.col("label").cast("double").alias("label"))
     facts = classes.agg(
         F.count(F.lit(1)).alias("classes"),
         F.count_if(F.col("t").isNull()).alias("missing"),
@@ -67,18 +67,27 @@ def _classes(df: DataFrame, target: str) -> tuple[DataFrame, Row]:
     return classes, facts.first()
 
 
-def class_quotas(classes: DataFrame, total: int, n_train: int) -> DataFrame:
+def class_quotas(classes: DataFrame, total: int, n_train: int, few: bool = False) -> DataFrame:
     """(t, quota) of the classes with test rows. The train side gets the largest
-    remainder shares of ``n_train``; ties go to the earlier class."""
+    remainder shares of ``n_train``; ties go to the earlier class. The ranks of few classes
+    come from one window, so nothing is run before the quotas are used."""
     wide = F.col("n").cast("decimal(19,0)") * F.lit(n_train).cast("decimal(19,0)")
     shares = classes.select("t", "n", "label", wide.alias("share")).selectExpr(
         "t", "n", "label", f"share div {total} as whole", f"-(share % {total}) as rest"
     )
-    left = n_train - shares.agg(F.sum("whole").alias("s")).first().s
-    placed = totals_before(shares.withColumn("one", F.lit(1)), ["rest", "label"], "one", "place")
-    kept = F.col("whole") + F.when(F.col("place") < left, 1).otherwise(0)
-    quotas = placed.select("t", (F.col("n") - kept).cast("bigint").alias("quota"))
-    return store(quotas.where(F.col("quota") > 0), "quotas")
+    if few:
+        all_classes = Window.partitionBy()
+        placed = shares.select(
+            "*",
+            (F.row_number().over(Window.orderBy("rest", "label")) - 1).alias("place"),
+            (F.lit(n_train) - F.sum("whole").over(all_classes)).alias("left"),
+        )
+    else:
+        left = n_train - shares.agg(F.sum("whole").alias("s")).first().s
+        placed = places(shares, ["rest", "label"], "place").withColumn("left", F.lit(left))
+    kept = F.col("whole") + F.when(F.col("place") < F.col("left"), 1).otherwise(0)
+    quotas = placed.select("t", (F.col("n") - kept).cast("bigint").alias("quota")).where(F.col("quota") > 0)
+    return quotas if few else store(quotas, "quotas")
 
 
 def _content_hash(df: DataFrame, seed: int) -> Column:
@@ -230,7 +239,7 @@ def stratified_split(
     n_train = facts.total - n_test
     if min(n_train, n_test) < facts.classes:
         raise ValueError("The train and test sets must each have one row per class or more.")
-    quotas = class_quotas(classes, facts.total, n_train)
+    quotas = class_quotas(classes, facts.total, n_train, facts.classes <= FEW)
     if key is None:
         rows = store(_numbered(df, seed), "numbered")
     else:

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from tablereview.functions import types as ty
 from tablereview.functions.expressions import col, nan_as_null, rows_as_table
-from tablereview.operators.ranking import totals_before
+from tablereview.operators.lookup import Dictionary, Wanted, look_up
+from tablereview.operators.ranking import places
 
 # Transform names.
 CORE = ("log1p", "ratio", "missing_indicator", "count_sum")
@@ -125,7 +126,7 @@ class FeaturePlan:
     """Validated specs as select lists, one per dependency level, and their log."""
 
     levels: list[dict[str, Column]]
-    lookups: dict[int, list[tuple[str, str, DataFrame]]]
+    lookups: dict[int, list[tuple[str, str, Dictionary]]]
     log_rows: list[tuple]
     original_columns: list[str]
     result_columns: list[str]
@@ -154,12 +155,10 @@ def _select_level(df: DataFrame, level: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[e.alias(c) for c, e in level.items() if c not in df.columns])
 
 
-def _join_rank(df: DataFrame, source: str, name: str, ranks: DataFrame) -> DataFrame:
-    """Attach the rank of a value; the join side follows the measured sizes."""
-    kept = [c for c in df.columns if c != name]
-    table = ranks.select(F.col("value").alias("_value"), F.col("rank").alias("_rank"))
-    joined = df.join(table, col(source) == F.col("_value"), "left")
-    order = df.columns if name in df.columns else [*kept, name]
+def _join_rank(df: DataFrame, source: str, name: str, ranks: Dictionary) -> DataFrame:
+    """Attach the rank of a value; a missing value has none and takes part in no join."""
+    order = df.columns if name in df.columns else [*df.columns, name]
+    joined = look_up(df, [Wanted(col(source), ranks, "_rank")])
     return joined.select(*[F.col("_rank").alias(name) if c == name else col(c) for c in order])
 
 
@@ -380,12 +379,11 @@ def _top_values(df: DataFrame, c: str, k: int) -> list[str]:
     return [r.v for r in counts.orderBy(F.col("n").desc(), "v").limit(k).collect()]
 
 
-def value_ranks(df: DataFrame, c: str) -> DataFrame:
-    """value, rank: place of each distinct value in sorted order, from 0."""
-    values = df.select(col(c).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return totals_before(values.withColumn("one", F.lit(1)), ["value"], "one", "rank").select(
-        "value", F.col("rank").cast("bigint").alias("rank")
-    )
+def value_ranks(df: DataFrame, c: str) -> Dictionary:
+    """The place of each distinct value in sorted order, from 0."""
+    values = df.select(col(c).alias("key")).where(F.col("key").isNotNull())
+    counted = values.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    return Dictionary.measured(places(counted, ["key"], "value"))
 
 
 def plan_transforms(

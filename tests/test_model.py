@@ -335,3 +335,27 @@ def test_missing_group_value_is_a_group(spark):
     scored = spark.createDataFrame(rows, "g int, label double, prediction double, score double")
     got = {r.g: (r.test_rows, r.accuracy, r.roc_auc) for r in model.evaluate(scored, 2, ("g",)).collect()}
     assert got == {None: (2, 0.5, 1.0), 1: (2, 1.0, 0.0)}
+
+
+def test_metrics_read_the_predictions_once(spark):
+    """One pass for classes and scores together, the same figures as from two."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rng = random.Random(4)
+    rows = [("ab"[i % 2], float(rng.random() < 0.4), round(rng.random(), 2)) for i in range(4000)]
+    df = spark.createDataFrame([(g, y, float(s > 0.6), s) for g, y, s in rows], "g string, label double, prediction double, score double")
+    counted = df.mapInArrow(seen, df.schema)
+    got = {r.g: r for r in metrics.binary_metrics(counted, ("g",)).collect()}
+    assert read.value == 4000
+    base = {r.g: r for r in metrics.class_metrics(df, ("g",)).collect()}
+    area = {r.g: r.roc_auc for r in metrics.roc_auc(df, F.col("label") == 1.0, ("g",)).collect()}
+    for g in "ab":
+        assert math.isclose(got[g].accuracy, base[g].accuracy) and math.isclose(got[g].f1_score, base[g].f1_score)
+        assert got[g].rows == base[g].rows and math.isclose(got[g].roc_auc, area[g])
+    one = metrics.binary_metrics(df.where("label = 1 and prediction = 1")).first()
+    assert (one.accuracy, one.f1_score, one.roc_auc) == (1.0, 1.0, None)
