@@ -5,7 +5,9 @@ first rows up to the quota of the class form the test set. A histogram of the
 leading hash digits finds the digit group in which each class is cut, and only
 that group is looked at closely. What comes out is one threshold per class, so
 marking the rows is a comparison. Without a key the rows are numbered within
-their equals, so that copies of one row fall on both sides.
+their equals, so that copies of one row fall on both sides. Rows that have equals
+are found by counting short hashes and asking a filter of the repeated ones; all
+other rows stay where they are.
 
 Classes, quotas and thresholds are tables at any number of classes; they are
 written out, so that Spark knows their size when it picks a join.
@@ -27,6 +29,8 @@ from tablereview.operators.ranking import FEW, places
 MARK = "_is_test"
 GROUP_ROWS = 4096
 COPIES = 100_000
+#: Of the filter for rows with copies: 262,144 words of 64 bits at most.
+FILTER_BITS = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -148,6 +152,54 @@ def _mark(df: DataFrame, target: str, columns: list[str], cuts: DataFrame) -> Da
     return joined.select(*[col(c) for c in columns], mark.alias(MARK))
 
 
+def _copy_filter(df: DataFrame, total: int) -> DataFrame:
+    """Stored (_word, _bits): a filter that holds every row with an equal row in ``df``.
+
+    Rows are counted by a short hash, as many bits as let one unique row in 128 share its hash; copies
+    are combined before the shuffle, and no more than the hash is shuffled. Hashes found twice set a bit
+    each of FILTER_BITS.
+    """
+    bits = min(63, max(16, total.bit_length() + 7))
+    short = F.shiftrightunsigned("_fp1", 64 - bits)
+    counted = df.select(row_fingerprint(df)[0]).select(short.alias("_short")).groupBy("_short").count()
+    place = F.pmod("_short", F.lit(FILTER_BITS))
+    found = counted.where("count > 1").select(*_word_and_bit(place))
+    return store(
+        found.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")),
+        "copy_filter",
+    )
+
+
+def _word_and_bit(place: Column) -> list[Column]:
+    return [F.floor(place / 64).cast("int").alias("_word"), (place % 64).cast("int").alias("_bit")]
+
+
+def _by_filter(df: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(rows without an equal one, rows that may have one); the first have not moved."""
+    words = _copy_filter(df, total)
+    bits = min(63, max(16, total.bit_length() + 7))
+    place = F.pmod(F.shiftrightunsigned("_fp1", 64 - bits), F.lit(FILTER_BITS))
+    placed = df.select("*", row_fingerprint(df)[0])
+    placed = placed.select(*[col(c) for c in df.columns], *_word_and_bit(place))
+    # at most FILTER_BITS / 64 rows of two numbers
+    held = placed.join(F.broadcast(words.withColumnRenamed("_word", "_of")), F.col("_word") == F.col("_of"), "left")
+    maybe = F.coalesce(F.getbit("_bits", "_bit") == 1, F.lit(False))
+    columns = [col(c) for c in df.columns]
+    return held.where(~maybe).select(*columns), held.where(maybe).select(*columns)
+
+
+def _copy_hash(df: DataFrame, seed: int, number: Column) -> Column:
+    """A hash of the content of a row and its number among equal rows."""
+    return F.md5(F.concat_ws("|", _content_hash(df, seed), number.cast("string"))).alias("_h")
+
+
+def _hashed_by_content(df: DataFrame, seed: int, total: int) -> DataFrame:
+    """The rows of ``df`` and ``_h``. Only rows that may have equals move, and are written out."""
+    unique, copies = _by_filter(df, total)
+    single = unique.select("*", _copy_hash(df, seed, F.lit(0)))
+    return single.unionAll(store(_numbered(copies, seed), "numbered"))
+
+
 def _numbered(df: DataFrame, seed: int) -> DataFrame:
     """The rows of ``df`` and ``_h``: a hash of content and number among equal rows.
 
@@ -171,8 +223,7 @@ def _numbered(df: DataFrame, seed: int) -> DataFrame:
             F.explode(F.sequence(first, F.least(first + COPIES, F.col("_n")) - 1)).alias("_k"),
         )
     )
-    h = F.md5(F.concat_ws("|", _content_hash(df, seed), F.col("_k").cast("string")))
-    return few.unionByName(many).select(*columns, h.alias("_h"))
+    return few.unionByName(many).select(*columns, _copy_hash(df, seed, F.col("_k")))
 
 
 def _share_copies(same: DataFrame, target: str, columns: list[str], take: DataFrame) -> DataFrame:
@@ -241,7 +292,7 @@ def stratified_split(
         raise ValueError("The train and test sets must each have one row per class or more.")
     quotas = class_quotas(classes, facts.total, n_train, facts.classes <= FEW)
     if key is None:
-        rows = store(_numbered(df, seed), "numbered")
+        rows = _hashed_by_content(df, seed, facts.total)
     else:
         rows = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), col(key).cast("string"))))
     cuts = _cuts(rows.select(col(target).alias("t"), F.col("_h").alias("h")), quotas, facts.largest)

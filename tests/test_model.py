@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablereview.operators import compare, metrics, model, prep
+from tablereview.operators import compare, metrics, model, prep, split
 from tablereview.operators.split import MARK, class_quotas, stratified_split
 from tablereview.operators.transforms import Spec
 
@@ -359,3 +359,42 @@ def test_metrics_read_the_predictions_once(spark):
         assert got[g].rows == base[g].rows and math.isclose(got[g].roc_auc, area[g])
     one = metrics.binary_metrics(df.where("label = 1 and prediction = 1")).first()
     assert (one.accuracy, one.f1_score, one.roc_auc) == (1.0, 1.0, None)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_only_rows_with_copies_move(spark):
+    """Of 50,000 rows, 300 have a copy; the filter finds them all and hardly any other."""
+    df = spark.range(50_000).select("id", (F.col("id") % 3).alias("t"), F.concat(F.lit("text "), "id").alias("s"))
+    copied = df.unionAll(df.where("id < 300")).repartition(7)
+    unique, copies = split._by_filter(copied, 50_300)
+    assert exchanges(unique) == 0
+    assert unique.join(df.where("id < 300"), "id", "left_semi").isEmpty()
+    assert copies.where("id < 300").count() == 600 and copies.count() < 600 + 50_000 / 64
+    assert unique.count() + copies.count() == 50_300
+    # the same hashes as from numbering all rows
+    slow = split._numbered(copied, 5).collect()
+    assert sorted(slow) == sorted(split._hashed_by_content(copied, 5, 50_300).collect())
+
+
+def test_a_full_filter_moves_all_rows_and_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(split, "FILTER_BITS", 64)
+    df = spark.range(3000).select((F.col("id") % 700).alias("x"), (F.col("id") % 2).cast("string").alias("t"))
+    got = split._hashed_by_content(df, 5, 3000).collect()
+    assert sorted(got) == sorted(split._numbered(df, 5).collect()) and len({r["_h"] for r in got}) == 3000
+
+
+def test_a_split_without_key_of_unique_and_hot_rows(spark):
+    df = spark.range(9000).select(
+        F.when(F.col("id") < 6000, F.col("id")).otherwise(-1).alias("x"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("t"),
+    )
+    marked = stratified_split(df, "t").rows.groupBy("t", (F.col("x") == -1).alias("hot")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(MARK).alias("test")
+    )
+    rows = {(r.t, r.hot): (r.n, r.test) for r in marked.collect()}
+    assert {k: n for k, (n, _) in rows.items()} == {("a", False): 2000, ("b", False): 4000, ("a", True): 1000, ("b", True): 2000}
+    assert rows["a", False][1] + rows["a", True][1] == 600 and rows["b", False][1] + rows["b", True][1] == 1200
+    assert 120 < rows["a", True][1] < 280
