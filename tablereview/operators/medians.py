@@ -1,16 +1,21 @@
 """Exact medians of many columns without sorting or holding a column.
 
-A quantile sketch gives, per column, a narrow bracket of values that must hold
+A quantile sketch gives, per column, a narrow bracket of values that should hold
 the middle ranks. One more pass counts the rows below the bracket and groups
 the few distinct values inside it; the middle values are then read off exactly.
 Brackets that would still hold too many values are narrowed first, so the sort
-at the end is over a bounded number of rows at any table size.
+at the end is over a bounded number of rows at any table size. A bracket that
+misses the middle is noticed and starts again from all values.
+
+Sketches are merged in two levels: those of the tasks by group of partitions,
+then one sketch for each (column, group). So however many tasks there are, no
+task has to hold the sketches of all of them.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +27,8 @@ FIRST_ACCURACY = 2_000
 ACCURACY = 10_000
 MAX_VALUES = 4_000_000
 GRID = 1_000
-BATCH = 64  # columns per pass; the sketches of a pass are merged column by column
+BATCH = 64  # columns per pass
+GROUPS = 256  # sketches of a column that meet in one task
 
 
 @dataclass(frozen=True)
@@ -67,22 +73,51 @@ def summaries(
     for start in range(0, len(columns), BATCH):
         batch = columns[start : start + BATCH]
         long = _long(df, batch)
-        aggregates = [
-            F.count("v").alias("n"),
-            F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("sd"),
-            F.var_pop("v").alias("var"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-        ]
-        if medians:
-            aggregates.append(F.percentile_approx("v", ends, accuracy).alias("q"))
-        for r in long.groupBy("c").agg(*aggregates).collect():
-            bracket = Bracket(r.n, *r.q, 6.0 * r.n / accuracy) if medians else None
-            out[batch[int(r.c)]] = Summary(r.n, r["mean"], r.sd, r.var, r.lo, r.hi, bracket)
+        for r in _merged(long, "v", accuracy if medians else None, ends).collect():
+            s = _moments(r.parts)
+            bracket = Bracket(s.rows, *r.q, 6.0 * s.rows / accuracy) if medians else None
+            out[batch[int(r.c)]] = replace(s, low=r.lo, high=r.hi, bracket=bracket)
     return out
 
 
+def _merged(
+    long: DataFrame, value: str, accuracy: int | None, points: list[float], *more: Column
+) -> DataFrame:
+    """A row for each ``c``: extremes, moments of each group of partitions (``parts``), quantiles of
+    ``value`` at ``points`` (``q``, unless ``accuracy`` is None), and sums of ``more``."""
+    grouped = long.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    names = [f"m{i}" for i in range(len(more))]
+    first = [
+        F.struct(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var")).alias("part"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
+        *[m.alias(n) for m, n in zip(more, names)],
+    ]
+    second = [
+        F.collect_list("part").alias("parts"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        *[F.sum(n).alias(n) for n in names],
+    ]
+    if accuracy is not None:
+        # rank error of about 2.3 / k^0.9, below one part in ``accuracy``
+        size = min(65_535, max(8, 4 * accuracy))
+        first.append(F.kll_sketch_agg_double(value, F.lit(size)).alias("sketch"))
+        merged = F.kll_merge_agg_double("sketch", F.lit(size))
+        at = F.array(*[F.lit(float(p)) for p in points])
+        second.append(F.kll_sketch_get_quantile_double(merged, at).alias("q"))
+    return grouped.groupBy("c", "g").agg(*first).groupBy("c").agg(*second)
+
+
+def _moments(parts: list) -> Summary:
+    """Moments of all rows from those of groups of them."""
+    rows = sum(p.n for p in parts)
+    mean = sum(p.n * p["mean"] for p in parts) / rows
+    squares = sum(p.n * (p["var"] + (p["mean"] - mean) ** 2) for p in parts)
+    deviation = math.sqrt(squares / (rows - 1)) if rows > 1 else None
+    return Summary(rows, mean, deviation, squares / rows, mean, mean, None)
+
+
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     """(c, v) rows of the values; c is the index in ``columns``. NaN is missing."""
     ids = [str(i) for i in range(len(columns))]
@@ -140,15 +175,12 @@ def _narrow(df: DataFrame, wide: dict[str, Bracket], accuracy: int) -> dict[str,
         low = _of_column([wide[c].low for c in batch], "double")
         high = _of_column([wide[c].high for c in batch], "double")
         within = F.when(F.col("v") >= low, F.col("v"))
-        rows = _long(df, batch).where(F.col("v") <= high).groupBy("c")
-        for r in rows.agg(
-            F.count_if(F.col("v") < low).alias("below"),
-            F.count(within).alias("inside"),
-            F.percentile_approx(within, grid, accuracy).alias("q"),
-        ).collect():
-            old = wide[batch[int(r.c)]]
-            first = ((old.rows - 1) // 2 - r.below) / r.inside - margin
-            last = (old.rows // 2 + 1 - r.below) / r.inside + margin
+        rows = _long(df, batch).where(F.col("v") <= high)
+        counted = F.count_if(F.col("v") < low), F.count(F.col("w"))
+        for r in _merged(rows.withColumn("w", within), "w", accuracy, grid, *counted).collect():
+            old, below, inside = wide[batch[int(r.c)]], r.m0, r.m1
+            first = ((old.rows - 1) // 2 - below) / inside - margin
+            last = (old.rows // 2 + 1 - below) / inside + margin
             i, j = math.floor(first * GRID), math.ceil(last * GRID)
             low_end = r.q[i] if i > 0 else old.low
             high_end = r.q[j] if j < GRID else old.high
@@ -156,7 +188,7 @@ def _narrow(df: DataFrame, wide: dict[str, Bracket], accuracy: int) -> dict[str,
             same = (low_end, high_end) == (old.low, old.high)
             share = (j - i) / GRID + 2.0 / accuracy
             out[batch[int(r.c)]] = Bracket(
-                old.rows, low_end, high_end, 0.0 if same else share * r.inside
+                old.rows, low_end, high_end, 0.0 if same else share * inside
             )
     return out
 

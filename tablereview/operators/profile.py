@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablereview.functions import types as ty
 from tablereview.functions.expressions import (
+    KEY_BYTES,
     col,
     display_text,
     group_key,
@@ -15,6 +16,7 @@ from tablereview.functions.expressions import (
     rows_as_table,
 )
 from tablereview.functions.scratch import spread
+from tablereview.operators.figures import Figures, column_figures, figure_medians
 from tablereview.operators.medians import BATCH, medians_of, summaries
 
 COLUMN_PROFILE = (
@@ -302,67 +304,58 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     return facts.select("column_name", *_STATS)
 
 
+_ALL_FACTS = _FACTS + ", unique_count bigint, mode_value string, mode_count bigint"
+
+
+def table_facts(df: DataFrame) -> DataFrame:
+    """One row per column of all there is to know of it, from two reads of the table at most: one
+    table for the profile, the rules and the planner. Long texts that are modes are looked up in one
+    more read of just their columns."""
+    df = spread(df)
+    fields = df.schema.fields
+    figures = column_figures(df)
+    middle = figure_medians(df, {f.name: figures[f.name] for f in fields if ty.is_number(f.dataType)})
+    shown = _mode_values(df, figures)
+    out = []
+    for i, f in enumerate(fields):
+        x = figures[f.name]
+        s = x.summary
+        stats = [s.mean, middle.get(f.name), s.deviation, s.low, s.high] if s else [None] * 5
+        kinds = (ty.type_label(f.dataType), ty.is_number(f.dataType), ty.is_number_or_bool(f.dataType))
+        mode = (None, None)
+        if not (ty.is_number(f.dataType) or ty.is_nested(f.dataType)):
+            mode = (shown.get(f.name), x.mode_count)
+        distinct = None if ty.is_nested(f.dataType) else x.distinct
+        out.append((i, f.name, *kinds, x.rows, x.missing, *stats, distinct, *mode))
+    return rows_as_table(df.sparkSession, _ALL_FACTS, out)
+
+
+def _mode_values(df: DataFrame, figures: dict[str, Figures]) -> dict[str, str | None]:
+    """The value of each mode. A key of 64 bytes stands for a long text, which one more scan of just
+    such columns finds."""
+    shown = {c: x.mode_key for c, x in figures.items()}
+    dtypes = {f.name: f.dataType for f in df.schema.fields}
+    long = [c for c, k in shown.items() if k is not None and ty.is_text(dtypes[c]) and len(k.encode()) >= KEY_BYTES]
+    if long:
+        texts = [F.max(F.when(group_key(col(c), dtypes[c]) == shown[c], col(c))) for c in long]
+        shown |= dict(zip(long, df.agg(*texts).first()))
+    return shown
+
+
 def column_profile(
     df: DataFrame, exclude_target: str | None = None, facts: DataFrame | None = None
 ) -> DataFrame:
     """The whole column profile, one row per column, in schema order.
 
     ``exclude_target`` leaves the statistics and the mode of that column empty.
-    ``facts`` is ``column_facts(df)`` where that is known already.
+    ``facts`` is ``table_facts(df)`` where that is known already.
     """
-    df = spread(df)
-    facts = column_facts(df) if facts is None else facts
-    numbers, categories = ty.number_columns(df), ty.category_columns(df)
-    counted = []
-    if numbers:
-        counted.append(
-            _with_names(df, numbers, _numeric_distinct(df, numbers)).select(
-                "column_name",
-                "unique_count",
-                F.lit(None).cast("string").alias("mode_value"),
-                F.lit(None).cast("bigint").alias("mode_count"),
-            )
-        )
-    if categories:
-        best = rows_as_table(
-            df.sparkSession,
-            "c string, unique_count bigint, mode_count bigint, mode_key string",
-            [tuple(r) for r in _count_then_mode(df, categories).collect()],
-        )
-        counted.append(
-            _with_names(df, categories, _mode_texts(df, categories, best)).select(
-                "column_name",
-                "unique_count",
-                "mode_value",
-                F.coalesce("mode_count", F.lit(0)).alias("mode_count"),
-            )
-        )
-    if not counted:
-        counted.append(
-            rows_as_table(
-                df.sparkSession,
-                "column_name string, unique_count bigint, mode_value string, mode_count bigint",
-                [],
-            )
-        )
-    merged = counted[0]
-    for part in counted[1:]:
-        merged = merged.unionByName(part)
-    nested = [f.name for f in df.schema.fields if ty.is_nested(f.dataType)]
-    joined = facts.join(F.broadcast(merged), "column_name", "left")
+    facts = table_facts(df) if facts is None else facts
     keep = F.lit(True) if exclude_target is None else F.col("column_name") != exclude_target
-    shown = {
-        **{s: F.when(F.col("is_numeric") & keep, F.col(s)) for s in _STATS},
-        "mode_value": F.when(keep, F.col("mode_value")),
-        "mode_count": F.when(keep, F.col("mode_count")),
-        "unique_count": F.when(
-            ~F.col("column_name").isin(nested), F.coalesce("unique_count", F.lit(0))
-        )
-        if nested
-        else F.coalesce("unique_count", F.lit(0)),
-    }
+    shown = {s: F.when(F.col("is_numeric") & keep, F.col(s)) for s in _STATS}
+    shown |= {m: F.when(keep, F.col(m)) for m in ("mode_value", "mode_count")}
     names = [part.split()[0] for part in COLUMN_PROFILE.split(", ")]
-    return joined.select(*[shown.get(n, F.col(n)).alias(n) for n in names])
+    return facts.select(*[shown.get(n, F.col(n)).alias(n) for n in names])
 
 
 def target_distribution(df: DataFrame, target: str, missing: bool = True) -> DataFrame:

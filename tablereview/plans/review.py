@@ -13,9 +13,9 @@ from tablereview.functions.scratch import materialize, spread
 from tablereview.operators import explore, planner, quality, suggest
 from tablereview.operators.compare import Comparison, compare_models, decide
 from tablereview.operators.profile import (
-    column_facts,
     column_profile,
     require_column,
+    table_facts,
     table_profile,
     target_distribution,
 )
@@ -133,8 +133,8 @@ def run_review(
     df = spread(df)
     # profile tables are tiny but take scans to make; each is read several times
     table = materialize(table_profile(df))
-    facts = column_facts(df)
-    columns = materialize(column_profile(df, facts=facts))
+    facts = table_facts(df)
+    columns = column_profile(df, facts=facts)
     distribution = materialize(target_distribution(df, target))
 
     found = quality.quality_findings(table, columns)
