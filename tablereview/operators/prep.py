@@ -96,8 +96,9 @@ class Prep:
     def _filled_key(df: DataFrame, text: Encoded) -> Column:
         return F.coalesce(group_key(col(text.name), df.schema[text.name].dataType), F.lit(text.mode))
 
-    def features(self, df: DataFrame, keep: list[Column]) -> DataFrame:
-        """``keep`` columns plus a sparse ``features`` vector, written out."""
+    def features(self, df: DataFrame, keep: list[Column], entries: bool = False) -> DataFrame:
+        """``keep`` columns plus a sparse ``features`` vector, written out; with ``entries`` also
+        the (place, value) pairs of the vector as an array."""
         if not self.width:
             raise ValueError("No usable feature columns.")
         numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
@@ -108,6 +109,10 @@ class Prep:
         places += [(F.lit(start) + s).cast("int") for start, s in zip(self.starts, slots)]
         values = [F.col(f"n{i}") for i in range(len(numbers))]
         values += [F.when(s.isNotNull(), 1.0) for s in slots]
+        if entries:
+            pairs = F.array(*[F.struct(p.alias("place"), v.alias("value")) for p, v in zip(places, values)])
+            flat = flat.withColumn("entries", F.filter(pairs, lambda e: e["place"].isNotNull()))
+            kept = [*kept, "entries"]
         return _as_vectors(flat, kept, {"features": (self.width, places, values)})
 
     def encode(self, df: DataFrame, keep: list[Column]) -> DataFrame:

@@ -590,13 +590,13 @@ def one_hot(t: Tables) -> DataFrame:
 
 def _doc_model(t: Tables) -> tuple:
     df = t.labelled_docs()
-    split = stratified_split(df, "quality", key="doc_id")
-    fitted = prep.fit_prep(split.train, ["lang", "source", "n_chars", "toxic"])
+    split = stratified_split(df, "quality", key="doc_id").stored()
+    fitted = prep.fit_prep(split.train, model.feature_columns(df.columns, "quality"))
     return split, model.fit_predict(split, "quality", fitted, keep=(F.col("doc_id"),))
 
 
 def _slots(known: prep.Prep) -> list[tuple]:
-    """Feature slots in order: name, text column id, slot (a few per column)."""
+    """Feature slots in order: name, text column id, slot; one for each coefficient."""
     rows = [(n.name, None, None) for n in known.numbers]
     for x in known.texts:
         rows += [(f"{x.name}=", x.id, i) for i in range(x.size)]
@@ -623,29 +623,45 @@ def model_fit(t: Tables) -> DataFrame:
 
 @register
 def model_gradient(t: Tables) -> DataFrame:
-    """Slope of the penalised mean loss at the fitted coefficients: zero at the optimum."""
+    """Slope of the penalised loss at the fitted coefficients, relative to what the rows hold of
+    each feature (for a level: to its number of rows): zero at the optimum."""
     split, fitted = _doc_model(t)
     rows = model.class_label("quality", split.classes, split.rows)
-    train = fitted.prep.features(rows.where(~F.col(MARK)), [F.col("_label").alias("label")])
+    train = fitted.prep.features(rows.where(~F.col(MARK)), [F.col("_label").alias("label")], entries=True)
+    one = F.struct(F.lit(fitted.prep.width).alias("place"), F.lit(1.0).alias("value"))
     scored = fitted.model.transform(train).select(
         (vector_to_array("probability")[1] - F.col("label")).alias("miss"),
-        F.array_append(vector_to_array("features"), F.lit(1.0)).alias("x"),
+        F.explode(F.array_append("entries", one)).alias("x"),
     )
-    sums = scored.select("miss", F.posexplode("x").alias("place", "x")).groupBy("place").agg(
-        F.sum(F.col("miss") * F.col("x")).alias("sum")
+    sums = scored.groupBy(F.col("x.place").alias("place")).agg(
+        F.sum(F.col("miss") * F.col("x.value")).alias("sum"), F.sum(F.abs("x.value")).alias("held")
     )
     weights = [float(v) for v in fitted.model.coefficients.toArray()] + [0.0]
     slots = [*_slots(fitted.prep), ("(intercept)", None, None)]
     places = _named(t, fitted.prep, [(*slot, i) for i, slot in enumerate(slots)], "place int")
     penalty = tr.rows_as_table(t.spark, "place int, weight double", list(enumerate(weights)))
-    slope = (F.col("sum") + F.col("weight")) / split.train_rows
+    slope = (F.col("sum") + F.col("weight")) / F.col("held")
     return (
         places.join(sums, "place")
         .join(penalty, "place")
-        .select("feature", (F.round(slope, 2) + 0.0).alias("gradient"))
+        .select("feature", (F.round(slope, 4) + 0.0).alias("gradient"))
     )
 
 
+@register
+def model_two_levels(t: Tables) -> DataFrame:
+    """Coefficients of a model with one text column of two levels: SQL can find their optimum."""
+    level = F.concat(F.lit("toxic "), F.col("toxic").cast("string")).alias("level")
+    df = t.labels.select("doc_id", "quality", level)
+    split = stratified_split(df, "quality", key="doc_id").stored()
+    fitted = model.fit_predict(split, "quality", prep.fit_prep(split.train, ["level"]))
+    values = [float(v) for v in fitted.model.coefficients.toArray()]
+    rows = [(*slot, value) for slot, value in zip(_slots(fitted.prep), values, strict=True)]
+    rows.append(("(intercept)", None, None, float(fitted.model.intercept)))
+    named = _named(t, fitted.prep, rows, "coefficient double")
+    return named.select("feature", F.round("coefficient", 4).alias("coefficient"))
+
+
 @register
 def model_test_rows(t: Tables) -> DataFrame:
     return _doc_model(t)[1].predictions.select("doc_id", "label")
@@ -673,9 +689,8 @@ def model_report_separable(t: Tables) -> DataFrame:
 
 @register
 def compare_models(t: Tables) -> DataFrame:
-    df = t.lineitem.drop("l_shipdate")
-    specs = planner.plan_features(_facts(df), "l_linestatus")
-    return compare.compare_models(df, "l_linestatus", specs).metrics
+    specs = planner.plan_features(_facts(t.lineitem), "l_linestatus")
+    return compare.compare_models(t.lineitem, "l_linestatus", specs).metrics
 
 
 @register

@@ -23,8 +23,8 @@ class Tables:
         return self.documents.join(self.labels, "doc_id", "left")
 
     def labelled_docs(self) -> DataFrame:
-        """Labelled documents without the text: a model table."""
-        return self.documents.drop("text").join(self.labels, "doc_id")
+        """Labelled documents, text included: a model table."""
+        return self.documents.join(self.labels, "doc_id")
 
     def separable_docs(self) -> DataFrame:
         """Labelled documents, text included, with a column that tells the class."""

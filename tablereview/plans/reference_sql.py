@@ -77,7 +77,7 @@ SEPARABLE = [*DOCS_LABELS, ("judged", "str")]
 # Derived tables.
 SOURCES = {
     "labelled_docs": (
-        "SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)"
+        "SELECT doc_id, text, lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)"
     ),
     "separable_docs": (
         "SELECT doc_id, text, lang, source, n_chars, quality, toxic, 'class ' || quality AS judged "
@@ -747,11 +747,37 @@ TESTED = "ceil(0.2::DOUBLE * count(*))::BIGINT"
 
 def gradient() -> str:
     """Every feature of the fitted model; the penalised loss is flat in each."""
-    names = ["SELECT 'n_chars' AS feature", "SELECT 'toxic'", "SELECT '(intercept)'"]
-    names += [f"SELECT DISTINCT '{c}=' || {c} FROM {DOC_SPLIT} WHERE NOT is_test" for c in ("lang", "source")]
+    names = ["SELECT 'doc_id' AS feature", "SELECT 'n_chars'", "SELECT 'toxic'", "SELECT '(intercept)'"]
+    names += [
+        f"SELECT DISTINCT '{c}=' || CASE WHEN strlen({c}) < 64 THEN {c} ELSE sha256({c}) END "
+        f"FROM {DOC_SPLIT} WHERE NOT is_test"
+        for c in ("text", "lang", "source")
+    ]
     return f"SELECT feature, 0::DOUBLE AS gradient FROM ({union(names)})"
 
 
+def two_levels() -> str:
+    """Newton's method for the intercept b and the coefficients w and -w of the two levels."""
+    rows = split("(SELECT doc_id, quality, toxic FROM labels)", "quality", "doc_id")
+    one, zero = "(n1 / (1 + exp(-b - w)) - y1 + w)", "(n0 / (1 + exp(w - b)) - y0 - w)"
+    s1, s0 = (f"({n} * exp({x}) / pow(1 + exp({x}), 2))" for n, x in (("n1", "(-b - w)"), ("n0", "(w - b)")))
+    size = f"({s1} * ({s0} + 1) + {s0} * ({s1} + 1))"
+    return f"""
+WITH RECURSIVE held AS (
+  SELECT count(*) FILTER (toxic = 1)::DOUBLE AS n1, count(*) FILTER (toxic = 0)::DOUBLE AS n0,
+    sum(quality) FILTER (toxic = 1)::DOUBLE AS y1, sum(quality) FILTER (toxic = 0)::DOUBLE AS y0
+  FROM {rows} WHERE NOT is_test),
+steps AS (
+  SELECT 0 AS k, 0::DOUBLE AS b, 0::DOUBLE AS w
+  UNION ALL
+  SELECT k + 1, b - (({s0} + 1) * {one} + ({s1} + 1) * {zero}) / {size}, w - ({s0} * {one} - {s1} * {zero}) / {size}
+  FROM steps, held WHERE k < 60)
+SELECT feature, round(value, 4) AS coefficient
+FROM (SELECT b, w FROM steps WHERE k = 60), (VALUES ('level=toxic 0', -1, 0), ('level=toxic 1', 1, 0), ('(intercept)', 0, 1))
+  AS f(feature, of_w, of_b), LATERAL (SELECT of_w * w + of_b * b AS value)
+"""
+
+
 def separable_report() -> str:
     return (
         "SELECT 'LogisticRegression' AS model_name, 'binary_classification' AS task_type, 'quality' AS "
@@ -793,6 +819,7 @@ def separable_review() -> str:
 
 SQL: dict[str, str] = {
     "model_gradient": gradient(),
+    "model_two_levels": two_levels(),
     "model_test_rows": f"SELECT doc_id, quality::DOUBLE AS label FROM {DOC_SPLIT} WHERE is_test",
     "model_report_separable": separable_report(),
     "compare_separable": separable_comparison(),
