@@ -38,16 +38,19 @@ def compare_models(
     max_iter: int = 1000,
     key: str | None = None,
     exclude: tuple[str, ...] = (),
+    facts: DataFrame | None = None,
 ) -> Comparison:
     """Train without and with the new features on the same split.
 
+    ``facts`` are the column facts of ``df`` where they are known already.
+
     Features are row-local, so the rows are split once, before they are made.
     Preparation is fitted once for all columns, and the baseline uses its own
     columns of it - unless a feature replaced one of them.
     """
     used = spread(df.drop(*exclude) if exclude else df)
     split = stratified_split(used, target, test_size, seed, key)
-    plan = plan_transforms(used, specs, transforms, target)
+    plan = plan_transforms(used, specs, transforms, target, facts)
     old = feature_columns(used.columns, target)
     new = feature_columns(plan.result_columns, target)
     engineered = split.stored(plan.apply(split.rows))

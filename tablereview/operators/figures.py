@@ -22,8 +22,8 @@ from tablereview.functions.scratch import store
 from tablereview.operators.medians import BATCH, Bracket, Summary, medians_of
 
 CELLS = 256  # for each power of two
-_ABOVE = 1 << 20  # puts the cells of all finite numbers above the cell of zero
-_INFINITE = 1 << 21
+_ABOVE = 1 << 23  # puts the cells of all positive numbers above the cell of zero
+_INFINITE = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -81,14 +81,15 @@ def _number(df: DataFrame, columns: list[str]) -> Column:
     )
 
 
-def _step(size: Column) -> Column:
-    return F.floor(F.log2(size) * CELLS)
+def _step(size: Column, cells: int = CELLS) -> Column:
+    return F.floor(F.log2(size) * cells)
 
 
-def cell_of(v: Column) -> Column:
-    """Ascending number of the cell of a number: never falls as the number rises."""
+def cell_of(v: Column, cells: int = CELLS) -> Column:
+    """Ascending number of the cell of a number: never falls as the number rises. ``cells`` for each
+    power of two, at most 4096."""
     size = F.abs(v)
-    cell = F.when(size == float("inf"), F.lit(_INFINITE)).otherwise(_step(size) + _ABOVE)
+    cell = F.when(size == float("inf"), F.lit(_INFINITE)).otherwise(_step(size, cells) + _ABOVE)
     return F.when(v > 0, cell).when(v < 0, -cell).otherwise(0).cast("int")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablereview.operators.ranking import totals_before
+from tablereview.operators.figures import cell_of
 
 WIDE = "decimal(38,0)"
+CELLS = 4096  # of scores for each power of two
 
 
 def class_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,65 +44,82 @@ def class_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
     )
 
 
+def _score_cell() -> Column:
+    """The range of scores that a score lies in; missing ones come first, NaN last."""
+    score = F.col("score").cast("double")
+    return F.when(F.isnan(score), F.lit(1 << 25)).when(score.isNotNull(), cell_of(score, CELLS))
+
+
+def _area_sums(scored: DataFrame, by: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+    """Per group: pos, neg, ``more``, and ``won``, twice the pairs in which the positive row has the
+    greater score, ties as one half. ``scored`` has a row for each (group, cell, score).
+
+    Negatives below a score are those of the group's earlier cells and those before it in its own
+    cell. So no more than a cell of a group is ever put in order by one task, and cells are few: no
+    ranks over all scores are needed. All sums are exact integers.
+    """
+    within = Window.partitionBy(*by, "cell").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(within), F.lit(0))
+    twice = (2 * below + F.col("neg")).cast("decimal(19,0)")
+    names = ("pos", "neg", *more)
+    cells = (
+        scored.withColumn("twice", twice)
+        .groupBy(*by, "cell")
+        .agg(
+            F.sum((F.col("pos").cast("decimal(19,0)") * F.col("twice")).cast(WIDE)).alias("won"),
+            *[F.sum(n).alias(n) for n in names],
+        )
+    )
+    earlier = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = (2 * F.coalesce(F.sum("neg").over(earlier), F.lit(0))).cast("decimal(19,0)")
+    won = (F.col("won") + F.col("pos").cast("decimal(19,0)") * before).cast(WIDE)
+    return (
+        cells.withColumn("won", won)
+        .groupBy(*by)
+        .agg(F.sum("won").alias("won"), *[F.sum(n).alias(n) for n in names])
+    )
+
+
+def _area() -> Column:
+    pos, neg = F.col("pos"), F.col("neg")
+    return F.when((pos > 0) & (neg > 0), F.col("won").cast("double") / (2.0 * pos * neg)).alias("roc_auc")
+
+
 def roc_auc(predictions: DataFrame, positive: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact, tie-aware area under the ROC curve of ``score``; NULL with one class.
 
-    Equal scores are merged first; the negatives below each score come from a
-    running total over range partitions. All sums are exact integers.
+    Equal scores are merged before anything is put in order.
     """
-    merged = predictions.groupBy(*by, "score").agg(
+    merged = predictions.groupBy(*by, _score_cell().alias("cell"), "score").agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
     )
-    order = [*by, "score"]
-    ranked = totals_before(merged, order, "neg", "below")
-    pos = F.col("pos").cast("decimal(19,0)")
-    twice = (2 * F.col("below") + F.col("neg")).cast("decimal(19,0)")
-    sums = ranked.groupBy(*by).agg(
-        F.sum((pos * twice).cast(WIDE)).alias("won"),
-        F.sum("pos").alias("p"),
-        F.sum("neg").alias("q"),
-        F.min("below").alias("start"),
-    )
-    # groups follow each other in one order: take off what came before the group
-    offset = (F.col("p").cast("decimal(19,0)") * (2 * F.col("start")).cast("decimal(19,0)")).cast(WIDE)
-    area = (F.col("won") - offset).cast("double") / (2.0 * F.col("p") * F.col("q"))
-    return sums.select(*by, F.when((F.col("p") > 0) & (F.col("q") > 0), area).alias("roc_auc"))
+    return _area_sums(merged, by).select(*by, _area())
 
 
 def binary_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """accuracy, weighted f1_score, rows and roc_auc of labels and predictions 0 and 1, per group.
 
     The predictions are read once: they shrink to a row for each (group, score) with its four counts,
-    and one more aggregate yields class counts and the area together.
+    which yield class counts and the area together.
     """
     told, real = F.col("prediction") == 1.0, F.col("label") == 1.0
-    cells = predictions.groupBy(*by, "score").agg(
+    merged = predictions.groupBy(*by, _score_cell().alias("cell"), "score").agg(
         F.count_if(real).alias("pos"),
         F.count_if(~real).alias("neg"),
         F.count_if(real & told).alias("tp"),
         F.count_if(~real & ~told).alias("tn"),
     )
-    ranked = totals_before(cells, [*by, "score"], "neg", "below")
-    twice = (2 * F.col("below") + F.col("neg")).cast("decimal(19,0)")
-    sums = ranked.groupBy(*by).agg(
-        F.sum((F.col("pos").cast("decimal(19,0)") * twice).cast(WIDE)).alias("won"),
-        *[F.sum(c).alias(c) for c in ("pos", "neg", "tp", "tn")],
-        F.min("below").alias("start"),
-    )
     pos, neg, tp, tn = (F.col(c) for c in ("pos", "neg", "tp", "tn"))
-    # groups follow each other in one order: take off what came before the group
-    offset = (pos.cast("decimal(19,0)") * (2 * F.col("start")).cast("decimal(19,0)")).cast(WIDE)
-    area = (F.col("won") - offset).cast("double") / (2.0 * pos * neg)
     missed = pos - tp + neg - tn
 
     def f1(hits: Column) -> Column:
         return F.coalesce(F.try_divide(2.0 * hits, 2 * hits + missed), F.lit(0.0))
 
     rows = pos + neg
-    return sums.select(
+    return _area_sums(merged, by, ("tp", "tn")).select(
         *by,
         F.try_divide(tp + tn, rows).alias("accuracy"),
         F.try_divide(neg * f1(tn) + pos * f1(tp), rows).alias("f1_score"),
         rows.alias("rows"),
-        F.when((pos > 0) & (neg > 0), area).alias("roc_auc"),
+        _area(),
     )

@@ -89,8 +89,13 @@ class _Facts:
     of all coming specs go into one aggregate.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, facts: DataFrame | None = None) -> None:
         self.known: dict[tuple[str, str], object] = {}
+        for r in [] if facts is None else facts.collect():  # one row per column
+            if r.spec_numeric:
+                self.known[("negative", r.column_name)] = r["min"] is not None and r["min"] < 0
+            if "unique_count" in facts.columns and r.unique_count != 2:
+                self.known[("two", r.column_name)] = None
 
     def forget(self, column: str) -> None:
         for key in [k for k in self.known if k[1] == column]:
@@ -391,11 +396,13 @@ def plan_transforms(
     specs: DataFrame | Iterable,
     transforms: str = "core",
     target: str | None = None,
+    facts: DataFrame | None = None,
 ) -> FeaturePlan:
     """Validate the specs in order against ``df``.
 
     Later specs may use columns that earlier ones made, and a name that exists
-    is overwritten - but never ``target``.
+    is overwritten - but never ``target``. ``facts`` (``profile.table_facts`` or
+    ``column_facts`` of ``df``) answer preconditions of its columns without asking the data.
     """
     if transforms not in ("core", "extended"):
         raise ValueError("transforms must be 'core' or 'extended'")
@@ -403,7 +410,7 @@ def plan_transforms(
     todo = as_specs(specs)
     current = nan_as_null(df)
     schema = {f.name: f.dataType for f in df.schema.fields}
-    facts = _Facts()
+    facts = _Facts(facts)
     plan = FeaturePlan([], {}, [], list(df.columns), list(df.columns))
     pending: dict[str, Column] = {}
 

@@ -689,8 +689,9 @@ def model_report_separable(t: Tables) -> DataFrame:
 
 @register
 def compare_models(t: Tables) -> DataFrame:
-    specs = planner.plan_features(_facts(t.lineitem), "l_linestatus")
-    return compare.compare_models(t.lineitem, "l_linestatus", specs).metrics
+    facts = _facts(t.lineitem)
+    specs = planner.plan_features(facts, "l_linestatus")
+    return compare.compare_models(t.lineitem, "l_linestatus", specs, facts=facts).metrics
 
 
 @register

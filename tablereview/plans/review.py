@@ -146,7 +146,7 @@ def run_review(
     if responses.features is not None:
         supplied = suggest.parse_specs(responses.features, df.columns)
         specs = supplied if specs is None else planner.append_specs(specs, supplied)
-    comparison = compare_models(df, target, [] if specs is None else specs, **model_options)
+    comparison = compare_models(df, target, [] if specs is None else specs, facts=facts, **model_options)
     decision = materialize(decide(comparison.result))
     report = feature_report(comparison.log, table, comparison.plan)
     return Review(
