@@ -30,7 +30,9 @@ SMOOTHING = 0.5
 NONE = "-"
 
 _FACTORS = W.constants(21, 3)
-_MARKUP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
+_HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
+#: A tag that nothing closes runs to the end, so that the end is looked for once and not from every "<".
+_MARKUP = re.compile(_HIDDEN.pattern + r"|(?P<tag><[^>]*(?:>|\Z))")
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -73,8 +75,14 @@ def language_models(texts: DataFrame, text_column: str = "text", lang_column: st
     }
 
 
+def _without_markup(found: re.Match[str]) -> str:
+    tag = found["tag"]
+    # behind a tag that is never closed no tag is, but scripts and comments may begin there
+    return " " if tag is None or tag.endswith(">") else _HIDDEN.sub(" ", tag)
+
+
 def visible_text(html: str) -> str:
-    return " ".join(_MARKUP.sub(" ", html).split())
+    return " ".join(_MARKUP.sub(_without_markup, html).split())
 
 
 def _scored(table: np.ndarray):

@@ -47,13 +47,59 @@ def text_key(text: Column) -> list[Column]:
 SPAN = "struct<start:int,stop:int,text:string,part:string>"
 
 
+#: Elements that one aggregate puts together; longer arrays go in blocks of so many.
+BLOCK = 64
+
+
+def combined_before(values: Column, first: Column, combine: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+    """For each number of an array, ``first`` combined with all numbers before it.
+
+    An aggregate that appends copies what it has at each step. So no aggregate gets more than BLOCK
+    numbers, but for the one over the totals of the last level: the work is in proportion to the array.
+    """
+
+    def grown(part: Column, start: Column) -> Column:
+        state = F.struct(start.cast("int").alias("at"), F.expr("cast(array() AS array<int>)").alias("out"))
+        return F.aggregate(
+            part,
+            state,
+            lambda s, x: F.struct(
+                combine(s["at"], x).cast("int").alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")
+            ),
+        )
+
+    if not levels:
+        return grown(values, first)["out"]
+
+    def in_blocks(held: Column) -> Column:
+        last = F.size(held) - 1
+        blocks = F.transform(
+            F.sequence(F.lit(0), last, F.lit(BLOCK)),
+            lambda at: grown(
+                F.transform(F.sequence(at, F.least(at + BLOCK - 1, last)), lambda i: F.get(held, i)), first
+            ),
+        )
+
+        def joined(parts: Column) -> Column:
+            totals = F.transform(parts, lambda p: p["at"])
+            return let(
+                combined_before(totals, first, combine, levels - 1),
+                lambda starts: F.flatten(
+                    F.transform(parts, lambda p, k: F.transform(p["out"], lambda x: combine(F.get(starts, k), x).cast("int")))
+                ),
+            )
+
+        return F.when(F.size(held) <= BLOCK, grown(held, first)["out"]).otherwise(let(blocks, joined))
+
+    return let(values, in_blocks)
+
+
 def matches(text: Column, pattern: str, part: int = 0) -> Column:
     """Leftmost matches that do not overlap, as an array of spans in code points.
 
     ``part`` names the group whose text goes into the field of that name. The pattern must not
     match an empty string. Without a match the array is empty, and only the search is paid for.
     """
-    held = F.expr(f"struct(0 AS at, cast(array() AS array<{SPAN}>) AS spans)")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
@@ -61,15 +107,24 @@ def matches(text: Column, pattern: str, part: int = 0) -> Column:
         (F.regexp_extract_all(text, F.lit(pattern), F.lit(part)) if part else found).alias("part"),
     )
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        stop = start + F.length(piece["text"])
-        span = F.struct(
-            start.alias("start"), stop.alias("stop"), piece["text"].alias("text"), piece["part"].alias("part")
-        )
-        return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+    def placed(held: Column) -> Column:
+        lengths = F.transform(held, lambda p: F.length(p["gap"]) + F.length(p["text"]))
+
+        def spans(starts: Column) -> Column:
+            def span(p: Column, i: Column) -> Column:
+                start = F.get(starts, i) + F.length(p["gap"])
+                return F.struct(
+                    start.alias("start"),
+                    (start + F.length(p["text"])).alias("stop"),
+                    p["text"].alias("text"),
+                    p["part"].alias("part"),
+                )
+
+            return F.transform(held, span)
+
+        return let(combined_before(lengths, F.lit(0), lambda a, x: a + x), spans)
 
-    spans = F.aggregate(F.filter(pieces, lambda p: p["text"].isNotNull()), held, step, lambda s: s["spans"])
+    spans = let(F.filter(pieces, lambda p: p["text"].isNotNull()), placed)
     return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() AS array<{SPAN}>)"))
 
 
@@ -81,17 +136,52 @@ def listed(spans: Column) -> Column:
     )
 
 
+#: Code points of the pieces that a text is cut into before parts of it are taken out.
+PIECE = 4096
+
+
+def _between(pieces: Column, start: Column, stop: Column) -> Column:
+    """Code points from start to before stop (from 0) of a text in pieces; no piece is passed over twice."""
+    a, b = F.floor(start / PIECE).cast("int"), F.floor((stop - 1) / PIECE).cast("int")
+    tail = F.substr(F.get(pieces, a), start % PIECE + 1, F.lit(PIECE))
+    inner = F.array_join(F.transform(F.sequence(a + 1, b - 1), lambda i: F.get(pieces, i)), "")
+    return (
+        F.when(stop <= start, "")
+        .when(a == b, F.substr(F.get(pieces, a), start % PIECE + 1, stop - start))
+        .otherwise(
+            F.concat(
+                tail,
+                F.when(b > a + 1, inner).otherwise(""),
+                F.substr(F.get(pieces, b), F.lit(1), (stop - 1) % PIECE + 1),
+            )
+        )
+    )
+
+
 def masked(text: Column, spans: Column, mark: Callable[[Column], Column]) -> Column:
-    """The text with each span (sorted by start) replaced; overlapping spans give one mark."""
-    state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, span: Column) -> Column:
-        fresh = span["start"] + 1 >= s["at"]
-        out = F.when(
-            fresh,
-            F.concat(s["out"], F.substr(text, s["at"], span["start"] + 1 - s["at"]), mark(span)),
-        ).otherwise(s["out"])
-        return F.struct(F.greatest(s["at"], span["stop"] + 1).alias("at"), out.alias("out"))
-
-    rest = F.lit((1 << 31) - 1)
-    return F.aggregate(spans, state, step, lambda s: F.concat(s["out"], F.substr(text, s["at"], rest)))
+    """The text with each span (sorted by start) replaced; overlapping spans give one mark.
+
+    The work is in proportion to the text and to PIECE for each span.
+    """
+
+    def joined(held: Column, ends: Column, pieces: Column) -> Column:
+        marked = F.transform(
+            held,
+            lambda s, i: F.when(
+                s["start"] >= F.get(ends, i), F.concat(_between(pieces, F.get(ends, i), s["start"]), mark(s))
+            ),
+        )
+        last = F.size(held) - 1
+        end = F.greatest(F.get(ends, last), F.get(held, last)["stop"])
+        rest = _between(pieces, end, F.length(text))
+        return F.concat(F.array_join(F.filter(marked, lambda m: m.isNotNull()), ""), rest)
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    changed = let(
+        spans,
+        lambda held: let(
+            combined_before(F.transform(held, lambda s: s["stop"]), F.lit(0), lambda a, x: F.greatest(a, x)),
+            lambda ends: let(cut, lambda pieces: joined(held, ends, pieces)),
+        ),
+    )
+    return F.when(F.size(spans) > 0, changed).otherwise(text)

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from tablereview.llm import language
 
@@ -31,3 +33,15 @@ def test_evidence_decides_where_the_text_does_not(spark, documents):
 
 def test_visible_text():
     assert language.visible_text("<style>p{}</style>a<!-- b -->c<b>d</b><script>var t='</p>'") == "a c d"
+
+
+def test_markup_is_stripped_in_linear_time():
+    plain = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>")
+    rng = random.Random(6)
+    parts = ["<b>", "<", ">", "<!--", "-->", "<script>", "</script >", "<style x", "</STYLE>", "word", " ", "\n", "a<b"]
+    for _ in range(5000):
+        html = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert language.visible_text(html) == " ".join(plain.sub(" ", html).split())
+    start = time.process_time()
+    assert language.visible_text("<" * 1_000_000 + " end").endswith("< end")
+    assert time.process_time() - start < 5
