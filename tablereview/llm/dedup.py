@@ -226,9 +226,11 @@ def drop_near_duplicates(
     kept = found.filter("n = 0 or row = best_row").select(F.col("row").alias("kept_row"), "n").distinct()
     rows = docs.select(as_row(docs).alias("row"), row_key(id_column, text_column).alias("key"))
     rows = rows.join(kept, F.col("key") == F.col("kept_row"))
-    single = F.when(F.col("n") > 0, F.lit(0)).otherwise(F.monotonically_increasing_id())
-    rows = rows.withColumn("single", single).groupBy("key", "single").agg(F.first("row").alias("row"))
-    return rows.select(*from_row(docs))
+    # equal rows without words are counted and written out again: a task that runs twice gives the same rows
+    content = F.when(F.col("n") == 0, F.xxhash64(F.to_json("row"))).alias("content")
+    grouped = rows.groupBy("key", content).agg(F.first("row").alias("row"), F.count(F.lit(1)).cast("int").alias("n"))
+    times = F.when(F.col("content").isNull(), F.lit(1)).otherwise(F.col("n"))
+    return grouped.select(F.explode(F.array_repeat("row", times)).alias("row")).select(*from_row(docs))
 
 
 def row_key(id_column: str, text_column: str) -> Column:
@@ -284,7 +286,8 @@ def _classified(source: DataFrame, width: int, threshold: int) -> DataFrame:
 def _link(source: DataFrame, nodes: DataFrame, width: int, threshold: int) -> DataFrame:
     """(node, component) of the nodes that have links."""
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # aggregated sides of joins are written first, so that a join can split the rows of a hot key
+    shared = store(bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "shared")
     members = store(bands.join(shared, "key").select("key", "node", "size"), "members")
     # the node with the most company in all its buckets comes first as a pivot
     company = store(members.groupBy("node").agg(F.sum("size").alias("company")), "company")
@@ -301,7 +304,7 @@ def _link(source: DataFrame, nodes: DataFrame, width: int, threshold: int) -> Da
     signatures = nodes.select("node", "signature")
     if bucket.isEmpty():
         return nodes.select("node", F.col("node").alias("component")).limit(0)
-    pivots = _pivots(bucket)
+    pivots = store(_pivots(bucket), "pivots")
     pairs = bucket.select("key", "node").join(pivots, "key").filter("node != pivot")
     pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = store(_confirmed(pairs, signatures, sets, threshold), "links")
@@ -337,14 +340,14 @@ def _open(bucket: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.min("component").alias("least"), F.max("component").alias("most"))
         .filter("least != most")
     )
-    return rest.join(several.select("key"), "key").select("key", "node", "component")
+    return rest.join(store(several.select("key"), "several"), "key").select("key", "node", "component")
 
 
 def _rare_pairs(bucket: DataFrame, sets: DataFrame, labels: DataFrame, threshold: int) -> DataFrame:
     """Pairs (a, b) of open nodes of different components that have one of their rarest shingles in common."""
     sizes = sets.select("node", F.size("shingles").alias("n"))
     mates = bucket.join(sizes, "node")
-    least = mates.groupBy("key").agg(F.min("n").alias("least"))
+    least = store(mates.groupBy("key").agg(F.min("n").alias("least")), "least")
     part = F.lit(threshold / (100 + threshold))
     smallest = F.greatest(F.min("least"), F.ceil(F.first("n") * threshold / 100))
     first = (
@@ -358,7 +361,7 @@ def _rare_pairs(bucket: DataFrame, sets: DataFrame, labels: DataFrame, threshold
     held = store(
         sets.join(first.select("node"), "node").select("node", F.explode("shingles").alias("shingle")), "open_shingles"
     )
-    common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"))
+    common = store(held.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes")), "common_shingles")
     rarest = Window.partitionBy("node").orderBy("nodes", "shingle")
     beginning = (
         held.join(common, "shingle")

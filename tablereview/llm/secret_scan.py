@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import col
+from tablereview.functions.scratch import store
 from tablereview.llm.native import SPAN, as_row, from_row, listed, masked, matches, text_key, text_of
 
 #: Alternatives of a rule beyond this number are given up for "anything".
@@ -173,7 +174,8 @@ def _with_spans(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     indexed = {kind: query for kind, query in queries.items() if query}
     if indexed:
         grams = sorted({g for query in indexed.values() for clause in query for g in clause})
-        found = candidates(spark, index_trigrams(rows, grams), indexed)
+        # written first: few texts have candidates, and Spark knows how few when it picks the join
+        found = store(candidates(spark, index_trigrams(rows, grams), indexed), "secret_candidates")
         found = found.select(F.col("key1").alias("of1"), F.col("key2").alias("of2"), "rules")
         rows = rows.join(found, (F.col("key1") == F.col("of1")) & (F.col("key2") == F.col("of2")), "left")
     kinds = [_kind_spans(rule, place, rule.kind in indexed) for place, rule in enumerate(rules)]
