@@ -267,7 +267,8 @@ def _classified(source: DataFrame, width: int, threshold: int) -> DataFrame:
     )
     classes = nodes.select("node", "high", "low", "best").join(_link(source, nodes, width, threshold), "node", "left")
     classes = classes.withColumn("component", F.coalesce("component", "node"))
-    least = classes.groupBy("component").agg(F.min("best").alias("least"))
+    classes = store(classes, "node_classes")
+    least = store(classes.groupBy("component").agg(F.min("best").alias("least")), "least_ids")
     classes = classes.select("component", "high", "low").join(least, "component").select("high", "low", "least")
     has_words = F.col("n") > 0
     return (
