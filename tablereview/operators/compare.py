@@ -9,12 +9,12 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablereview.functions.expressions import fixed_text, rows_as_table
+from tablereview.functions.expressions import fixed_text
 from tablereview.functions.scratch import spread
 from tablereview.operators.model import evaluate, feature_columns, fit_predict
 from tablereview.operators.prep import fit_prep
 from tablereview.operators.split import Split, stratified_split
-from tablereview.operators.transforms import FeaturePlan, feature_log, plan_transforms
+from tablereview.operators.transforms import FeaturePlan, feature_lists, feature_log, plan_transforms
 
 METRICS = ("accuracy", "f1_score", "roc_auc")
 
@@ -76,16 +76,13 @@ def compare_models(
         both = F.explode(F.array(F.lit("baseline"), F.lit("engineered")))
         metrics = metrics.drop("variant").select(both.alias("variant"), "*")
     metrics = metrics.withColumn("train_rows", F.lit(split.train_rows).cast("bigint"))
-    lists = rows_as_table(
-        df.sparkSession,
-        "experiment string, features_created array<string>, features_skipped array<string>",
-        [(target, plan.created, plan.skipped)],
-    )
+    log = feature_log(df, plan)
+    lists = feature_lists(log).select(F.lit(target).alias("experiment"), "features_created", "features_skipped")
     wide = pair_variants(metrics.withColumn("experiment", F.lit(target)))
     return Comparison(
         split,
         plan,
-        feature_log(df, plan),
+        log,
         metrics,
         deltas(wide.join(F.broadcast(lists), "experiment")),
     )

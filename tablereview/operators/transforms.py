@@ -68,20 +68,47 @@ class Skip(Exception):
 
 
 def as_specs(specs: DataFrame | Iterable) -> list[Spec]:
-    """Specs from a planner table (a few per profiled column) or from objects."""
+    """Specs from a planner table or from objects."""
+    return [s for _, s in _with_ordinals(specs)]
+
+
+def _with_ordinals(specs: DataFrame | Iterable) -> list[tuple[int, Spec]]:
     if isinstance(specs, DataFrame):
         specs = specs.orderBy("ordinal").collect()
     out = []
-    for s in specs:
+    for i, s in enumerate(specs):
+        ordinal = s["ordinal"] if not isinstance(s, Spec) and "ordinal" in s else i + 1
         if not isinstance(s, Spec):
             parameters = s["parameters"] if "parameters" in s else None
             s = Spec(
                 s["feature_name"], s["transformation_type"], tuple(s["columns"]), parameters or {}
             )
-        out.append(s)
+        out.append((ordinal, s))
     return out
 
 
+def _unsupported(kind: Column) -> Column:
+    return F.concat(F.lit("Unsupported transformation type: "), kind)
+
+
+def _settled(specs: DataFrame, allowed: tuple[str, ...], target: str | None) -> tuple[DataFrame, DataFrame]:
+    """(specs that have to be looked at, log rows of those that their own row rules out).
+
+    A planner proposes three kinds for each pair of columns, two of which the core transforms leave
+    out: those stay a table and are never brought together.
+    """
+    known = F.col("transformation_type").isin(*allowed)
+    named = F.lit(False) if target is None else F.col("feature_name") == target
+    reason = F.when(~known, _unsupported(F.col("transformation_type"))).otherwise(
+        F.lit(f"Feature name '{target}' is the target column.")
+    )
+    out = specs.where(~known | named).select(
+        "ordinal", "feature_name", "transformation_type", "columns", F.lit("skipped").alias("status"),
+        reason.alias("reason"), F.lit(None).cast("string").alias("result_column"),
+    )
+    return specs.where(known & ~named), out
+
+
 class _Facts:
     """Answers of the data to precondition questions, asked in batches.
 
@@ -128,13 +155,17 @@ class _Facts:
 
 @dataclass
 class FeaturePlan:
-    """Validated specs as select lists, one per dependency level, and their log."""
+    """Validated specs as select lists, one per dependency level, and their log.
+
+    ``settled`` are the log rows of specs that were ruled out as a table.
+    """
 
     levels: list[dict[str, Column]]
     lookups: dict[int, list[tuple[str, str, Dictionary]]]
     log_rows: list[tuple]
     original_columns: list[str]
     result_columns: list[str]
+    settled: DataFrame | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = nan_as_null(df)
@@ -148,10 +179,6 @@ class FeaturePlan:
     def created(self) -> list[str]:
         return [r[1] for r in self.log_rows if r[4] == "applied"]
 
-    @property
-    def skipped(self) -> list[str]:
-        return [f"{r[1]}: {r[5]}" for r in self.log_rows if r[4] == "skipped"]
-
 
 def _select_level(df: DataFrame, level: dict[str, Column]) -> DataFrame:
     if not level:
@@ -407,11 +434,15 @@ def plan_transforms(
     if transforms not in ("core", "extended"):
         raise ValueError("transforms must be 'core' or 'extended'")
     allowed = CORE if transforms == "core" else EXTENDED
-    todo = as_specs(specs)
+    settled = None
+    if isinstance(specs, DataFrame):
+        specs, settled = _settled(specs, allowed, target)
+    numbered = _with_ordinals(specs)
+    ordinals, todo = [n for n, _ in numbered], [s for _, s in numbered]
     current = nan_as_null(df)
     schema = {f.name: f.dataType for f in df.schema.fields}
     facts = _Facts(facts)
-    plan = FeaturePlan([], {}, [], list(df.columns), list(df.columns))
+    plan = FeaturePlan([], {}, [], list(df.columns), list(df.columns), settled)
     pending: dict[str, Column] = {}
 
     def flush() -> None:
@@ -442,7 +473,7 @@ def plan_transforms(
         facts.learn(current, [q for q in batch if not q[0].startswith("top")])
 
     for i, spec in enumerate(todo):
-        head = (i + 1, spec.feature_name, spec.transformation_type, list(spec.columns))
+        head = (ordinals[i], spec.feature_name, spec.transformation_type, list(spec.columns))
         try:
             _need(
                 spec.transformation_type in allowed,
@@ -480,28 +511,38 @@ def plan_transforms(
 
 def feature_log(df: DataFrame, plan: FeaturePlan) -> DataFrame:
     """One row per spec: applied or skipped, with the reason."""
-    return rows_as_table(df.sparkSession, FEATURE_LOG, plan.log_rows)
+    log = rows_as_table(df.sparkSession, FEATURE_LOG, plan.log_rows)
+    return log if plan.settled is None else log.unionByName(plan.settled)
 
 
-def feature_report(log: DataFrame, table: DataFrame, plan: FeaturePlan) -> DataFrame:
-    """One row: counts before and after, names, summary. ``table`` has row_count."""
+def feature_lists(log: DataFrame) -> DataFrame:
+    """One row: how many specs were applied and skipped, and the names and reasons in order."""
     made = F.col("status") == "applied"
-    place = F.struct("ordinal", "feature_name")
     label = F.concat("feature_name", F.lit(": "), "reason")
     lists = log.agg(
         F.count_if(made).alias("applied"),
         F.count_if(~made).alias("skipped"),
-        F.array_sort(F.collect_list(F.when(made, place))).alias("made"),
+        F.array_sort(F.collect_list(F.when(made, F.struct("ordinal", "feature_name")))).alias("made"),
         F.array_sort(F.collect_list(F.when(~made, F.struct("ordinal", label.alias("text"))))).alias("not_made"),
     )
-    rows = table.select("row_count").scalar()
     return lists.select(
+        "applied",
+        "skipped",
+        F.col("made.feature_name").alias("features_created"),
+        F.col("not_made.text").alias("features_skipped"),
+    )
+
+
+def feature_report(log: DataFrame, table: DataFrame, plan: FeaturePlan) -> DataFrame:
+    """One row: counts before and after, names, summary. ``table`` has row_count."""
+    rows = table.select("row_count").scalar()
+    return feature_lists(log).select(
         rows.alias("original_row_count"),
         F.lit(len(plan.original_columns)).cast("bigint").alias("original_column_count"),
         rows.alias("engineered_row_count"),
         F.lit(len(plan.result_columns)).cast("bigint").alias("engineered_column_count"),
-        F.col("made.feature_name").alias("features_created"),
-        F.col("not_made.text").alias("features_skipped"),
+        "features_created",
+        "features_skipped",
         F.concat(
             F.lit("Applied "), F.col("applied").cast("string"), F.lit(" feature(s) and skipped "),
             F.col("skipped").cast("string"), F.lit(" feature(s)."),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablereview.functions.expressions import rows_as_table
-from tablereview.operators import explore, planner, quality, suggest
+from tablereview.operators import explore, planner, quality, suggest, transforms
 from tablereview.operators.profile import column_facts
 
 COLUMNS = (
@@ -241,3 +241,59 @@ def test_specs_from_outside(spark):
     both = planner.append_specs(planned, suggest.parse_specs(rows, ["a", "y"]))
     assert [r.ordinal for r in both.orderBy("ordinal").collect()] == [1, 2, 6, 7]
     assert both.where(F.col("feature_name") == "g").count() == 1
+
+
+def many_facts(spark, n):
+    """Facts of a table of n columns: every third is text, every fifth has a negative minimum."""
+    i = F.col("id")
+    number = i % 3 > 0
+    return spark.range(n).select(
+        i.cast("int").alias("position"),
+        F.concat(F.lit("c"), i).alias("column_name"),
+        number.alias("spec_numeric"),
+        F.when(number, F.when(i % 5 == 0, -1.0).otherwise(F.when(i % 7 == 0, 0.0).otherwise(1.0))).alias("min"),
+        F.when(number, 9.0).alias("max"),
+        F.when(i % 11 == 0, 4).otherwise(0).cast("bigint").alias("missing_count"),
+    )
+
+
+def test_specs_of_many_columns_are_numbered_in_order(spark):
+    n = 60
+    got = [(r.ordinal, r.feature_name) for r in planner.plan_features(many_facts(spark, n), "c1").collect()]
+    names = [i for i in range(n) if i != 1]
+    fit = [i for i in names if i % 3 > 0 and i % 5 > 0]
+    expected = [f"log1p_c{i}" for i in fit]
+    for k, i in enumerate(fit):
+        for j in fit[k + 1 :]:
+            expected += [f"ratio_c{i}_to_c{j}", f"diff_c{i}_minus_c{j}", f"product_c{i}_times_c{j}"]
+    expected += [f"c{i}_is_missing" for i in names if i % 11 == 0]
+    assert sorted(got) == list(enumerate(expected, 1))
+
+
+def test_thousands_of_columns_are_planned_without_a_nested_loop(spark):
+    specs = planner.plan_features(many_facts(spark, 3000), "none")
+    plan = specs._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    fit = sum(i % 3 > 0 and i % 5 > 0 for i in range(3000))
+    total = fit + 3 * fit * (fit - 1) // 2 + sum(i % 11 == 0 for i in range(3000))
+    row = specs.agg(F.count(F.lit(1)), F.min("ordinal"), F.max("ordinal"), F.countDistinct("ordinal")).first()
+    assert tuple(row) == (total, 1, total, total) and total > 3_000_000
+
+
+def test_specs_ruled_out_by_their_own_row_are_never_collected(spark, monkeypatch):
+    seen = []
+    collect = transforms._with_ordinals
+    monkeypatch.setattr(transforms, "_with_ordinals", lambda s: seen.append(s.count()) or collect(s))
+    facts = many_facts(spark, 40).where("spec_numeric")
+    df = spark.range(3).select(*[F.col("id").cast("double").alias(r.column_name) for r in facts.collect()])
+    specs = planner.plan_pairs(facts, "none")
+    plan = transforms.plan_transforms(df, specs)
+    log = transforms.feature_log(df, plan).collect()
+    assert seen == [specs.count() // 3] and len(log) == specs.count()
+    assert {(r.transformation_type, r.status) for r in log} == {
+        ("ratio", "applied"), ("difference", "skipped"), ("product", "skipped")
+    }
+    assert {r.ordinal for r in log} == set(range(1, len(log) + 1))
+    assert {r.reason for r in log} == {
+        None, "Unsupported transformation type: difference", "Unsupported transformation type: product"
+    }
