@@ -100,6 +100,16 @@ def _origin(v: Column) -> Column:
     return F.coalesce(F.signum(v) * near, F.lit(0.0))
 
 
+def _head(v: Column) -> Column:
+    """The first 24 bits of a number. Sums of these are exact up to large totals, and what is left of the
+    numbers is too small for its rounding to show: means come out as from exact sums."""
+    return F.when(F.abs(v) < 1e38, v.cast("float").cast("double")).otherwise(v)
+
+
+def _tail(v: Column) -> Column:
+    return F.when(_head(v) == v, 0.0).otherwise(v - _head(v))
+
+
 def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
     """A stored row for each (c, cell) of numbers, and one (c, NULL) of missing and other values."""
     counted = _counted(df, columns).withColumn("v", _number(df, columns))
@@ -122,6 +132,8 @@ def _cells(df: DataFrame, columns: list[str]) -> DataFrame:
             F.max(F.when(F.col("text").isNotNull(), F.col("n"))).alias("mode_count"),
             F.min(F.when(F.col("text").isNotNull(), F.struct(-F.col("n"), F.col("text")))).alias("mode"),
             F.max("origin").alias("origin"),
+            F.sum(F.col("n") * _head(F.col("v"))).alias("heads"),
+            F.sum(F.col("n") * _tail(F.col("v"))).alias("tails"),
             F.sum(F.col("n") * off).alias("s1"),
             F.sum(F.col("n") * off * off).alias("s2"),
             F.min("v").alias("lo"),
@@ -140,7 +152,7 @@ def _summed(cells: DataFrame) -> DataFrame:
     placed = cells.select(
         "*",
         F.sum(valid).over(column).alias("valid"),
-        (F.sum(F.col("n") * F.col("origin") + F.col("s1")).over(column) / F.sum(valid).over(column)).alias("mean"),
+        ((F.sum("heads").over(column) + F.sum("tails").over(column)) / F.sum(valid).over(column)).alias("mean"),
         F.sum(valid).over(order).alias("upto"),
     )
     # the cells that hold the two ranks in the middle

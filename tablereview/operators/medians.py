@@ -88,7 +88,7 @@ def _merged(
     grouped = long.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
     names = [f"m{i}" for i in range(len(more))]
     first = [
-        F.struct(F.count("v").alias("n"), F.avg("v").alias("mean"), F.var_pop("v").alias("var")).alias("part"),
+        F.struct(F.count("v").alias("n"), F.sum("v").alias("sum"), F.var_pop("v").alias("var")).alias("part"),
         F.min("v").alias("lo"),
         F.max("v").alias("hi"),
         *[m.alias(n) for m, n in zip(more, names)],
@@ -112,8 +112,8 @@ def _merged(
 def _moments(parts: list) -> Summary:
     """Moments of all rows from those of groups of them."""
     rows = sum(p.n for p in parts)
-    mean = sum(p.n * p["mean"] for p in parts) / rows
-    squares = sum(p.n * (p["var"] + (p["mean"] - mean) ** 2) for p in parts)
+    mean = sum(p["sum"] for p in parts) / rows
+    squares = sum(p.n * (p["var"] + (p["sum"] / p.n - mean) ** 2) for p in parts)
     deviation = math.sqrt(squares / (rows - 1)) if rows > 1 else None
     return Summary(rows, mean, deviation, squares / rows, mean, mean, None)
 

@@ -123,4 +123,12 @@ def test_infinite_and_equal_numbers(spark):
     df = spark.createDataFrame([(float("inf"), 3.0), (1.0, 3.0), (2.0, 3.0)], "a double, b double")
     got = fig.column_figures(df)
     assert fig.figure_medians(df, got) == {"a": 2.0, "b": 3.0}
-    assert got["a"].summary.high == float("inf") and got["b"].summary.deviation == 0.0
+    assert got["a"].summary.high == got["a"].summary.mean == float("inf") and got["b"].summary.deviation == 0.0
+
+
+def test_means_come_out_as_from_exact_sums(spark):
+    rng = random.Random(2)
+    values = [rng.choice([0.0, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08]) for _ in range(60_000)]
+    values = [v for v in values if rng.random() < 0.9]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(7)
+    assert fig.column_figures(df)["x"].summary.mean == math.fsum(values) / len(values)
