@@ -111,6 +111,7 @@ def deltas(pairs: DataFrame) -> DataFrame:
     return changes.withColumn("summary", _summary())
 
 
+# The wording of summaries here, and of reasons in ``decide``.
 def _summary() -> Column:
     def four(name: str, plus: bool = False) -> Column:
         return fixed_text(F.col(name), 4, plus)
