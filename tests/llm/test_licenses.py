@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 from collections import Counter
 
 from tablereview.llm import licenses
@@ -123,3 +125,115 @@ def test_license_files_and_wrapped_headers(spark):
     assert answers["x/LICENSE-3rd"] == ("GPL-3.0", "file")
     assert answers["y/other.py"] == (None, None)
     assert all(answers[f"z/{i}.py"] == (None, None) for i in range(30))
+
+
+def brute_blocks(rows, templates, least, least_pairs):
+    """Every window of every text compared with every template, by plain counting."""
+    vocabulary = {w for _, t in templates for w in licenses._template_tokens(t)}
+    split = lambda t: [w for w in (x.strip(".+-") for x in re.split(r"[^\w.+-]+|_", t.lower())) if w]
+    held = Counter(w for _, t in rows for w in set(split(t)) & vocabulary)
+    rarity = lambda w: math.log((1 + len(rows)) / (1 + held[w])) + 1
+    norm = lambda c: math.sqrt(sum((n * rarity(w)) ** 2 for w, n in c.items()))
+    found = set()
+    for key, text in rows:
+        lines = [(line, w) for line, part in enumerate(text.split("\n")) for w in split(part)]
+        words = [w for _, w in lines]
+        for name, template in templates:
+            t = split(template)
+            follows, counts, length = set(zip(t, t[1:])), Counter(t), len(t)
+
+            def window(at, size):
+                part = Counter(words[at : at + size])
+                cosine = sum(n * part[w] * rarity(w) ** 2 for w, n in counts.items()) / norm(counts) / norm(part)
+                paired = sum(p in follows for p in zip(words[at : at + size], words[at + 1 : at + size + 1]))
+                good = cosine >= least and paired >= least_pairs * size
+                return (round(cosine, 6), -at, size) if good else None
+
+            islands, last = [], None
+            for at in range(len(words)):
+                here = window(at, min(length, len(words) - at))
+                if here and (last is None or at - last >= length):
+                    islands.append([])
+                if here:
+                    islands[-1].append(here)
+                    last = at
+            best = []
+            for island in islands:
+                pieces = {}
+                for w in island:
+                    pieces.setdefault((island[0][1] - w[1]) // length, []).append(w)
+                best += [max(p) for p in pieces.values()]
+            if len(words) > length:
+                best += [w for w in [window(0, len(words))] if w]
+            found |= {(key, lines[-b][0], lines[-b + n - 1][0] + 1, -b, n, name, c) for c, b, n in best}
+    return found
+
+
+def test_blocks_match_every_window(spark):
+    templates = (
+        ("A", "alpha beta gamma delta epsilon zeta eta theta iota kappa"),
+        ("B", "alpha beta gamma rho sigma tau"),
+        ("C", "one two one two one two three"),
+        ("D", "alpha beta gamma rho sigma tau"),
+    )
+    a, b, c = (t for _, t in templates[:3])
+    rows = [
+        ("plain", "nothing of the kind in here"),
+        ("whole", a),
+        ("short", "alpha beta gamma delta epsilon zeta eta"),
+        ("wrapped", f"x y z\n/* {a.replace(' delta', chr(10) + chr(10) + ' * delta')} */\nx y z"),
+        ("minified", "x " * 300 + b + " y" * 300 + " " + a + " z"),
+        ("copies", "\n".join([a] * 5 + ["x"] + [b] * 4)),
+        ("edited", a.replace("zeta", "other") + " words\n" + b.replace("rho", "new rho")),
+        ("order", " ".join(sorted(a.split(), reverse=True)) + " " + " ".join(sorted(b.split(), key=lambda w: w[::-1]))),
+        ("cycle", "one two " * 40 + "three " + c),
+        ("", ""),
+        ("blank", "\n \n\t"),
+        ("twice", f"v\n{b}\nw"),
+    ]
+    rows += [(f"r{i}", f"common words {i}\nand alpha {i % 3}") for i in range(20)]
+    files = spark.createDataFrame([*rows, rows[-21]], "key string, text string")
+    for least, pairs in ((0.85, 0.5), (0.7, 0.0)):
+        got = {
+            (r.key, r.line, r.until, r.offset, r.words, r.license, round(r.cosine, 6))
+            for r in licenses.license_blocks(files, templates, least, pairs).collect()
+        }
+        assert got == brute_blocks([*rows, rows[-21]], templates, least, pairs)
+        assert {g[0] for g in got} >= {"whole", "wrapped", "minified", "copies", "cycle", "twice"}
+        assert ("order" in {g[0] for g in got}) == (pairs == 0)
+
+
+def test_long_text_of_license_words(spark):
+    """100,000 license words in no order are no license; one in their midst, on the same line, is found."""
+    rng = random.Random(5)
+    pool = [w for _, t in licenses.TEXTS for w in t.split()]
+    mixed = [rng.choice(pool) for _ in range(100_000)]
+    rows = [("mixed", " ".join(mixed)), ("within", " ".join([*mixed[:20_000], *MIT.split(), *mixed[20_000:40_000]]))]
+    rows += [(f"{i}", f"plain words {i}") for i in range(40)]
+    start = time.monotonic()
+    found = licenses.license_blocks(spark.createDataFrame(rows, "key string, text string")).collect()
+    assert time.monotonic() - start < 120
+    assert {(r.key, r.license) for r in found} == {("within", "MIT")}
+    places = [(r.offset, r.words, round(r.cosine, 3)) for r in found]
+    assert all(20_000 <= at + n / 2 <= 20_000 + len(MIT.split()) for at, n, _ in places), places
+
+
+def test_ties_repeated_paths_and_names(spark):
+    rows = [
+        ("d/LICENSE", dict(licenses.TEXTS)["MIT"]),
+        ("d/LICENCE", "SPDX-License-Identifier: Apache-2.0"),
+        ("d/COPYING", "SPDX-License-Identifier: MIT"),
+        ("d/x.py", "plain"),
+        ("e/x.py", "plain"),
+        ("e/x.py", "SPDX-License-Identifier: MIT\n" + "code " * 40),
+        (None, None),
+    ]
+    names = "path string, text string, key int, line int, license int, cosine int, template int, held int, dir int, word int"
+    files = spark.createDataFrame([(*r, *[1] * 8) for r in rows], names)
+    got = licenses.scan_licenses(files).collect()
+    assert len(got) == len(rows)
+    answers = {r.path: (r.license, r.how) for r in got}
+    # equal cosines of 1: the license file of the least path is passed on
+    assert answers["d/x.py"] == ("MIT", "inherited")
+    assert [(r.license, r.how) for r in got if r.path == "e/x.py"] == [("MIT", "header")] * 2
+    assert answers[""] == (None, None)
