@@ -24,6 +24,9 @@ from tablereview.functions.scratch import store
 from tablereview.llm.native import listed, matches, text_of
 
 ROUNDS = 50
+#: What is assumed of a labeler counts for so many candidates; all others are learned from.
+BELIEF = 20.0
+LEAST_SHARE = 1e-9
 #: Candidates whose probability reaches this are personal data.
 LEAST = 0.5
 #: Code points before a span that the context labelers read.
@@ -41,6 +44,12 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "national_id", "iban", "person")
 
+# Titles, common given and family names, and domains and country codes.
+_TITLE = "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)"
+_GIVEN = "Anna|James|John|Maria|Mary|Michael|Peter|Robert"
+_FAMILY = "Smith|Johnson|Williams|Brown|Garcia|Martin|Müller|Schmidt|Schneider|Dupont|Bernard|Fernandez|Lopez"
+_ENDINGS = "com|org|net|edu|gov|de|fr|es|uk"
+
 
 @dataclass(frozen=True)
 class Candidates:
@@ -78,16 +87,15 @@ PROPOSED = (
     ),
     Candidates(
         "person",
-        r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\b\.?\x20\p{Lu}\p{L}+(?:\x20\p{Lu}\p{L}+)?",
-        r"\x20\p{Lu}\p{L}+\x20\p{Lu}\p{L}+$",
+        # after a title; a given name of the gazetteer; two names after a word that announces a person
+        rf"\b{_TITLE}\b\.?\x20\p{{Lu}}\p{{L}}+(?:\x20\p{{Lu}}\p{{L}}+)?"
+        rf"|\b(?:{_GIVEN})\x20\p{{Lu}}\p{{L}}+\b"
+        r"|(?=\p{Lu})(?<=\b(?:[Cc]ontact|[Dd]ear|[Aa]uthor|[Pp]atient|[Nn]ame)(?:\x20is)?:?\x20)\p{Lu}\p{L}+\x20\p{Lu}\p{L}+",
+        rf"(?:^|\x20)(?!{_TITLE}\b)\p{{Lu}}\p{{L}}+\x20\p{{Lu}}\p{{L}}+$",
         r"name|dear|by|contact|patient|author",
     ),
 )
-# Common given and family names, and domains and country codes.
-GAZETTEER = (
-    r"(?i)\b(?:anna|james|john|maria|mary|michael|peter|robert|smith|johnson|williams|brown|garcia|martin|"
-    r"müller|schmidt|schneider|dupont|bernard|fernandez|lopez|com|org|net|edu|gov|de|fr|es|uk)\b"
-)
+GAZETTEER = rf"(?i)\b(?:{_GIVEN}|{_FAMILY}|{_ENDINGS})\b"
 REFUSED = r"(?i)(?:version|build|serial|order|isbn|issn|page|section|figure|table|no\.|#)[\x20:]*$"
 
 #: Labelers, and in what share of their votes they are taken to be right before any data.
@@ -192,41 +200,55 @@ def candidate_spans(text: Column, base: Column) -> Column:
     )
 
 
+def _start(counts: dict[str, int], share: float, labeler: int) -> dict[bool, dict[str, float]]:
+    """Shares of the votes 2, 1, 0 if a labeler that is right in ``share`` of its votes votes as often as it does."""
+    total = sum(counts.values())
+    voting = sum(n for pattern, n in counts.items() if pattern[labeler] != "1") / total if total else 0.5
+    right, wrong = voting * share, voting * (1 - share)
+    return {True: {"2": right, "1": 1 - voting, "0": wrong}, False: {"2": wrong, "1": 1 - voting, "0": right}}
+
+
 def reliabilities(
-    counts: dict[str, int], before: tuple[float, ...], rounds: int = ROUNDS
+    counts: dict[str, int], before: tuple[float, ...], rounds: int = ROUNDS, belief: float = BELIEF
 ) -> tuple[dict[str, float], list[tuple[float, float]]]:
     """Expectation maximisation for votes that are independent given the truth.
 
     Takes counts of vote patterns (digits 2 yes, 1 nothing, 0 no). Returns the probability of each
-    pattern to be true, and for each labeler how often it says yes of the true and no of the false
-    when it votes. A labeler starts out as right in the share ``before`` of its votes; that counts for
-    as many votes as there are candidates, since labelers that only ever say yes, or only no, could
-    not be told from useless ones by their votes alone.
+    pattern to be true, and for each labeler the share of yes in its votes on the true and of no in
+    those on the false. What is estimated are the shares of all three answers, so that a labeler
+    that only ever says yes, or only no, can be told from a useless one by whom it passes over. A
+    labeler starts out as right in the share ``before`` of its votes; that counts for ``belief``
+    candidates, however many there are.
     """
-    prior, trust = 0.5, [(share, share) for share in before]
+    start = [_start(counts, share, i) for i, share in enumerate(before)]
+    prior, answers = 0.5, start
     truth: dict[str, float] = {}
+    total = sum(counts.values())
     for _ in range(rounds):
         for pattern in counts:
-            yes, no = prior, 1 - prior
-            for vote, (right, wrong) in zip(pattern, trust, strict=True):
-                if vote == "2":
-                    yes, no = yes * right, no * (1 - wrong)
-                elif vote == "0":
-                    yes, no = yes * (1 - right), no * wrong
-            truth[pattern] = yes / (yes + no)
-        total = sum(counts.values())
+            odds = math.log(prior / (1 - prior))
+            for vote, answer in zip(pattern, answers, strict=True):
+                odds += math.log(max(answer[True][vote], LEAST_SHARE) / max(answer[False][vote], LEAST_SHARE))
+            truth[pattern] = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
         prior = (sum(n * truth[p] for p, n in counts.items()) + 1) / (total + 2)
-        updated = []
-        for i, share in enumerate(before):
-            hit = defaultdict(float)
-            for pattern, n in counts.items():
-                hit["true" + pattern[i]] += n * truth[pattern]
-                hit["false" + pattern[i]] += n * (1 - truth[pattern])
-            right = (hit["true2"] + total * share) / (hit["true2"] + hit["true0"] + total)
-            wrong = (hit["false0"] + total * share) / (hit["false0"] + hit["false2"] + total)
-            updated.append((right, wrong))
-        trust = updated
-    return truth, trust
+        held = {True: {p: n * truth[p] for p, n in counts.items()}, False: {p: n * (1 - truth[p]) for p, n in counts.items()}}
+        answers = [
+            {
+                side: {
+                    vote: (sum(n for p, n in found.items() if p[i] == vote) + belief * start[i][side][vote])
+                    / (sum(found.values()) + belief)
+                    for vote in "210"
+                }
+                for side, found in held.items()
+            }
+            for i in range(len(before))
+        ]
+
+    def share(of: dict[str, float], vote: str) -> float:
+        voting = of["2"] + of["0"]
+        return of[vote] / voting if voting else 0.5
+
+    return truth, [(share(a[True], "2"), share(a[False], "0")) for a in answers]
 
 
 def span_classifier(counts: dict[tuple[str, str], int]) -> dict[str, float]:
