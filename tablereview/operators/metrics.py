@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablereview.functions.scratch import store
 from tablereview.operators.figures import cell_of
 
 WIDE = "decimal(38,0)"
 CELLS = 4096  # of scores for each power of two
+#: Rows that one task merges or puts in order; tasks grow in number with the rows.
+TASK_ROWS = 500_000
+#: Tasks that a frequent score is dealt to before it is merged.
+SPREAD = 64
 
 
 def class_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,7 +58,31 @@ def _score_cell() -> Column:
     return F.when(F.isnan(score), F.lit(1 << 25)).when(score.isNotNull(), cell_of(score, CELLS))
 
 
-def _area_sums(scored: DataFrame, by: tuple[str, ...], more: tuple[str, ...] = ()) -> DataFrame:
+def _tasks(rows: DataFrame) -> int:
+    count = rows.count()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(math.ceil(count / TASK_ROWS), min(cores, math.ceil(count / 10_000)), 1)
+
+
+def _merged(predictions: DataFrame, by: tuple[str, ...], **counts: Column) -> tuple[DataFrame, int]:
+    """A row with the ``counts`` of its rows for each (group, cell, score), and the number of tasks.
+
+    Most scores may occur once, so rows are dealt out before equal ones are merged: a task merges a
+    bounded number of scores, however much of the table one task reads. A frequent score goes to
+    SPREAD tasks, and only its sums meet. The few columns are written first, and counted there.
+    """
+    flags = reduce(Column.__add__, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(counts.values())])
+    rows = store(predictions.select(*by, "score", flags.alias("_flags")), "scores")
+    tasks = _tasks(rows)
+    dealt = rows.withColumn("_deal", F.spark_partition_id() % SPREAD).repartition(tasks, *by, "score", "_deal")
+    parts = dealt.groupBy(*by, "score", "_deal").agg(
+        *[F.count_if(F.getbit("_flags", F.lit(i)) == 1).alias(n) for i, n in enumerate(counts)]
+    )
+    placed = parts.withColumn("cell", _score_cell()).repartition(tasks, *by, "cell")
+    return placed.groupBy(*by, "cell", "score").agg(*[F.sum(n).alias(n) for n in counts]), tasks
+
+
+def _area_sums(scored: DataFrame, by: tuple[str, ...], tasks: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Per group: pos, neg, ``more``, and ``won``, twice the pairs in which the positive row has the
     greater score, ties as one half. ``scored`` has a row for each (group, cell, score).
 
@@ -70,6 +102,8 @@ def _area_sums(scored: DataFrame, by: tuple[str, ...], more: tuple[str, ...] = (
             *[F.sum(n).alias(n) for n in names],
         )
     )
+    if by:
+        cells = cells.repartition(tasks, *by)
     earlier = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     before = (2 * F.coalesce(F.sum("neg").over(earlier), F.lit(0))).cast("decimal(19,0)")
     won = (F.col("won") + F.col("pos").cast("decimal(19,0)") * before).cast(WIDE)
@@ -90,10 +124,8 @@ def roc_auc(predictions: DataFrame, positive: Column, by: tuple[str, ...] = ())
 
     Equal scores are merged before anything is put in order.
     """
-    merged = predictions.groupBy(*by, _score_cell().alias("cell"), "score").agg(
-        F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")
-    )
-    return _area_sums(merged, by).select(*by, _area())
+    merged, tasks = _merged(predictions, by, pos=positive, neg=~positive)
+    return _area_sums(merged, by, tasks).select(*by, _area())
 
 
 def binary_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -103,12 +135,7 @@ def binary_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFram
     which yield class counts and the area together.
     """
     told, real = F.col("prediction") == 1.0, F.col("label") == 1.0
-    merged = predictions.groupBy(*by, _score_cell().alias("cell"), "score").agg(
-        F.count_if(real).alias("pos"),
-        F.count_if(~real).alias("neg"),
-        F.count_if(real & told).alias("tp"),
-        F.count_if(~real & ~told).alias("tn"),
-    )
+    merged, tasks = _merged(predictions, by, pos=real, neg=~real, tp=real & told, tn=~real & ~told)
     pos, neg, tp, tn = (F.col(c) for c in ("pos", "neg", "tp", "tn"))
     missed = pos - tp + neg - tn
 
@@ -116,7 +143,7 @@ def binary_metrics(predictions: DataFrame, by: tuple[str, ...] = ()) -> DataFram
         return F.coalesce(F.try_divide(2.0 * hits, 2 * hits + missed), F.lit(0.0))
 
     rows = pos + neg
-    return _area_sums(merged, by, ("tp", "tn")).select(
+    return _area_sums(merged, by, tasks, ("tp", "tn")).select(
         *by,
         F.try_divide(tp + tn, rows).alias("accuracy"),
         F.try_divide(neg * f1(tn) + pos * f1(tp), rows).alias("f1_score"),

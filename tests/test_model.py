@@ -361,6 +361,25 @@ def test_metrics_read_the_predictions_once(spark):
     assert (one.accuracy, one.f1_score, one.roc_auc) == (1.0, 1.0, None)
 
 
+def test_scores_are_dealt_to_more_tasks_as_rows_grow(spark, monkeypatch):
+    """Nearly unique scores, one frequent score, gaps and both zeros: same figures, tasks by number of rows."""
+    rng = random.Random(6)
+    rows = [(i % 2, float(rng.random() < 0.5), rng.choice([0.5, rng.random(), rng.random()])) for i in range(3000)]
+    rows += [(0, 1.0, 0.0), (0, 0.0, -0.0), (None, 1.0, 0.7), (None, 0.0, 0.7)]
+    data = [(g, y, float(s > 0.6), s) for g, y, s in rows]
+    df = spark.createDataFrame(data, "g int, label double, prediction double, score double")
+    monkeypatch.setattr(metrics, "TASK_ROWS", 100)
+    merged, tasks = metrics._merged(df, ("g",), pos=F.col("label") == 1.0)
+    assert tasks == 31 and merged.rdd.getNumPartitions() == 31
+    assert merged.where("score = 0.5").count() == 2 and merged.where("g = 0 and score = 0").count() == 1
+    got = {r.g: r for r in metrics.binary_metrics(df, ("g",)).collect()}
+    for g in (0, 1, None):
+        mine = [r for r in data if r[0] == g]
+        assert got[g].rows == len(mine) and got[g].accuracy == pytest.approx(np.mean([r[1] == r[2] for r in mine]))
+        assert got[g].roc_auc == pytest.approx(brute_auc([(r[1], r[3]) for r in mine]), abs=1e-12)
+        assert got[g].f1_score == pytest.approx(brute_f1([(r[1], r[2]) for r in mine]))
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
