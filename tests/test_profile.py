@@ -10,6 +10,7 @@ from tablereview.functions.scratch import PIECES, spread
 from tablereview.operators import profile as prof
 from tablereview.operators.medians import Bracket, exact_medians, medians_of, summaries
 from tablereview.operators.ranking import totals_before
+from tablereview.plans import catalog
 from tablereview.sources.csv import read_csv
 from tablereview.sources.sinks import profile_document, write_profile_json, write_table
 
@@ -225,3 +226,18 @@ def test_only_files_with_quoted_breaks_are_read_whole(spark, tmp_path):
     got = sorted(map(tuple, read_csv(spark, str(folder)).collect()))
     assert got == [(1, "plain"), (2, 'q "x" y'), (3, "two\nlines"), (4, "z")]
     assert got == sorted(map(tuple, read_csv(spark, str(folder), multi_line=True).collect()))
+
+
+def test_csv_files_of_whole_texts_grow_in_number_with_the_documents(spark, tmp_path, monkeypatch):
+    """300 texts, two in three with line breaks, one missing: no file holds more than 20 records."""
+    texts = [None] + [f'text "{i}"' + "\nmore," * (i % 3) for i in range(299)]
+    rows = [(i, text, "en", "web", len(text or "")) for i, text in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.repartition(1).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog, "CSV_RECORDS", 20)
+    monkeypatch.setattr(catalog, "scratch_path", lambda *_: str(tmp_path / "csv"))
+    back = catalog.QUERIES["source_csv_text"](spark, str(tmp_path))
+    expected = df.withColumn("text", F.md5("text"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, expected.collect()))
+    written = read_csv(spark, str(tmp_path / "csv")).groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(written) == 16 and max(r["count"] for r in written) == 20
