@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
@@ -53,13 +53,16 @@ def compare_models(
     plan = plan_transforms(used, specs, transforms, target, facts)
     old = feature_columns(used.columns, target)
     new = feature_columns(plan.result_columns, target)
-    engineered = split.stored(plan.apply(split.rows))
+    plain = split.stored()
+    if plan.lookups:
+        engineered = split.stored(plan.apply(plain.rows))
+    else:  # expressions cost less than writing and reading their values
+        engineered = replace(plain, rows=plan.apply(plain.rows))
     after = fit_prep(engineered.train, new)
     if set(plan.created) & set(old):
-        plain = split.stored(split.rows)
         before = fit_prep(plain.train, old)
     else:
-        plain, before = engineered, after.only(old)
+        before = after.only(old)
     sides = {"baseline": (plain, before)}
     if plan.created:
         sides["engineered"] = (engineered, after)

@@ -104,16 +104,15 @@ class Prep:
         numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
         flat = self.slots(df, [*keep, *numbers])
         kept = flat.columns[: len(keep)]
-        slots = [F.col(f"s{i}") for i in range(len(self.texts))]
         places = [F.lit(i) for i in range(len(numbers))]
-        places += [(F.lit(start) + s).cast("int") for start, s in zip(self.starts, slots)]
         values = [F.col(f"n{i}") for i in range(len(numbers))]
-        values += [F.when(s.isNotNull(), 1.0) for s in slots]
+        slots = [(F.lit(start) + F.col(f"s{i}")).cast("int") for i, start in enumerate(self.starts)]
         if entries:
-            pairs = F.array(*[F.struct(p.alias("place"), v.alias("value")) for p, v in zip(places, values)])
-            flat = flat.withColumn("entries", F.filter(pairs, lambda e: e["place"].isNotNull()))
+            pairs = [F.struct(p.alias("place"), v.alias("value")) for p, v in zip(places, values)]
+            pairs += [F.struct(s.alias("place"), F.lit(1.0).alias("value")) for s in slots]
+            flat = flat.withColumn("entries", F.filter(F.array(*pairs), lambda e: e["place"].isNotNull()))
             kept = [*kept, "entries"]
-        return _as_vectors(flat, kept, {"features": (self.width, places, values)})
+        return _as_vectors(flat, kept, {"features": (self.width, places, values, slots)})
 
     def encode(self, df: DataFrame, keep: list[Column]) -> DataFrame:
         """``keep`` columns plus one one-hot vector ``h0, h1, ...`` per text column, written out."""
@@ -121,8 +120,7 @@ class Prep:
         kept = flat.columns[: len(keep)]
         blocks = {}
         for i, text in enumerate(self.texts):
-            slot = F.col(f"s{i}")
-            blocks[f"h{i}"] = (text.size, [slot.cast("int")], [F.when(slot.isNotNull(), 1.0)])
+            blocks[f"h{i}"] = (text.size, [], [], [F.col(f"s{i}").cast("int")])
         return _as_vectors(flat, kept, blocks)
 
     def slots(self, df: DataFrame, keep: list[Column]) -> DataFrame:
@@ -140,21 +138,26 @@ class Prep:
 
 
 def _as_vectors(
-    flat: DataFrame, kept: list[str], blocks: dict[str, tuple[int, list[Column], list[Column]]]
+    flat: DataFrame, kept: list[str], blocks: dict[str, tuple[int, list[Column], list[Column], list[Column]]]
 ) -> DataFrame:
-    """Sparse vectors of (size, places, values); a NULL place or value is left out.
+    """Sparse vectors of (size, places, values, slots): values at their places, then a one at each
+    slot that is not NULL.
 
     They are written in the storage form of a vector and read as vectors, so no row
-    passes through Python.
+    passes through Python. The arrays are joined of parts, since a filter would be interpreted for
+    each element.
     """
     parts = []
-    for name, (size, places, values) in blocks.items():
+    for name, (size, places, values, slots) in blocks.items():
+        none = [F.array().cast(kind) for kind in ("array<int>", "array<double>")]
+        seen = [F.when(s.isNotNull(), F.array(s)).otherwise(none[0]) for s in slots]
+        ones = [F.when(s.isNotNull(), F.array(F.lit(1.0))).otherwise(none[1]) for s in slots]
         parts.append(
             F.struct(
                 F.lit(0).cast("tinyint").alias("type"),
                 F.lit(size).cast("int").alias("size"),
-                F.filter(F.array(*places), lambda x: x.isNotNull()).alias("indices"),
-                F.filter(F.array(*values), lambda x: x.isNotNull()).alias("values"),
+                F.concat(F.array(*places).cast("array<int>"), *seen).alias("indices"),
+                F.concat(F.array(*values).cast("array<double>"), *ones).alias("values"),
             ).alias(name)
         )
     made = flat.select(*[col(c) for c in kept], *parts)

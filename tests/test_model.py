@@ -417,3 +417,12 @@ def test_a_split_without_key_of_unique_and_hot_rows(spark):
     assert {k: n for k, (n, _) in rows.items()} == {("a", False): 2000, ("b", False): 4000, ("a", True): 1000, ("b", True): 2000}
     assert rows["a", False][1] + rows["a", True][1] == 600 and rows["b", False][1] + rows["b", True][1] == 1200
     assert 120 < rows["a", True][1] < 280
+
+
+def test_engineered_rows_are_not_written(spark, monkeypatch):
+    """Features without a lookup are made where the base rows are read; one store of the split serves both fits."""
+    written, stored = [], split.Split.stored
+    monkeypatch.setattr(split.Split, "stored", lambda self, rows=None: written.append(rows) or stored(self, rows))
+    found = compare.compare_models(mixed(spark, 200), "target", [Spec("d", "ratio", ("num_1", "num_2"))], max_iter=5)
+    assert found.plan.created == ["d"] and written == [None]
+    assert {r.variant for r in found.metrics.collect()} == {"baseline", "engineered"}
