@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablereview.functions import types as ty
-from tablereview.functions.expressions import col
-from tablereview.functions.scratch import spread
+from tablereview.functions.expressions import col, rows_as_table
+from tablereview.functions.scratch import spread, store
+from tablereview.operators.levels import LevelModel, fit_levels, widest
 from tablereview.operators.metrics import binary_metrics, class_metrics
 from tablereview.operators.prep import Prep, fit_prep
 from tablereview.operators.split import MARK, Split, stratified_split
@@ -22,9 +23,35 @@ MODEL_NAME = "LogisticRegression"
 @dataclass(frozen=True)
 class Fitted:
     prep: Prep
-    model: LogisticRegressionModel
+    model: LogisticRegressionModel | LevelModel
     predictions: DataFrame  # test rows: label, prediction, score
 
+    @property
+    def intercept(self) -> float:
+        return float(self.model.intercept)
+
+    @property
+    def coefficients(self) -> DataFrame:
+        """(place, weight) for each feature of a model of two classes."""
+        if isinstance(self.model, LevelModel):
+            return self.model.coefficients
+        rows = [(i, float(w)) for i, w in enumerate(self.model.coefficients.toArray())]
+        return rows_as_table(self.predictions.sparkSession, "place int, weight double", rows)
+
+    def scored(self, df: DataFrame, keep: list[Column], entries: bool = False) -> DataFrame:
+        """``keep`` (and ``entries`` as ``Prep.features`` gives them) plus prediction and score of each row."""
+        return _scored(self.model, self.prep, df, keep, entries)
+
+
+def _scored(
+    model: LogisticRegressionModel | LevelModel, prep: Prep, df: DataFrame, keep: list[Column], entries: bool = False
+) -> DataFrame:
+    if isinstance(model, LevelModel):
+        return model.scored(df, keep, entries)
+    scored = model.transform(prep.features(df, keep, entries))
+    kept = scored.columns[: len(keep) + entries]
+    return scored.select(*kept, "prediction", vector_to_array("probability")[1].alias("score"))
+
 
 def class_label(target: str, classes: DataFrame, df: DataFrame) -> DataFrame:
     """Add ``_label``: index of the class in sorted order."""
@@ -38,10 +65,18 @@ def fit_predict(
     """Fit on the train rows, predict the test rows.
 
     The penalty equals an L2 term of one half per squared coefficient against
-    the summed loss; features are scaled already.
+    the summed loss; features are scaled already. A model of two classes with
+    too many coefficients for the driver keeps those of its widest text column
+    in a table (``levels``).
     """
     rows = class_label(target, split.classes, split.rows)
-    train = prep.features(rows.where(~F.col(MARK)), [F.col("_label").alias("label")])
+    train, test = rows.where(~F.col(MARK)), rows.where(F.col(MARK))
+    test_columns = [*keep, F.col("_label").alias("label")]
+    wide = widest(prep) if split.class_count == 2 else None
+    if wide and train.agg(F.count_distinct("_label")).first()[0] == 2:
+        model = fit_levels(train, "_label", split.train_rows, prep, wide, max_iter)
+        scored = store(_scored(model, prep, test, test_columns), "scores")
+        return Fitted(prep, model, scored)
     estimator = LogisticRegression(
         maxIter=max_iter,
         regParam=1.0 / split.train_rows,
@@ -50,14 +85,8 @@ def fit_predict(
         tol=1e-6,
         family="binomial" if split.class_count == 2 else "multinomial",
     )
-    model = estimator.fit(train)
-    test = prep.features(
-        rows.where(F.col(MARK)), [*keep, F.col("_label").alias("label")]
-    )
-    scored = model.transform(test)
-    score = vector_to_array("probability")[1].alias("score")
-    kept = scored.columns[: len(keep)]
-    return Fitted(prep, model, scored.select(*kept, "label", "prediction", score))
+    model = estimator.fit(prep.features(train, [F.col("_label").alias("label")]))
+    return Fitted(prep, model, _scored(model, prep, test, test_columns))
 
 
 def feature_columns(columns: list[str], target: str) -> list[str]:

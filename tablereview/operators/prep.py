@@ -106,13 +106,19 @@ class Prep:
         kept = flat.columns[: len(keep)]
         places = [F.lit(i) for i in range(len(numbers))]
         values = [F.col(f"n{i}") for i in range(len(numbers))]
-        slots = [(F.lit(start) + F.col(f"s{i}")).cast("int") for i, start in enumerate(self.starts)]
         if entries:
-            pairs = [F.struct(p.alias("place"), v.alias("value")) for p, v in zip(places, values)]
-            pairs += [F.struct(s.alias("place"), F.lit(1.0).alias("value")) for s in slots]
-            flat = flat.withColumn("entries", F.filter(F.array(*pairs), lambda e: e["place"].isNotNull()))
+            flat = flat.withColumn("entries", self.entries(values))
             kept = [*kept, "entries"]
-        return _as_vectors(flat, kept, {"features": (self.width, places, values, slots)})
+        return _as_vectors(flat, kept, {"features": (self.width, places, values, self._slot_places())})
+
+    def _slot_places(self) -> list[Column]:
+        return [(F.lit(start) + F.col(f"s{i}")).cast("int") for i, start in enumerate(self.starts)]
+
+    def entries(self, values: list[Column]) -> Column:
+        """The (place, value) pairs of a row with these numbers and the slots ``s0, s1, ...``."""
+        pairs = [F.struct(F.lit(i).alias("place"), v.alias("value")) for i, v in enumerate(values)]
+        pairs += [F.struct(s.alias("place"), F.lit(1.0).alias("value")) for s in self._slot_places()]
+        return F.filter(F.array(*pairs), lambda e: e["place"].isNotNull())
 
     def encode(self, df: DataFrame, keep: list[Column]) -> DataFrame:
         """``keep`` columns plus one one-hot vector ``h0, h1, ...`` per text column, written out."""

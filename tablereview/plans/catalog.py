@@ -598,30 +598,32 @@ def _doc_model(t: Tables) -> tuple:
     return split, model.fit_predict(split, "quality", fitted, keep=(F.col("doc_id"),))
 
 
-def _slots(known: prep.Prep) -> list[tuple]:
-    """Feature slots in order: name, text column id, slot; one for each coefficient."""
-    rows = [(n.name, None, None) for n in known.numbers]
-    for x in known.texts:
-        rows += [(f"{x.name}=", x.id, i) for i in range(x.size)]
-    return rows
+def _features(t: Tables, known: prep.Prep) -> DataFrame:
+    """(feature, place): the text of each number and level, and its place in the features."""
+    rows = [(n.name, i) for i, n in enumerate(known.numbers)]
+    numbers = tr.rows_as_table(t.spark, "feature string, place int", rows)
+    if not known.texts:
+        return numbers
+    starts = [(x.id, f"{x.name}=", start) for x, start in zip(known.texts, known.starts)]
+    texts = tr.rows_as_table(t.spark, "c string, name string, start int", starts)
+    levels = known.levels.join(texts, "c")
+    place = (F.col("start") + F.col("slot")).cast("int").alias("place")
+    return numbers.unionAll(levels.select(F.concat("name", "key").alias("feature"), place))
 
 
-def _named(t: Tables, known: prep.Prep, rows: list[tuple], last: str) -> DataFrame:
-    """Slots with the text of their level; ``last`` is one more column."""
-    named = tr.rows_as_table(t.spark, f"name string, c string, slot bigint, {last}", rows)
-    return named.join(known.levels, ["c", "slot"], "left").select(
-        F.concat("name", F.coalesce("key", F.lit(""))).alias("feature"), last.split()[0]
+def _coefficients(t: Tables, fitted: model.Fitted) -> DataFrame:
+    """(feature, coefficient), the intercept among them."""
+    named = _features(t, fitted.prep).join(fitted.coefficients, "place")
+    last = [("(intercept)", fitted.intercept)]
+    return named.select("feature", F.col("weight").alias("coefficient")).unionAll(
+        tr.rows_as_table(t.spark, "feature string, coefficient double", last)
     )
 
 
 @register
 def model_fit(t: Tables) -> DataFrame:
     """Coefficients by feature slot, and the intercept."""
-    _, fitted = _doc_model(t)
-    values = [float(v) for v in fitted.model.coefficients.toArray()]
-    rows = [(*slot, value) for slot, value in zip(_slots(fitted.prep), values, strict=True)]
-    rows.append(("(intercept)", None, None, float(fitted.model.intercept)))
-    return _named(t, fitted.prep, rows, "coefficient double")
+    return _coefficients(t, _doc_model(t)[1])
 
 
 @register
@@ -630,25 +632,24 @@ def model_gradient(t: Tables) -> DataFrame:
     each feature (for a level: to its number of rows): zero at the optimum."""
     split, fitted = _doc_model(t)
     rows = model.class_label("quality", split.classes, split.rows)
-    train = fitted.prep.features(rows.where(~F.col(MARK)), [F.col("_label").alias("label")], entries=True)
+    train = fitted.scored(rows.where(~F.col(MARK)), [F.col("_label").alias("label")], entries=True)
     one = F.struct(F.lit(fitted.prep.width).alias("place"), F.lit(1.0).alias("value"))
-    scored = fitted.model.transform(train).select(
-        (vector_to_array("probability")[1] - F.col("label")).alias("miss"),
+    scored = train.select(
+        (F.col("score") - F.col("label")).alias("miss"),
         F.explode(F.array_append("entries", one)).alias("x"),
     )
     sums = scored.groupBy(F.col("x.place").alias("place")).agg(
         F.sum(F.col("miss") * F.col("x.value")).alias("sum"), F.sum(F.abs("x.value")).alias("held")
     )
-    weights = [float(v) for v in fitted.model.coefficients.toArray()] + [0.0]
-    slots = [*_slots(fitted.prep), ("(intercept)", None, None)]
-    places = _named(t, fitted.prep, [(*slot, i) for i, slot in enumerate(slots)], "place int")
-    penalty = tr.rows_as_table(t.spark, "place int, weight double", list(enumerate(weights)))
-    slope = (F.col("sum") + F.col("weight")) / F.col("held")
-    return (
-        places.join(sums, "place")
-        .join(penalty, "place")
-        .select("feature", (F.round(slope, 4) + 0.0).alias("gradient"))
+    last = (fitted.prep.width, "(intercept)", 0.0)
+    places = (
+        _features(t, fitted.prep)
+        .join(fitted.coefficients, "place")
+        .select("place", "feature", "weight")
+        .unionAll(tr.rows_as_table(t.spark, "place int, feature string, weight double", [last]))
     )
+    slope = (F.col("sum") + F.col("weight")) / F.col("held")
+    return places.join(sums, "place").select("feature", (F.round(slope, 4) + 0.0).alias("gradient"))
 
 
 @register
@@ -658,11 +659,7 @@ def model_two_levels(t: Tables) -> DataFrame:
     df = t.labels.select("doc_id", "quality", level)
     split = stratified_split(df, "quality", key="doc_id").stored()
     fitted = model.fit_predict(split, "quality", prep.fit_prep(split.train, ["level"]))
-    values = [float(v) for v in fitted.model.coefficients.toArray()]
-    rows = [(*slot, value) for slot, value in zip(_slots(fitted.prep), values, strict=True)]
-    rows.append(("(intercept)", None, None, float(fitted.model.intercept)))
-    named = _named(t, fitted.prep, rows, "coefficient double")
-    return named.select("feature", F.round("coefficient", 4).alias("coefficient"))
+    return _coefficients(t, fitted).select("feature", F.round("coefficient", 4).alias("coefficient"))
 
 
 @register

@@ -1,11 +1,15 @@
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tablereview.operators import compare, metrics, model, prep, split
+from tablereview.operators import compare, levels, metrics, model, prep, split
 from tablereview.operators.split import MARK, class_quotas, stratified_split
 from tablereview.operators.transforms import Spec
 
@@ -426,3 +430,105 @@ def test_engineered_rows_are_not_written(spark, monkeypatch):
     found = compare.compare_models(mixed(spark, 200), "target", [Spec("d", "ratio", ("num_1", "num_2"))], max_iter=5)
     assert found.plan.created == ["d"] and written == [None]
     assert {r.variant for r in found.metrics.collect()} == {"baseline", "engineered"}
+
+
+def many_levels(spark, n=1200, seed=3):
+    """Gaps and copies, a text column with frequent, rare, single and missing values."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        x, kind = rng.gauss(0, 1), rng.choice("abc")
+        text = rng.choice(["hot", None, f"rare {rng.randrange(60)}", f"one {i}"])
+        lean = x + (kind == "a") + 2 * (text == "hot") - (text or "").count("1") + rng.gauss(0, 1)
+        rows.append((None if rng.random() < 0.1 else x, 7.0, kind, text, int(lean > 0.3)))
+    rows += rows[:100]
+    return spark.createDataFrame(rows, "x double, same double, kind string, text string, target bigint").repartition(5)
+
+
+@pytest.mark.parametrize("per_slice", [8, 1 << 20])
+def test_a_fit_with_levels_as_a_table_equals_direct_minimisation(spark, monkeypatch, per_slice):
+    for name, value in {"DRIVER_COEFFICIENTS": 100, "LEVEL_ROWS": 50, "FREQUENT": 10, "BLOCK_ROWS": 64}.items():
+        monkeypatch.setattr(levels, name, value)
+    monkeypatch.setattr(levels, "newton", exact_sums(levels.newton))
+    monkeypatch.setattr(levels, "SLICE", per_slice)
+    df = many_levels(spark)
+    marked = stratified_split(df, "target").stored()
+    fitted = prep.fit_prep(marked.train, model.feature_columns(df.columns, "target"))
+    run = model.fit_predict(marked, "target", fitted, keep=(F.col("x"), F.col("text")))
+    assert isinstance(run.model, levels.LevelModel)
+    assert 0 < run.model.weights.count() < fitted.width - 5
+    train = model.class_label("target", marked.classes, marked.train)
+    x, y = dense(fitted, train)
+    expected = minimise(x, y, 2)
+    scores = [r.score for r in run.scored(train, []).collect()]
+    assert np.allclose(sorted(scores), sorted(expected), atol=1e-6)
+    # coefficients by place give the same margins of test rows, with unseen levels among them
+    found = {r.place: r.weight for r in run.coefficients.collect()}
+    assert sorted(found) == list(range(fitted.width))
+    weights = np.array([found[i] for i in range(fitted.width)])
+    test = model.class_label("target", marked.classes, marked.test)
+    xt, yt = dense(fitted, test)
+    assert (xt.sum(axis=1) < xt.sum(axis=1).max() - 0.5).any()
+    margins = xt @ weights + run.intercept
+    rows = run.predictions.collect()
+    assert run.predictions.columns == ["x", "text", "label", "prediction", "score"]
+    assert np.allclose(sorted(r.score for r in rows), sorted(1 / (1 + np.exp(-margins))), atol=1e-9)
+    assert sorted((r.label, r.prediction) for r in rows) == sorted(zip(yt, (margins > 0).astype(float)))
+    entries = run.scored(train, [], entries=True)
+    assert entries.columns == ["entries", "prediction", "score"]
+    assert sorted(sorted(map(tuple, r.entries)) for r in entries.collect()) == sorted(
+        sorted(map(tuple, r.entries)) for r in fitted.features(train, [], entries=True).collect()
+    )
+
+
+def exact_sums(newton):
+    """``newton``, with the derivatives of the loss in the head compared with differences."""
+
+    def checked(at, size, max_iter):
+        rng = np.random.default_rng(1)
+        x, d = rng.normal(size=size), rng.normal(size=size)
+        (_, slope, curvature), (up, more, _), (down, less, _) = at(x), at(x + 1e-4 * d), at(x - 1e-4 * d)
+        assert (up - down) / 2e-4 == pytest.approx(slope @ d, rel=1e-5)
+        assert np.allclose((more - less) / 2e-4, curvature @ d, rtol=1e-4, atol=1e-3)
+        return newton(at, size, max_iter)
+
+    return checked
+
+
+def test_a_wide_fit_sends_the_driver_no_number_for_each_level(spark, monkeypatch):
+    sent = []
+    whole = levels._collected
+
+    def counted(sums, size):
+        sent.append(sums.count())
+        return whole(sums, size)
+
+    monkeypatch.setattr(levels, "_collected", counted)
+    monkeypatch.setattr(model.LogisticRegression, "fit", None)
+    for n in (6_000, 18_000):
+        df = spark.range(n).select(
+            F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"),
+            F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("x"),
+            F.pmod(F.xxhash64("id"), F.lit(2)).alias("target"),
+        )
+        report = model.model_report(df, "target").first()
+        assert report.train_rows + report.test_rows == n
+    assert max(sent) == 1 + 3 + 6  # the loss; x, the level that fills gaps and the intercept
+
+
+def test_which_fits_are_for_the_driver(spark):
+    few = spark.range(4_000).select(F.col("id").cast("string").alias("s"), F.lit("k").alias("t"))
+    assert levels.widest(prep.fit_prep(few, ["s", "t"])) is None
+    many = spark.range(5_000).select(F.col("id").cast("string").alias("s"), F.hex("id").alias("t"))
+    assert levels.widest(prep.fit_prep(many, ["s"])).name == "s"
+    assert levels.widest(prep.fit_prep(many, ["s", "t"])) is None  # two wide columns
+
+
+def test_tasks_of_a_wide_fit_need_no_package(tmp_path):
+    for made in (levels._summed(np.zeros(2), (1, 1, 2)), levels._level_weights(np.zeros(2), (1, 1, 2))):
+        code = "import sys, pickle; print(list(pickle.load(sys.stdin.buffer)(iter(())))[1:])"
+        ran = subprocess.run(
+            [sys.executable, "-c", code], input=cloudpickle.dumps(made), cwd=tmp_path, capture_output=True, check=True,
+            env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+        )
+        assert ran.stdout.strip() == b"[]"

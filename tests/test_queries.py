@@ -6,6 +6,7 @@ import pytest
 from checks import both, duck
 
 import __spark_entry__ as entry_module
+from tablereview.operators import levels, model
 
 QUERIES = entry_module.queries()
 SQL = entry_module.oracle_sql()
@@ -53,3 +54,13 @@ def test_entry(spark):
 )
 def test_rule_tables_show_every_grade(spark, name, column, grades):
     assert {r[0] for r in QUERIES[name](spark, FOLDER).select(column).collect()} == grades
+
+
+@pytest.mark.parametrize("name", ["compare_separable", "model_gradient", "model_report_separable", "model_test_rows"])
+def test_levels_as_a_table_match_sql(spark, con, monkeypatch, name):
+    monkeypatch.setattr(levels, "DRIVER_COEFFICIENTS", 10)
+    fits = []
+    fit = model.fit_levels
+    monkeypatch.setattr(model, "fit_levels", lambda *args: fits.append(1) or fit(*args))
+    test_query_matches_sql(spark, con, name)
+    assert fits
