@@ -85,8 +85,9 @@ def head_features(docs: DataFrame, text_column: str) -> list[str]:
     counts = docs.select(col(text_column).cast("string").alias("text")).mapInArrow(_counted, "feature string, n long")
     counts = store(counts.groupBy("feature").agg(F.sum("n").alias("n")), "head_counts")
     totals = {r.feature: r.n for r in counts.filter(F.col("feature").isin("", " ")).collect()}
-    kind = F.when(F.col("feature").contains(" "), F.lit(totals.get(" ", 0))).otherwise(F.lit(totals.get("", 0)))
-    often = F.col("n") * 4 * HEAD >= kind * 3
+    # whole numbers of Python: no product of a total that a literal of 32 bits could not hold
+    least = {kind: F.lit(-(-3 * totals.get(kind, 0) // (4 * HEAD))) for kind in ("", " ")}
+    often = F.col("n") >= F.when(F.col("feature").contains(" "), least[" "]).otherwise(least[""])
     short = F.forall(F.split("feature", " "), lambda w: (F.octet_length(w) > 0) & (F.octet_length(w) <= LONGEST))
     return [r.feature for r in counts.filter(often & short).select("feature").collect()]
 

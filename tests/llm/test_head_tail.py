@@ -5,6 +5,10 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
+from pyspark.sql import functions as F
 from tablereview.llm import head_tail
 from tablereview.llm.pieces import word_pieces
 
@@ -90,6 +94,23 @@ def test_frequent_features_are_in_the_head(spark, documents, monkeypatch):
     assert len(found) <= 2 * 256 * 4 / 3
 
 
+@pytest.mark.parametrize("times", [10**8, 10**11])
+def test_totals_of_large_tables_are_whole_numbers(spark, documents, monkeypatch, times):
+    """Counts as of a table so many times as large: three times a total is more than 32 bits hold."""
+    monkeypatch.setattr(head_tail, "LEAST_SEEN", 1)
+    small, counted = head_tail.head_features(documents, "text"), head_tail._counted
+
+    def large(batches):
+        for batch in counted(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), pc.multiply(batch.column("n"), times)], ["feature", "n"])
+
+    few = documents.limit(1).select(F.lit("one two three one two three one two").alias("text"))
+    words = head_tail.head_features(few, "text")
+    monkeypatch.setattr(head_tail, "_counted", large)
+    assert small and sorted(head_tail.head_features(documents, "text")) == sorted(small)
+    assert words and sorted(head_tail.head_features(few, "text")) == sorted(words)
+
+
 def test_ranks_with_many_ties(spark):
     rng = np.random.default_rng(1)
     rows = [(int(i), 25 if i % 7 else 3, 0, 0, int(s)) for i, s in enumerate(rng.integers(0, 9, 3000))]
