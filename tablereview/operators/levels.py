@@ -194,6 +194,17 @@ def _collected(sums: DataFrame, size: int) -> Sums:
     return loss, slope, curvature
 
 
+def sums_of(loss: float, slope: np.ndarray, curvature: np.ndarray) -> pa.RecordBatch:
+    """The loss at (-1, -1), the slope at (-1, place) and the curvature at (place, place), as rows."""
+    i, j = np.nonzero(np.triu(curvature))
+    at = np.arange(len(slope))
+    return pa.RecordBatch.from_pydict({
+        "i": pa.array(np.r_[-1, np.full(len(slope), -1), i], pa.int32()),
+        "j": pa.array(np.r_[-1, at, j], pa.int32()),
+        "value": pa.array(np.r_[loss, slope, curvature[i, j]], pa.float64()),
+    })
+
+
 def newton(at: Callable[[np.ndarray], Sums], size: int, max_iter: int) -> np.ndarray:
     """Newton's method, steps halved until the loss falls; all but the last coefficient are
     penalised by half their square."""
@@ -325,13 +336,7 @@ def _summed(head: np.ndarray, shape: tuple[int, int, int]) -> Callable:
                 last, held = group[-1], sums[-1].copy()
                 curvature -= (sums[:-1] * share[group[:-1], None]).T @ sums[:-1]
             curvature -= share[last] * np.outer(held, held)
-        i, j = np.nonzero(np.triu(curvature))
-        at = np.arange(size)
-        yield pa.RecordBatch.from_pydict({
-            "i": pa.array(np.r_[-1, np.full(size, -1), i], pa.int32()),
-            "j": pa.array(np.r_[-1, at, j], pa.int32()),
-            "value": pa.array(np.r_[loss, slope, curvature[i, j]], pa.float64()),
-        })
+        yield sums_of(loss, slope, curvature)
 
     return run
 

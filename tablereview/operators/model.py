@@ -14,6 +14,7 @@ from tablereview.functions.expressions import col, rows_as_table
 from tablereview.functions.scratch import spread, store
 from tablereview.operators.levels import LevelModel, fit_levels, widest
 from tablereview.operators.metrics import binary_metrics, class_metrics
+from tablereview.operators.passes import PassModel, fit_in_passes, in_passes
 from tablereview.operators.prep import Prep, fit_prep
 from tablereview.operators.split import MARK, Split, stratified_split
 
@@ -23,7 +24,7 @@ MODEL_NAME = "LogisticRegression"
 @dataclass(frozen=True)
 class Fitted:
     prep: Prep
-    model: LogisticRegressionModel | LevelModel
+    model: LogisticRegressionModel | LevelModel | PassModel
     predictions: DataFrame  # test rows: label, prediction, score
 
     @property
@@ -35,6 +36,8 @@ class Fitted:
         """(place, weight) for each feature of a model of two classes."""
         if isinstance(self.model, LevelModel):
             return self.model.coefficients
+        if isinstance(self.model, PassModel):
+            return self.model.coefficients(self.predictions)
         rows = [(i, float(w)) for i, w in enumerate(self.model.coefficients.toArray())]
         return rows_as_table(self.predictions.sparkSession, "place int, weight double", rows)
 
@@ -44,9 +47,13 @@ class Fitted:
 
 
 def _scored(
-    model: LogisticRegressionModel | LevelModel, prep: Prep, df: DataFrame, keep: list[Column], entries: bool = False
+    model: LogisticRegressionModel | LevelModel | PassModel,
+    prep: Prep,
+    df: DataFrame,
+    keep: list[Column],
+    entries: bool = False,
 ) -> DataFrame:
-    if isinstance(model, LevelModel):
+    if isinstance(model, LevelModel | PassModel):
         return model.scored(df, keep, entries)
     scored = model.transform(prep.features(df, keep, entries))
     kept = scored.columns[: len(keep) + entries]
@@ -67,13 +74,18 @@ def fit_predict(
     The penalty equals an L2 term of one half per squared coefficient against
     the summed loss; features are scaled already. A model of two classes with
     too many coefficients for the driver keeps those of its widest text column
-    in a table (``levels``).
+    in a table (``levels``), one of few coefficients and many rows is fitted
+    without writing the features (``passes``).
     """
     rows = class_label(target, split.classes, split.rows)
     train, test = rows.where(~F.col(MARK)), rows.where(F.col(MARK))
     test_columns = [*keep, F.col("_label").alias("label")]
     wide = widest(prep) if split.class_count == 2 else None
-    if wide and train.agg(F.count_distinct("_label")).first()[0] == 2:
+    passes = split.class_count == 2 and in_passes(prep, split.train_rows)
+    if (wide or passes) and train.agg(F.count_distinct("_label")).first()[0] == 2:
+        if passes:
+            model = fit_in_passes(train, "_label", prep, max_iter)
+            return Fitted(prep, model, _scored(model, prep, test, test_columns))
         model = fit_levels(train, "_label", split.train_rows, prep, wide, max_iter)
         scored = store(_scored(model, prep, test, test_columns), "scores")
         return Fitted(prep, model, scored)

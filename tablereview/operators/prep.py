@@ -101,16 +101,19 @@ class Prep:
         the (place, value) pairs of the vector as an array."""
         if not self.width:
             raise ValueError("No usable feature columns.")
-        numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
-        flat = self.slots(df, [*keep, *numbers])
+        flat, values = self.flat(df, keep)
         kept = flat.columns[: len(keep)]
-        places = [F.lit(i) for i in range(len(numbers))]
-        values = [F.col(f"n{i}") for i in range(len(numbers))]
+        places = [F.lit(i) for i in range(len(values))]
         if entries:
             flat = flat.withColumn("entries", self.entries(values))
             kept = [*kept, "entries"]
         return _as_vectors(flat, kept, {"features": (self.width, places, values, self._slot_places())})
 
+    def flat(self, df: DataFrame, keep: list[Column]) -> tuple[DataFrame, list[Column]]:
+        """``keep`` columns, the scaled numbers ``n0, n1, ...`` and the slots ``s0, s1, ...``; and the numbers."""
+        numbers = [n.expression().alias(f"n{i}") for i, n in enumerate(self.numbers)]
+        return self.slots(df, [*keep, *numbers]), [F.col(f"n{i}") for i in range(len(numbers))]
+
     def _slot_places(self) -> list[Column]:
         return [(F.lit(start) + F.col(f"s{i}")).cast("int") for i, start in enumerate(self.starts)]
 

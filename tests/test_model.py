@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tablereview.operators import compare, levels, metrics, model, prep, split
+from tablereview.operators import compare, levels, metrics, model, passes, prep, split
 from tablereview.operators.split import MARK, class_quotas, stratified_split
 from tablereview.operators.transforms import Spec
 
@@ -495,6 +495,66 @@ def exact_sums(newton):
     return checked
 
 
+@pytest.mark.parametrize("per_slice", [64, 1 << 20])
+def test_a_fit_in_passes_equals_direct_minimisation(spark, monkeypatch, per_slice):
+    monkeypatch.setattr(passes, "MANY_ROWS", 100)
+    monkeypatch.setattr(passes, "SLICE", per_slice)
+    monkeypatch.setattr(passes, "newton", exact_sums(passes.newton))
+    df = many_levels(spark, 600).withColumn("text", F.nullif(F.substring("text", 1, 6), F.lit("one 5")))
+    marked = stratified_split(df, "target").stored()
+    train = model.class_label("target", marked.classes, marked.train)
+    test = model.class_label("target", marked.classes, marked.test)
+    fitted = prep.fit_prep(train.where("kind != 'c'"), model.feature_columns(df.columns, "target"))  # 'c' is unseen
+    run = model.fit_predict(marked, "target", fitted, keep=(F.col("x"), F.col("text")))
+    assert isinstance(run.model, passes.PassModel)
+    x, y = dense(fitted, train)
+    scores = [r.score for r in run.scored(train, []).collect()]
+    assert np.allclose(sorted(scores), sorted(minimise(x, y, 2)), atol=1e-6)
+    found = {r.place: r.weight for r in run.coefficients.collect()}
+    assert sorted(found) == list(range(fitted.width))
+    xt, yt = dense(fitted, test)
+    margins = xt @ np.array([found[i] for i in range(fitted.width)]) + run.intercept
+    rows = run.predictions.collect()
+    assert run.predictions.columns == ["x", "text", "label", "prediction", "score"]
+    assert np.allclose(sorted(r.score for r in rows), sorted(1 / (1 + np.exp(-margins))), atol=1e-9)
+    assert sorted((r.label, r.prediction) for r in rows) == sorted(zip(yt, (margins > 0).astype(float)))
+    entries = run.scored(train, [], entries=True)
+    assert entries.columns == ["entries", "prediction", "score"]
+    assert sorted(sorted(map(tuple, r.entries)) for r in entries.collect()) == sorted(
+        sorted(map(tuple, r.entries)) for r in fitted.features(train, [], entries=True).collect()
+    )
+
+
+def test_a_comparison_of_many_rows_writes_no_vectors(spark, monkeypatch):
+    """Metrics as of the fits that write them, without writing a feature."""
+    specs = [Spec("d", "ratio", ("num_1", "num_2"))]
+    few = {r.variant: r for r in compare.compare_models(mixed(spark), "target", specs).metrics.collect()}
+    monkeypatch.setattr(passes, "MANY_ROWS", 100)
+    monkeypatch.setattr(prep, "_as_vectors", None)
+    monkeypatch.setattr(model.LogisticRegression, "fit", None)
+    many = {r.variant: r for r in compare.compare_models(mixed(spark), "target", specs).metrics.collect()}
+    assert many.keys() == few.keys() == {"baseline", "engineered"}
+    for name, r in many.items():
+        assert (r.train_rows, r.test_rows) == (few[name].train_rows, few[name].test_rows)
+        assert r.accuracy == pytest.approx(few[name].accuracy, abs=0.01)
+        assert r.roc_auc == pytest.approx(few[name].roc_auc, abs=0.001)
+
+
+def test_a_fit_in_passes_refuses_infinite_features(spark, monkeypatch):
+    monkeypatch.setattr(passes, "MANY_ROWS", 100)
+    df = mixed(spark).withColumn("num_1", F.when(F.col("num_1") > 1, float("inf")).otherwise(F.col("num_1")))
+    with pytest.raises(Exception, match="NaN or infinite"):
+        model.model_report(df, "target").collect()
+
+
+def test_which_fits_are_made_in_passes(spark):
+    def known(size):
+        return prep.Prep([prep.Scaled(f"x{i}", 0.0, 0.0, 1.0) for i in range(size)], [])
+
+    assert passes.in_passes(known(256), 1_000_001)
+    assert not any([passes.in_passes(known(257), 1 << 40), passes.in_passes(known(9), 1_000_000), passes.in_passes(known(0), 1 << 40)])
+
+
 def test_a_wide_fit_sends_the_driver_no_number_for_each_level(spark, monkeypatch):
     sent = []
     whole = levels._collected
@@ -532,3 +592,12 @@ def test_tasks_of_a_wide_fit_need_no_package(tmp_path):
             env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
         )
         assert ran.stdout.strip() == b"[]"
+
+
+def test_tasks_of_a_fit_in_passes_need_no_package(tmp_path):
+    code = "import sys, pickle; print([b.num_rows for b in pickle.load(sys.stdin.buffer)(iter(()))])"
+    ran = subprocess.run(
+        [sys.executable, "-c", code], input=cloudpickle.dumps(passes._summed(np.zeros(2), 1, [])), cwd=tmp_path,
+        capture_output=True, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+    )
+    assert ran.stdout.strip() == b"[3]"
