@@ -70,19 +70,21 @@ class PassModel:
 
 def fit_in_passes(train: DataFrame, label: str, prep: Prep, max_iter: int) -> PassModel:
     """Fit on train rows of both classes."""
-    flat, numbers = prep.flat(train, [F.col(label).cast("double").alias("label")])
+    numbers = F.array(*[col(n.name).cast("double") for n in prep.numbers]).cast("array<double>").alias("numbers")
+    flat = prep.slots(train, [F.col(label).cast("double").alias("label"), numbers])
+    scaling = np.array([(n.median, n.mean, n.scale) for n in prep.numbers]).reshape(-1, 3)
     size = prep.width + 1
 
     def at(weights: np.ndarray) -> Sums:
-        parts = flat.mapInArrow(_summed(weights, len(numbers), prep.starts), "i int, j int, value double")
+        parts = flat.mapInArrow(_summed(weights, scaling, prep.starts), "i int, j int, value double")
         return _collected(parts.groupBy("i", "j").agg(F.sum("value").alias("value")), size)
 
     return PassModel(prep, newton(at, size, max_iter))
 
 
-def _summed(weights: np.ndarray, numbers: int, starts: list[int]) -> Callable:
-    """A task's loss at (-1, -1), slope at (-1, place), curvature at (place, place); rows are a label,
-    the numbers and the slot of each text."""
+def _summed(weights: np.ndarray, scaling: np.ndarray, starts: list[int]) -> Callable:
+    """A task's loss at (-1, -1), slope at (-1, place), curvature at (place, place); rows are a label, the
+    numbers as they are, and the slot of each text. ``scaling`` has the median, mean and scale of each number."""
     size = len(weights)
     most = max(1, SLICE // size)
 
@@ -90,7 +92,7 @@ def _summed(weights: np.ndarray, numbers: int, starts: list[int]) -> Callable:
         loss, slope, curvature = 0.0, np.zeros(size), np.zeros((size, size))
         for batch in batches:
             for first in range(0, batch.num_rows, most):
-                label, x = _features(batch.slice(first, most), numbers, starts, size)
+                label, x = _features(batch.slice(first, most), scaling, starts, size)
                 margin = weights @ x
                 if not np.isfinite(margin).all():
                     raise ValueError("Features must not be NaN or infinite.")
@@ -103,15 +105,19 @@ def _summed(weights: np.ndarray, numbers: int, starts: list[int]) -> Callable:
     return run
 
 
-def _features(rows: pa.RecordBatch, numbers: int, starts: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Labels, and the features of a row in each column."""
-    columns = rows.columns
+def _features(
+    rows: pa.RecordBatch, scaling: np.ndarray, starts: list[int], size: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Labels, and the features of a row in each column. Numbers are filled and scaled here, as ``Scaled``
+    does it: in SQL, so many expressions make a method that Java does not compile."""
+    label, numbers, *slots = rows.columns
     x = np.zeros((size, rows.num_rows))
     x[-1] = 1.0
-    for i, values in enumerate(columns[1 : 1 + numbers]):
-        x[i] = values.to_numpy(zero_copy_only=False)
-    for start, slots in zip(starts, columns[1 + numbers :]):
-        slot = slots.fill_null(-1).to_numpy(zero_copy_only=False)
+    median, mean, scale = scaling.T[:, :, None]
+    values = numbers.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(scaling)).T if len(scaling) else x[:0]
+    x[: len(scaling)] = (np.where(np.isnan(values), median, values) - mean) / scale
+    for start, column in zip(starts, slots):
+        slot = column.fill_null(-1).to_numpy(zero_copy_only=False)
         held = np.flatnonzero(slot >= 0)
         x[start + slot[held], held] = 1.0
-    return columns[0].to_numpy(zero_copy_only=False), x
+    return label.to_numpy(zero_copy_only=False), x

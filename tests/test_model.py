@@ -597,7 +597,15 @@ def test_tasks_of_a_wide_fit_need_no_package(tmp_path):
 def test_tasks_of_a_fit_in_passes_need_no_package(tmp_path):
     code = "import sys, pickle; print([b.num_rows for b in pickle.load(sys.stdin.buffer)(iter(()))])"
     ran = subprocess.run(
-        [sys.executable, "-c", code], input=cloudpickle.dumps(passes._summed(np.zeros(2), 1, [])), cwd=tmp_path,
+        [sys.executable, "-c", code], input=cloudpickle.dumps(passes._summed(np.zeros(2), np.ones((1, 3)), [])), cwd=tmp_path,
         capture_output=True, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
     )
     assert ran.stdout.strip() == b"[3]"
+
+
+def test_a_fit_in_passes_of_texts_alone(spark, monkeypatch):
+    df = mixed(spark).select("cat_0", "cat_1", "target")
+    expected = model.model_report(df, "target").first()
+    monkeypatch.setattr(passes, "MANY_ROWS", 100)
+    found = model.model_report(df, "target").first()
+    assert found.roc_auc == pytest.approx(expected.roc_auc, abs=0.001) and found.test_rows == expected.test_rows
